@@ -92,7 +92,10 @@ SELECT o_orderkey AS doc_id, 'note_' || CAST(o_orderkey AS VARCHAR) || '.txt' AS
      WHEN 20 THEN 'we will evaluate AWS and Snowflake.' ELSE 'the proposal needs work.' END || chr(10)
   || CASE WHEN o_orderkey % 20 = 0 THEN 'Industry: Retail' ELSE 'Industry: Banking' END || chr(10)
   || 'Expected close: 2024-06-30'
-  || CASE WHEN o_orderkey % 70 = 0 THEN chr(10) || 'Primary Contact: Carol King, Role: VP Data' ELSE '' END AS text,
+  || CASE WHEN o_orderkey % 70 = 0 THEN chr(10) || 'Primary Contact: Carol King, Role: VP Data' ELSE '' END
+  || CASE WHEN o_orderkey % 25 = 0 THEN chr(10) || 'Based in New York, with ' || CAST(o_orderkey * 3 + 100 AS VARCHAR)
+     || ' employees and annual revenue of $1.5 billion' ELSE '' END
+  || CASE WHEN o_orderkey % 35 = 0 THEN chr(10) || 'Deal: Migration ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS text,
   o_orderdate AS created_at
 FROM orders""",
 }

@@ -171,6 +171,12 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 20 == 0, "Industry: Retail").otherwise("Industry: Banking"),
         F.lit("Expected close: 2024-06-30"),
         F.when(k % 70 == 0, "Primary Contact: Carol King, Role: VP Data"),
+        F.when(
+            k % 25 == 0,
+            F.concat(F.lit("Based in New York, with "), text(k * 3 + 100),
+                     F.lit(" employees and annual revenue of $1.5 billion")),
+        ),
+        F.when(k % 35 == 0, F.concat(F.lit("Deal: Migration "), text(k))),
     ]
     return table(spark, sf_dir, "orders").select(
         k.alias("doc_id"),
