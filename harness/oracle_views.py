@@ -98,18 +98,71 @@ SELECT o_orderkey AS doc_id, 'note_' || CAST(o_orderkey AS VARCHAR) || '.txt' AS
   || CASE WHEN o_orderkey % 35 = 0 THEN chr(10) || 'Deal: Migration ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS text,
   o_orderdate AS created_at
 FROM orders""",
+    "crm_batch": """
+SELECT id AS seq,
+  CASE id % 4 WHEN 0 THEN 'Salesforce' WHEN 1 THEN 'hubspot' WHEN 2 THEN ' Zoho_CRM ' ELSE 'unknown_sys' END AS source_name,
+  CASE WHEN account_name = '' THEN ''
+       WHEN CAST(substring(contact_name, 9, 20) AS BIGINT) % 3 = 0 THEN account_name || ' Holdings' ELSE account_name END AS account_name,
+  CASE WHEN id % 4 <> 0 THEN 'Industry ' || CAST(id % 9 AS VARCHAR) END AS industry, geography,
+  CASE WHEN id % 3 <> 0 THEN CAST(id * 1000 AS VARCHAR) END AS annual_revenue,
+  CAST(id % 5000 AS VARCHAR) AS employee_count,
+  CASE WHEN id % 5 = 0 THEN '' ELSE 'www.s' || CAST(id % 50 AS VARCHAR) || '.example' END AS website,
+  'Customer' AS account_type, CASE WHEN id % 3 <> 0 THEN 'Enterprise' END AS segment, contact_name,
+  'c' || CAST(id AS VARCHAR) || '@example.com' AS contact_email, CAST(NULL AS VARCHAR) AS contact_phone,
+  'Title ' || CAST(id % 7 AS VARCHAR) AS contact_title,
+  CASE id % 4 WHEN 0 THEN 'Primary Contact' WHEN 1 THEN 'Engineer' WHEN 2 THEN 'Buyer' END AS contact_role,
+  CASE WHEN id % 2 = 0 THEN deal_name ELSE 'New deal ' || CAST(id % 1000 AS VARCHAR) END AS deal_name,
+  CASE WHEN id % 2 = 0 THEN '$' || deal_value || ' ' ELSE deal_value END AS deal_value,
+  deal_stage, close_date, probability || '%' AS probability, 'USD' AS currency,
+  'Product ' || CAST(id % 10 AS VARCHAR) AS product_name, 'Owner ' || CAST(id % 12 AS VARCHAR) AS owner,
+  CASE WHEN id % 6 <> 0 THEN 'Call' END AS last_interaction_type,
+  CASE WHEN id % 6 <> 0 THEN close_date END AS last_interaction_date,
+  CASE WHEN id % 2 = 0 THEN 'Positive' END AS sentiment, lead_source,
+  CASE WHEN id % 7 = 0 THEN 'Level ' || CAST(id % 3 AS VARCHAR) END AS deal_priority
+FROM fact_deals""",
+    "name_batch": """
+SELECT CASE o_orderkey % 4 WHEN 0 THEN n WHEN 1 THEN upper(n) WHEN 2 THEN n || ' Holdings'
+       ELSE 'Newco ' || CAST(o_orderkey % 5 AS VARCHAR) END AS name,
+  CASE o_orderkey % 3 WHEN 0 THEN 'hubspot' WHEN 1 THEN 'salesforce' END AS source, o_orderkey AS seq
+FROM (SELECT o_orderkey, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS n FROM orders)""",
+    "questions": """
+SELECT conv_id, turn, 'Customer#' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS account_name,
+  CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN 'hello ' WHEN 1 THEN 'What did they discuss in the meeting? '
+    WHEN 2 THEN 'How many open deals are at risk? ' WHEN 3 THEN 'Summarize the call notes and the pipeline value. '
+    ELSE 'Show all deals ' END || text AS question
+FROM conversations WHERE role = 'user'""",
+    "query_log": """
+SELECT event_id,
+  'Which ' || event_type || ' records moved in period ' || CAST(event_id % 50 AS VARCHAR) || ' of the year?' AS question,
+  'SELECT count(*) FROM ' || CASE event_type WHEN 'view' THEN 'silver.fact_deals' WHEN 'click' THEN 'SILVER.dim_account'
+    ELSE 'silver.fact_insights' END || ' t' || CASE event_id % 5 WHEN 0 THEN ' JOIN silver.dim_contact c ON true'
+    WHEN 1 THEN ' JOIN Silver.Fact_Deals d ON true' ELSE '' END AS sql_text
+FROM events""",
+    "logged_tables": """
+SELECT event_id, question, list_transform(list_sort(list_distinct(list_filter(list_transform(
+    regexp_extract_all(sql_text, '(?i)silver\\.(\\w+)', 1), lambda n: lower(n)),
+    lambda n: n NOT IN ('where', 'from', 'join', 'on', 'and', 'or')))), lambda n: 'silver.' || n) AS tables
+FROM query_log""",
 }
 
 
+def _mentioned(body: str, name: str) -> bool:
+    return re.search(rf"\b{name}\b", body) is not None
+
+
 def with_views(body: str) -> str:
     """Prefix ``body`` with the views it mentions; a body may bring its own CTEs."""
-    needed = [n for n in VIEWS if re.search(rf"\b{n}\b", body)]
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in needed)
     body = body.strip()
+    needed: set[str] = set()
+    grown = True
+    while grown:
+        text = body + " ".join(VIEWS[n] for n in needed)
+        found = {n for n in VIEWS if _mentioned(text, n)}
+        grown, needed = found != needed, found
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in VIEWS if n in needed)
     if not ctes:
         return body
-    recursive = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE") else "WITH "
-    if body.upper().startswith("WITH"):
-        rest = body[len(recursive):]
-        return f"{recursive}{ctes},\n{rest}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"
