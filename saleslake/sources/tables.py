@@ -1,0 +1,35 @@
+"""Tables that are rebuilt or merged: write beside, then switch.
+
+Parquet has no row updates, so a new state of a table is written as a new version under
+the shared folder and becomes current when its pointer file is written. Readers keep the
+version they opened; a failed write leaves the old state in place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _current(spark: SparkSession, path: str) -> int | None:
+    pointer = f"{path}/current"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pointer)
+    filesystem = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not filesystem.exists(target):
+        return None
+    return spark.read.schema("version int").json(pointer).first().version
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version, or None before the first write."""
+    version = _current(spark, path)
+    return None if version is None else spark.read.parquet(f"{path}/v{version}")
+
+
+def write_table(df: DataFrame, path: str) -> int:
+    """Write the next version and make it current; returns its number."""
+    spark = df.sparkSession
+    version = (_current(spark, path) or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    spark.range(1).selectExpr(f"{version} AS version").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return version
