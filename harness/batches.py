@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harness.silver_views import (
-    customer_name, fact_deals, money_text, pick, table, text, transcripts,
-)
+from harness.silver_views import customer_name, fact_deals, pick, table, transcripts
 
 QUESTION_HEADS = [
     "hello ", "What did they discuss in the meeting? ", "How many open deals are at risk? ",
@@ -17,94 +15,90 @@ QUESTION_HEADS = [
 
 def crm_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CRM export row per deal; every third customer under a new account name."""
-    k = F.col("id")
-    customer = F.substring("contact_name", 9, 20).cast("bigint")
-    value = F.col("deal_value")
-    return fact_deals(spark, sf_dir).select(
-        k.alias("seq"),
-        pick(k, 4, "Salesforce", "hubspot", " Zoho_CRM ", "unknown_sys").alias("source_name"),
-        F.when(F.col("account_name") == "", "")
-        .when(customer % 3 == 0, F.concat("account_name", F.lit(" Holdings")))
-        .otherwise(F.col("account_name")).alias("account_name"),
-        F.when(k % 4 != 0, F.concat(F.lit("Industry "), text(k % 9))).alias("industry"),
-        F.col("geography"),
-        F.when(k % 3 != 0, text(k * 1000)).alias("annual_revenue"),
-        text(k % 5000).alias("employee_count"),
-        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("www.s"), text(k % 50), F.lit(".example"))).alias("website"),
-        F.lit("Customer").alias("account_type"),
-        F.when(k % 3 != 0, "Enterprise").alias("segment"),
-        F.col("contact_name"),
-        F.concat(F.lit("c"), text(k), F.lit("@example.com")).alias("contact_email"),
-        F.lit(None).cast("string").alias("contact_phone"),
-        F.concat(F.lit("Title "), text(k % 7)).alias("contact_title"),
-        pick(k, 4, "Primary Contact", "Engineer", "Buyer").alias("contact_role"),
-        F.when(k % 2 == 0, F.col("deal_name")).otherwise(F.concat(F.lit("New deal "), text(k % 1000))).alias("deal_name"),
-        F.when(k % 2 == 0, F.concat(F.lit("$"), value, F.lit(" "))).otherwise(value).alias("deal_value"),
-        F.col("deal_stage"),
-        F.col("close_date"),
-        F.concat("probability", F.lit("%")).alias("probability"),
-        F.lit("USD").alias("currency"),
-        F.concat(F.lit("Product "), text(k % 10)).alias("product_name"),
-        F.concat(F.lit("Owner "), text(k % 12)).alias("owner"),
-        F.when(k % 6 != 0, "Call").alias("last_interaction_type"),
-        F.when(k % 6 != 0, F.col("close_date")).alias("last_interaction_date"),
-        F.when(k % 2 == 0, "Positive").alias("sentiment"),
-        F.col("lead_source"),
-        F.when(k % 7 == 0, F.concat(F.lit("Level "), text(k % 3))).alias("deal_priority"),
+    return fact_deals(spark, sf_dir).selectExpr(
+        "id AS seq",
+        f"{pick('id % 4', ['Salesforce', 'hubspot', ' Zoho_CRM ', 'unknown_sys'])} AS source_name",
+        """CASE WHEN account_name = '' THEN '' WHEN bigint(substring(contact_name, 9, 20)) % 3 = 0
+           THEN account_name || ' Holdings' ELSE account_name END AS account_name""",
+        "IF(id % 4 <> 0, 'Industry ' || string(id % 9), NULL) AS industry",
+        "geography",
+        "IF(id % 3 <> 0, string(id * 1000), NULL) AS annual_revenue",
+        "string(id % 5000) AS employee_count",
+        "IF(id % 5 = 0, '', 'www.s' || string(id % 50) || '.example') AS website",
+        "'Customer' AS account_type",
+        "IF(id % 3 <> 0, 'Enterprise', NULL) AS segment",
+        "contact_name",
+        "'c' || string(id) || '@example.com' AS contact_email",
+        "string(NULL) AS contact_phone",
+        "'Title ' || string(id % 7) AS contact_title",
+        f"{pick('id % 4', ['Primary Contact', 'Engineer', 'Buyer'])} AS contact_role",
+        "IF(id % 2 = 0, deal_name, 'New deal ' || string(id % 1000)) AS deal_name",
+        "IF(id % 2 = 0, '$' || deal_value || ' ', deal_value) AS deal_value",
+        "deal_stage",
+        "close_date",
+        "probability || '%' AS probability",
+        "'USD' AS currency",
+        "'Product ' || string(id % 10) AS product_name",
+        "'Owner ' || string(id % 12) AS owner",
+        "IF(id % 6 <> 0, 'Call', NULL) AS last_interaction_type",
+        "IF(id % 6 <> 0, close_date, NULL) AS last_interaction_date",
+        "IF(id % 2 = 0, 'Positive', NULL) AS sentiment",
+        "lead_source",
+        "IF(id % 7 = 0, 'Level ' || string(id % 3), NULL) AS deal_priority",
     )
 
 
 def erp_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("transaction_type"),
-        money_text(F.col("l_extendedprice")).alias("amount"),
-        text(F.col("l_quantity").cast("bigint")).alias("quantity"),
-        text(F.col("l_orderkey")).alias("invoice_number"),
-        F.col("l_linestatus").alias("status"),
-        F.concat(F.lit("Part "), text(F.col("l_partkey"))).alias("product_name"),
-        F.concat(F.lit("Supplier#"), F.lpad(text(F.col("l_suppkey")), 9, "0")).alias("account_name"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS transaction_type",
+        "string(CAST(l_extendedprice AS DECIMAL(15,2))) AS amount",
+        "string(bigint(l_quantity)) AS quantity",
+        "string(l_orderkey) AS invoice_number",
+        "l_linestatus AS status",
+        "'Part ' || string(l_partkey) AS product_name",
+        "'Supplier#' || lpad(string(l_suppkey), 9, '0') AS account_name",
     )
 
 
 def hr_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_name").alias("employee_name"),
-        F.concat(F.lit("Nation "), text(F.col("s_nationkey"))).alias("department"),
-        F.lit("hire").alias("record_type"),
-        money_text(F.col("s_acctbal")).alias("salary"),
-        F.concat(F.lit("Manager "), text(F.col("s_nationkey") % 4)).alias("manager"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_name AS employee_name",
+        "'Nation ' || string(s_nationkey) AS department",
+        "'hire' AS record_type",
+        "string(CAST(s_acctbal AS DECIMAL(15,2))) AS salary",
+        "'Manager ' || string(s_nationkey % 4) AS manager",
     )
 
 
 def name_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account spellings of the orders: as stored, upper case, with a suffix, and new companies."""
-    k, name = F.col("o_orderkey"), customer_name(F.col("o_custkey"))
-    return table(spark, sf_dir, "orders").select(
-        F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name))
-        .when(k % 4 == 2, F.concat(name, F.lit(" Holdings")))
-        .otherwise(F.concat(F.lit("Newco "), text(k % 5))).alias("name"),
-        pick(k, 3, "hubspot", "salesforce").alias("source"),
-        k.alias("seq"),
+    name = customer_name("o_custkey")
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"""CASE o_orderkey % 4 WHEN 0 THEN {name} WHEN 1 THEN upper({name}) WHEN 2 THEN {name} || ' Holdings'
+            ELSE 'Newco ' || string(o_orderkey % 5) END AS name""",
+        f"{pick('o_orderkey % 3', ['hubspot', 'salesforce'])} AS source",
+        "o_orderkey AS seq",
     )
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records: every meeting note as a transcript payload."""
-    return transcripts(spark, sf_dir).select(
-        F.col("doc_id").alias("id"),
-        F.lit("notes").alias("source"),
-        F.lit("raw_transcript").alias("data_type"),
-        F.to_json(F.struct(F.col("text").alias("raw_transcript"))).alias("raw_payload"),
+    return transcripts(spark, sf_dir).selectExpr(
+        "doc_id AS id",
+        "'notes' AS source",
+        "'raw_transcript' AS data_type",
+        "to_json(named_struct('raw_transcript', text)) AS raw_payload",
         "created_at",
     )
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations, opened by one of five phrases; one account per conversation."""
-    conv, turn = F.col("conv_id"), F.col("turn")
-    return table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        conv, turn, customer_name(conv).alias("account_name"),
-        F.concat(pick(conv * 3 + turn, 5, *QUESTION_HEADS), F.col("text")).alias("question"),
+    return table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr(
+        "conv_id",
+        "turn",
+        f"{customer_name('conv_id')} AS account_name",
+        f"{pick('(conv_id * 3 + turn) % 5', QUESTION_HEADS)} || text AS question",
     )
 
 
@@ -114,20 +108,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that fell back to silver, with the question that led to them."""
-    event, kind = F.col("event_id"), F.col("event_type")
-    first = F.when(kind == "view", "silver.fact_deals").when(kind == "click", "SILVER.dim_account").otherwise("silver.fact_insights")
-    second = F.when(event % 5 == 0, " JOIN silver.dim_contact c ON true").when(event % 5 == 1, " JOIN Silver.Fact_Deals d ON true").otherwise("")
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.concat(F.lit("Which "), kind, F.lit(" records moved in period "), text(event % 50), F.lit(" of the year?")).alias("question"),
-        F.concat(F.lit("SELECT count(*) FROM "), first, F.lit(" t"), second).alias("sql_text"),
+        "'Which ' || event_type || ' records moved in period ' || string(event_id % 50) || ' of the year?' AS question",
+        """'SELECT count(*) FROM ' || CASE event_type WHEN 'view' THEN 'silver.fact_deals'
+           WHEN 'click' THEN 'SILVER.dim_account' ELSE 'silver.fact_insights' END || ' t' ||
+           CASE event_id % 5 WHEN 0 THEN ' JOIN silver.dim_contact c ON true'
+           WHEN 1 THEN ' JOIN Silver.Fact_Deals d ON true' ELSE '' END AS sql_text""",
     )
 
 
 def pending_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of proposals waiting for approval."""
+    head = F.lit("Please answer: which error records moved in period ")
     return table(spark, sf_dir, "region").select(
-        F.concat(F.lit("Please answer: which error records moved in period "), text(F.col("r_regionkey")), F.lit(" of the year")).alias("question"),
+        F.concat(head, F.col("r_regionkey").cast("string"), F.lit(" of the year")).alias("question"),
         F.lit("silver.dim_account,silver.dim_contact").alias("tables"),
     )
-

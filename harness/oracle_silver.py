@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from harness.oracle_text import hits, q, words
+from harness.oracle_text import hits, q, strip, words
 from saleslake import vocab
 
 _ENUM = {f: sorted(v) for f, v in vocab.ENUM_FIELDS.items()}
-_STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
-
-
-def strip(e: str) -> str:
-    return _STRIP.format(e)
-
-
 _CLEAN = strip("regexp_replace(deal_value, '[,$€£]', '', 'g')")
 _D = "[0-9](?:_?[0-9])*"
 _FLOAT = f"(?i)(?:[+-]?(?:(?:{_D}(?:\\.(?:{_D})?)?|\\.{_D})(?:e[+-]?{_D})?|inf|infinity|nan))"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from saleslake import vocab
+from saleslake.functions.parsing import WHITESPACE
 
 
 def q(value: str) -> str:
@@ -14,7 +15,7 @@ def words(values: list[str], lower: bool = False) -> str:
 
 
 def strip(expr: str) -> str:
-    return f"regexp_replace(regexp_replace({expr}, '^\\s+', ''), '\\s+$', '')"
+    return f"trim({expr}, '{WHITESPACE}')"
 
 
 def first(pattern: str, group: int = 1) -> str:

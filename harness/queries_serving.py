@@ -192,8 +192,8 @@ def answer_route(spark, sf_dir):
     gold = per_account(MARTS["activity_summary"](views.silver(spark, sf_dir), views.AS_OF), "gold_rows")
     silver = per_account(views.fact_deals(spark, sf_dir), "silver_rows")
     bronze = per_account(views.transcripts(spark, sf_dir), "bronze_rows")
-    label = views.customer_name(F.col("label") * 3)
-    vector = per_account(batches.vectors(spark, sf_dir).select(label.alias("account_name")), "vector_rows")
+    labelled = batches.vectors(spark, sf_dir).selectExpr(f"{views.customer_name('label * 3')} AS account_name")
+    vector = per_account(labelled, "vector_rows")
     asked = batches.questions(spark, sf_dir)
     for counts in (gold, silver, bronze, vector):
         asked = asked.join(counts, "account_name", "left")

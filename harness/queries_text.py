@@ -100,7 +100,8 @@ def deal_signals(spark, sf_dir):
 def named_contacts(spark, sf_dir):
     return (
         notes(spark, sf_dir)
-        .select("doc_id", F.explode(tx.named_contacts(F.col("text"))).alias("c"))
+        .select("doc_id", F.explode_outer(tx.named_contacts(F.col("text"))).alias("c"))
+        .where(F.col("c").isNotNull())
         .select("doc_id", F.col("c.name").alias("contact_name"), "c.role", "c.department")
     )
 

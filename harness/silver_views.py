@@ -6,193 +6,168 @@ out of the customer key, which is how the customer table itself spells them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-03-01"
-VERTICAL_NAMES = [
+TODAY = f"DATE'{AS_OF}'"
+VERTICALS = [
     "Mortgage & Lending", "Banking & Insurance", "Capital Market",
     "Higher Education", "Technology", "Payments",
 ]
+GEOGRAPHIES = ["Onshore", "Offshore", "Both"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def money_text(value: Column) -> Column:
-    return text(value.cast("decimal(15,2)"))
-
-
-def pick(key: Column, modulus: int, *names: str) -> Column:
-    """Name at position ``key % modulus``; NULL beyond the list."""
-    return F.try_element_at(F.array(*map(F.lit, names)), (key % modulus + 1).cast("int"))
-
+def pick(expression: str, names: list[str]) -> str:
+    """Name at position ``expression``; NULL beyond the list."""
+    return f"CASE {expression} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
 
-def customer_name(key: Column) -> Column:
-    return F.concat(F.lit("Customer#"), F.lpad(text(key), 9, "0"))
 
-
-def days_back(days: Column) -> Column:
-    return F.date_sub(F.lit(AS_OF).cast("date"), days.cast("int"))
+def customer_name(key: str) -> str:
+    return f"'Customer#' || lpad(string({key}), 9, '0')"
 
 
 def dim_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        k.alias("id"),
-        F.when(k % 97 == 0, "").when(k % 89 == 0, None).otherwise(F.col("c_name")).alias("account_name"),
-        F.col("c_mktsegment").alias("industry"),
-        pick(F.col("c_nationkey"), 4, "Onshore", "Offshore", "Both").alias("geography"),
-        pick(k, 7, *VERTICAL_NAMES).alias("vertical"),
-        money_text(F.col("c_acctbal")).alias("annual_revenue"),
-        text(k * 10).alias("employee_count"),
-        F.concat(F.lit("www.c"), text(k), F.lit(".example")).alias("website"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id",
+        "CASE WHEN c_custkey % 97 = 0 THEN '' WHEN c_custkey % 89 = 0 THEN NULL ELSE c_name END AS account_name",
+        "c_mktsegment AS industry",
+        f"{pick('c_nationkey % 4', GEOGRAPHIES)} AS geography",
+        f"{pick('c_custkey % 7', VERTICALS)} AS vertical",
+        "string(CAST(c_acctbal AS DECIMAL(15,2))) AS annual_revenue",
+        "string(c_custkey * 10) AS employee_count",
+        "'www.c' || string(c_custkey) || '.example' AS website",
     )
 
 
 def dim_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contact per customer and a second one for every fifth."""
-    k, name = F.col("c_custkey"), F.col("c_name")
-    first = F.struct(
-        (k * 2).alias("id"),
-        F.concat(F.lit("Contact "), text(k), F.lit("-A")).alias("contact_name"),
-        F.when(k % 3 == 0, name).when(k % 3 == 1, F.upper(name))
-        .otherwise(F.concat(F.lit(" "), name, F.lit(" "))).alias("account_name"),
-        pick(k, 4, "Primary Contact", "decision_maker", "Engineer").alias("role"),
+    roles = pick("c_custkey % 4", ["Primary Contact", "decision_maker", "Engineer"])
+    first = (
+        "named_struct('id', c_custkey * 2, 'contact_name', 'Contact ' || string(c_custkey) || '-A', 'account_name', "
+        "CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) ELSE ' ' || c_name || ' ' END, "
+        f"'role', {roles})"
+    )
+    second = (
+        "named_struct('id', c_custkey * 2 + 1, 'contact_name', 'Contact ' || string(c_custkey) || '-B', "
+        "'account_name', c_name, 'role', 'Decision Maker')"
     )
-    second = F.struct(
-        (k * 2 + 1).alias("id"),
-        F.concat(F.lit("Contact "), text(k), F.lit("-B")).alias("contact_name"),
-        name.alias("account_name"),
-        F.lit("Decision Maker").alias("role"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"inline(CASE WHEN c_custkey % 5 = 0 THEN array({first}, {second}) ELSE array({first}) END)"
     )
-    people = F.when(k % 5 == 0, F.array(first, second)).otherwise(F.array(first))
-    return table(spark, sf_dir, "customer").select(F.explode(people).alias("p")).select("p.*")
 
 
 def fact_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    deal_value = (
-        F.when(k % 20 == 0, "N/A").when(k % 20 == 1, "-5").when(k % 20 == 2, "1e5")
-        .when(k % 20 == 3, None).when(k % 20 == 4, "1.2.3")
-        .otherwise(money_text(F.col("o_totalprice")))
-    )
-    deal_stage = (
-        F.when(k % 37 == 0, None).when(k % 41 == 0, "").when(k % 43 == 0, "Closed - No Decision")
-        .when((status == "F") & (k % 3 == 0), "Closed Lost")
-        .when((status == "F") & (k % 7 == 0), "closed won")
-        .when(status == "F", "Closed Won")
-        .when((status == "O") & (k % 2 == 0), "Negotiation")
-        .when(status == "O", "Proposal")
-        .otherwise("Discovery")
-    )
-    close_date = (
-        F.when(k % 15 == 0, "Q2 2025").when(k % 16 == 0, None)
-        .otherwise(text(F.date_add(F.lit(AS_OF).cast("date"), (k % 200 - 60).cast("int"))))
-    )
-    return table(spark, sf_dir, "orders").select(
-        k.alias("id"),
-        F.when(k % 11 != 0, F.col("o_custkey")).alias("account_id"),
-        F.when(k % 101 == 0, "").otherwise(customer_name(F.col("o_custkey"))).alias("account_name"),
-        F.when(k % 53 == 0, "").when(k % 59 == 0, None)
-        .otherwise(F.concat(F.lit("Deal "), text(k))).alias("deal_name"),
-        deal_value.alias("deal_value"),
-        deal_stage.alias("deal_stage"),
-        text(k % 101).alias("probability"),
-        close_date.alias("close_date"),
-        F.concat(F.lit("Contact "), text(F.col("o_custkey"))).alias("contact_name"),
-        pick(k, 8, *VERTICAL_NAMES).alias("vertical"),
-        pick(k, 4, "AI & Data", "Application Engineering", "Digital Operations").alias("horizontal"),
-        pick(k, 5, "T&M", "Fixed", "Retainers", "Outcome-based").alias("engagement_model"),
-        F.concat(F.lit("P"), text(k % 11)).alias("opportunity_stage"),
-        F.when(k % 9 == 0, "Yes").when(k % 3 == 0, "yes").when(k % 3 == 1, "no").alias("ai_influenced"),
-        pick(k, 4, "New Business", "Existing Customer", "Renewal").alias("business_type"),
-        pick(k, 6, "Referral", "Inbound", "Conference", "Cold Outreach", "Account Mining").alias("lead_source"),
-        F.when(k % 13 == 0, "").when(k % 17 == 0, None)
-        .otherwise(F.concat(F.lit("Rep "), text(k % 25))).alias("salesperson"),
-        pick(k, 5, "Onshore", "Offshore", "Both").alias("geography"),
-        days_back(k % 400).cast("timestamp").alias("created_at"),
-        F.when(k % 23 != 0, days_back(k % 100).cast("timestamp")).alias("updated_at"),
+    return table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k").selectExpr(
+        "k AS id",
+        "CASE WHEN k % 11 <> 0 THEN o_custkey END AS account_id",
+        f"CASE WHEN k % 101 = 0 THEN '' ELSE {customer_name('o_custkey')} END AS account_name",
+        "CASE WHEN k % 53 = 0 THEN '' WHEN k % 59 = 0 THEN NULL ELSE 'Deal ' || string(k) END AS deal_name",
+        """CASE k % 20 WHEN 0 THEN 'N/A' WHEN 1 THEN '-5' WHEN 2 THEN '1e5' WHEN 3 THEN NULL WHEN 4 THEN '1.2.3'
+           ELSE string(CAST(o_totalprice AS DECIMAL(15,2))) END AS deal_value""",
+        """CASE WHEN k % 37 = 0 THEN NULL WHEN k % 41 = 0 THEN '' WHEN k % 43 = 0 THEN 'Closed - No Decision'
+           WHEN o_orderstatus = 'F' THEN CASE WHEN k % 3 = 0 THEN 'Closed Lost' WHEN k % 7 = 0 THEN 'closed won' ELSE 'Closed Won' END
+           WHEN o_orderstatus = 'O' THEN CASE WHEN k % 2 = 0 THEN 'Negotiation' ELSE 'Proposal' END
+           ELSE 'Discovery' END AS deal_stage""",
+        "string(k % 101) AS probability",
+        f"""CASE WHEN k % 15 = 0 THEN 'Q2 2025' WHEN k % 16 = 0 THEN NULL
+            ELSE string(date_add({TODAY}, int(k % 200 - 60))) END AS close_date""",
+        "'Contact ' || string(o_custkey) AS contact_name",
+        f"{pick('k % 8', VERTICALS)} AS vertical",
+        f"{pick('k % 4', ['AI & Data', 'Application Engineering', 'Digital Operations'])} AS horizontal",
+        f"{pick('k % 5', ['T&M', 'Fixed', 'Retainers', 'Outcome-based'])} AS engagement_model",
+        "'P' || string(k % 11) AS opportunity_stage",
+        "CASE WHEN k % 9 = 0 THEN 'Yes' WHEN k % 3 = 0 THEN 'yes' WHEN k % 3 = 1 THEN 'no' END AS ai_influenced",
+        f"{pick('k % 4', ['New Business', 'Existing Customer', 'Renewal'])} AS business_type",
+        f"{pick('k % 6', ['Referral', 'Inbound', 'Conference', 'Cold Outreach', 'Account Mining'])} AS lead_source",
+        "CASE WHEN k % 13 = 0 THEN '' WHEN k % 17 = 0 THEN NULL ELSE 'Rep ' || string(k % 25) END AS salesperson",
+        f"{pick('k % 5', GEOGRAPHIES)} AS geography",
+        f"timestamp(date_sub({TODAY}, int(k % 400))) AS created_at",
+        f"CASE WHEN k % 23 <> 0 THEN timestamp(date_sub({TODAY}, int(k % 100))) END AS updated_at",
     )
 
 
 def fact_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    return table(spark, sf_dir, "events").select(
-        event.alias("id"),
-        F.when(event % 29 != 0, user).alias("account_id"),
-        customer_name(user).alias("account_name"),
-        F.when(user % 31 == 0, "unknown")
-        .otherwise(text(F.date_sub(F.col("ts").cast("date"), (user % 90).cast("int")))).alias("interaction_date"),
-        F.when(kind == "purchase", "positive").when(kind == "signup", "Very Positive")
-        .when(kind == "error", "negative").when(kind == "view", "neutral").alias("sentiment"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        "CASE WHEN event_id % 29 <> 0 THEN user_id END AS account_id",
+        f"{customer_name('user_id')} AS account_name",
+        """CASE WHEN user_id % 31 = 0 THEN 'unknown'
+           ELSE string(date_sub(date(ts), int(user_id % 90))) END AS interaction_date""",
+        """CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'signup' THEN 'Very Positive'
+           WHEN 'error' THEN 'negative' WHEN 'view' THEN 'neutral' END AS sentiment""",
     )
 
 
 def fact_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.col("doc_id")
-    return table(spark, sf_dir, "labels").select(
-        doc.alias("id"),
-        F.when(doc % 19 != 0, doc % 200).alias("account_id"),
-        customer_name(doc % 200).alias("account_name"),
-        F.when(F.col("toxic") == 1, "Competitive").when(F.col("quality") == 1, "deal_signal")
-        .otherwise("action_items").alias("insight_type"),
-        F.when(F.col("quality") == 1, "0.9").otherwise("0.5").alias("confidence"),
-        text(days_back(doc % 60)).alias("insight_date"),
+    return table(spark, sf_dir, "labels").selectExpr(
+        "doc_id AS id",
+        "CASE WHEN doc_id % 19 <> 0 THEN doc_id % 200 END AS account_id",
+        f"{customer_name('doc_id % 200')} AS account_name",
+        "CASE WHEN toxic = 1 THEN 'Competitive' WHEN quality = 1 THEN 'deal_signal' ELSE 'action_items' END AS insight_type",
+        "CASE WHEN quality = 1 THEN '0.9' ELSE '0.5' END AS confidence",
+        f"string(date_sub({TODAY}, int(doc_id % 60))) AS insight_date",
     )
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One meeting note per order."""
-    k = F.col("o_orderkey")
-    company = (
-        F.when(k % 40 == 0, "Acme Corp").when(k % 40 == 10, "Globex Industries")
-        .when(k % 40 == 20, "Stark Systems").otherwise("Initech Group")
-    )
-    remark = (
-        F.when(k % 50 == 0, "we are ready to move forward, great and excellent and perfect.")
-        .when(k % 50 == 10, "there is a concern, a delay, a risk and an issue.")
-        .when(k % 50 == 20, "we will evaluate AWS and Snowflake.")
-        .otherwise("the proposal needs work.")
-    )
     lines = [
-        F.concat(F.lit("Meeting with "), company, F.lit(".")),
-        F.lit("Participants: Ann Lee, Bob Stone"),
-        F.concat(
-            F.lit("[00:05] Ann Lee: budget of $"), text(k * 100 + 1000),
-            F.when(k % 30 == 0, " million").otherwise(""), F.lit(" for the migration."),
-        ),
-        F.concat(F.lit("[00:"), F.lpad(text(k % 49 + 10), 2, "0"), F.lit("] Bob Stone: "), remark),
-        F.when(k % 20 == 0, "Industry: Retail").otherwise("Industry: Banking"),
-        F.lit("Expected close: 2024-06-30"),
-        F.when(k % 70 == 0, "Primary Contact: Carol King, Role: VP Data"),
-        F.when(
-            k % 25 == 0,
-            F.concat(F.lit("Based in New York, with "), text(k * 3 + 100),
-                     F.lit(" employees and annual revenue of $1.5 billion")),
-        ),
-        F.when(k % 35 == 0, F.concat(F.lit("Deal: Migration "), text(k))),
+        "'Meeting with ' || CASE k % 40 WHEN 0 THEN 'Acme Corp' WHEN 10 THEN 'Globex Industries' "
+        "WHEN 20 THEN 'Stark Systems' ELSE 'Initech Group' END || '.'",
+        "'Participants: Ann Lee, Bob Stone'",
+        "'[00:05] Ann Lee: budget of $' || string(k * 100 + 1000) || IF(k % 30 = 0, ' million', '') || ' for the migration.'",
+        "'[00:' || string(k % 49 + 10) || '] Bob Stone: ' || CASE k % 50 "
+        "WHEN 0 THEN 'we are ready to move forward, great and excellent and perfect.' "
+        "WHEN 10 THEN 'there is a concern, a delay, a risk and an issue.' "
+        "WHEN 20 THEN 'we will evaluate AWS and Snowflake.' ELSE 'the proposal needs work.' END",
+        "IF(k % 20 = 0, 'Industry: Retail', 'Industry: Banking')",
+        "'Expected close: 2024-06-30'",
+        "IF(k % 70 = 0, 'Primary Contact: Carol King, Role: VP Data', NULL)",
+        "IF(k % 25 = 0, 'Based in New York, with ' || string(k * 3 + 100) || ' employees and annual revenue of $1.5 billion', NULL)",
+        "IF(k % 35 = 0, 'Deal: Migration ' || string(k), NULL)",
     ]
-    return table(spark, sf_dir, "orders").select(
-        k.alias("doc_id"),
-        F.concat(F.lit("note_"), text(k), F.lit(".txt")).alias("filename"),
-        customer_name(F.col("o_custkey")).alias("account_name"),
-        F.concat_ws("\n", *lines).alias("text"),
-        F.col("o_orderdate").alias("created_at"),
+    return table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k").selectExpr(
+        "k AS doc_id",
+        "'note_' || string(k) || '.txt' AS filename",
+        f"{customer_name('o_custkey')} AS account_name",
+        f"concat_ws('\\n', {', '.join(lines)}) AS text",
+        "o_orderdate AS created_at",
     )
 
 
-def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five silver tables, lazily read."""
-    return {
-        "dim_account": dim_account(spark, sf_dir),
-        "dim_contact": dim_contact(spark, sf_dir),
-        "fact_deals": fact_deals(spark, sf_dir),
-        "fact_interactions": fact_interactions(spark, sf_dir),
-        "fact_insights": fact_insights(spark, sf_dir),
-    }
+_TABLES = {
+    "dim_account": dim_account,
+    "dim_contact": dim_contact,
+    "fact_deals": fact_deals,
+    "fact_interactions": fact_interactions,
+    "fact_insights": fact_insights,
+}
+
+
+class SilverTables(Mapping[str, DataFrame]):
+    """The five silver tables, opened when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._open = {name: lambda build=build: build(spark, sf_dir) for name, build in _TABLES.items()}
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._open[name]()
+        return self._opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._open)
+
+    def __len__(self) -> int:
+        return len(self._open)
+
+
+def silver(spark: SparkSession, sf_dir: str) -> SilverTables:
+    return SilverTables(spark, sf_dir)

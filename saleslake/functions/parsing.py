@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMOUNT_TYPE = "decimal(18,2)"
+# The characters Unicode counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def amount(value: Column) -> Column:
@@ -52,7 +64,7 @@ def not_blank(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of whitespace (``trim`` alone only removes spaces)."""
-    return F.regexp_replace(value, r"^\s+|\s+\z", "")
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def name_key(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from saleslake import vocab
-from saleslake.functions.parsing import strip
+from saleslake.functions.parsing import bind, strip
 
 
 # ------------------------------------------------------------------ small helpers
@@ -41,7 +41,8 @@ def contained(text: Column, words: list[str], label=lambda w: w) -> Column:
 
 
 def _or_default(values: Column, default: str) -> Column:
-    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(default)))
+    """The values, or the default alone when there are none."""
+    return F.filter(F.array(values, F.array(F.lit(default))), lambda v: F.size(v) > 0)[0]
 
 
 # ------------------------------------------------------------------ who and where
@@ -59,12 +60,15 @@ def company(text: Column) -> Column:
 
 def industry(text: Column) -> Column:
     """Labelled industry, else the first industry one of whose keywords occurs."""
-    lowered = F.lower(text)
-    by_keyword = F.lit(None).cast("string")
-    for name, words in reversed(list(vocab.INDUSTRY_KEYWORDS.items())):
-        by_keyword = F.when(contains_any(lowered, words), name).otherwise(by_keyword)
-    label = F.nullif(strip(_first(text, vocab.INDUSTRY_LABEL_PATTERN)), F.lit(""))
-    return F.coalesce(label, by_keyword)
+
+    def by_keyword(lowered: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name, words in reversed(list(vocab.INDUSTRY_KEYWORDS.items())):
+            found = F.when(contains_any(lowered, words), name).otherwise(found)
+        return found
+
+    label = F.nullif(strip(F.regexp_extract(text, vocab.INDUSTRY_LABEL_PATTERN, 1)), F.lit(""))
+    return F.coalesce(label, bind(F.lower(text), by_keyword))
 
 
 def geography(text: Column) -> Column:
@@ -95,7 +99,7 @@ def first_amount(text: Column) -> Column:
 
 
 def topics(text: Column) -> Column:
-    found = contained(F.lower(text), vocab.TOPIC_WORDS, label=str.capitalize)
+    found = bind(F.lower(text), lambda t: contained(t, vocab.TOPIC_WORDS, label=str.capitalize))
     return _or_default(F.slice(found, 1, 5), "General Discussion")
 
 
@@ -105,8 +109,8 @@ def action_sentences(text: Column) -> Column:
     Sentences are cut first and then tested, so a text without punctuation is scanned once.
     """
     runs = _all(text, r"[^.!?\n]++[.!?]?")
-    words = ["need", "want", "require", "plan", "decide", "agree", "confirm", "approve", "move forward", "ready"]
-    return F.filter(runs, lambda s: s.rlike(r"[.!?]\z") & contains_any(F.lower(s), words))
+    verbs = r"(?i)need|want|require|plan|decide|agree|confirm|approve|move forward|ready"
+    return F.filter(runs, lambda s: F.right(s, F.lit(1)).isin(".", "!", "?") & s.rlike(verbs))
 
 
 def key_points(text: Column) -> Column:
@@ -116,9 +120,13 @@ def key_points(text: Column) -> Column:
 
 
 def sentiment(text: Column) -> Column:
+    def by_margin(margin: Column) -> Column:
+        return F.when(margin > 2, "Positive").when(margin < -2, "Negative").otherwise("Neutral")
+
     lowered = F.lower(text)
-    margin = count_contained(lowered, vocab.POSITIVE_WORDS) - count_contained(lowered, vocab.NEGATIVE_WORDS)
-    return F.when(margin > 2, "Positive").when(margin < -2, "Negative").otherwise("Neutral")
+    return bind(
+        count_contained(lowered, vocab.POSITIVE_WORDS) - count_contained(lowered, vocab.NEGATIVE_WORDS), by_margin
+    )
 
 
 def duration_minutes(text: Column) -> Column:
@@ -135,16 +143,16 @@ def duration_minutes(text: Column) -> Column:
 
 
 def competitors(text: Column) -> Column:
-    return contained(F.lower(text), vocab.COMPETITORS)
+    return bind(F.lower(text), lambda t: contained(t, vocab.COMPETITORS))
 
 
 # ------------------------------------------------------------------ the deal
 def buying_intent(text: Column) -> Column:
-    lowered = F.lower(text)
-    return (
-        F.when(contains_any(lowered, vocab.HIGH_INTENT_WORDS), "High")
-        .when(contains_any(lowered, vocab.MEDIUM_INTENT_WORDS), "Medium")
-        .otherwise("Low")
+    return bind(
+        F.lower(text),
+        lambda t: F.when(contains_any(t, vocab.HIGH_INTENT_WORDS), "High")
+        .when(contains_any(t, vocab.MEDIUM_INTENT_WORDS), "Medium")
+        .otherwise("Low"),
     )
 
 
@@ -174,8 +182,12 @@ def named_contacts(text: Column) -> Column:
         ),
     )
     people = F.filter(mentions, lambda m: (m["name"] != "") & (F.size(F.split(m["name"], r"\s+")) <= 4))
-    names = F.transform(people, lambda m: m["name"])
-    return F.filter(people, lambda m, i: F.array_position(names, m["name"]) == i + 1)
+
+    def first_of_each(found: Column) -> Column:
+        names = F.transform(found, lambda m: m["name"])
+        return F.filter(found, lambda m, i: F.array_position(names, m["name"]) == i + 1)
+
+    return bind(people, first_of_each)
 
 
 def primary_contact(contacts: Column, attendees: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslake import vocab
-from saleslake.functions.parsing import strip
+from saleslake.functions.parsing import bind, strip
 
 
 def window_texts(text: Column, size: int = vocab.CHUNK_SIZE, overlap: int = vocab.CHUNK_OVERLAP) -> Column:
@@ -14,22 +14,27 @@ def window_texts(text: Column, size: int = vocab.CHUNK_SIZE, overlap: int = voca
 
     A window ends after the last ``". "`` in its final fifth, else after ``size``
     characters; the next one starts ``overlap`` characters earlier. One regular
-    expression cuts the text into the parts between window starts, in a single pass:
-    what is left if it fits a window, else as much as leaves the overlap before a
-    sentence end, else the full step. A window is a part and the start of the next.
+    expression cuts the text at the window ends in a single pass, the first part being
+    longer than the others by the overlap: what is left if it fits, else up to the last
+    sentence end in reach, else the full step. A window is a part with the end of the
+    part before it.
     """
-    lead = size - size // 5 - overlap
-    step = size - overlap
-    pattern = (
-        rf"(?s).{{1,{size}}}\z"
-        rf"|.{{{lead + 1},{step - 1}}}(?=.{{{overlap - 1}}}\. )"
-        rf"|.{{{step}}}"
-    )
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    following = F.slice(parts, F.lit(2), F.size(parts))
-    return F.zip_with(
-        parts, following, lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, overlap), F.lit("")))
-    )
+
+    def part(length: int) -> str:
+        shortest = length - size // 5
+        return rf".{{1,{length}}}\z|.{{{shortest},{length - 2}}}\.(?= )|.{{{length}}}"
+
+    pattern = rf"(?s)\A(?:{part(size)})|{part(size - overlap)}"
+
+    def joined(parts: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda p, i: F.concat(
+                F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(overlap))).otherwise(F.lit("")), p
+            ),
+        )
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), joined)
 
 
 def doc_prefix(filename: Column, account: Column) -> Column:
@@ -43,17 +48,21 @@ def chunk(docs: DataFrame, filename: str = "filename", account: str = "account_n
 
     No shuffle: windows are computed and exploded where the document lies.
     """
-    body = F.col("_body")
     prefix = doc_prefix(F.col(filename), F.col(account))
-    windows = (
-        docs.withColumn("_body", strip(F.col(text)))
-        .where(F.length(body) >= vocab.MIN_TEXT_CHARS)
-        .withColumn("_texts", F.filter(F.transform(window_texts(body), strip), lambda t: t != ""))
+    texts = bind(
+        strip(F.col(text)),
+        lambda body: F.when(
+            F.length(body) >= vocab.MIN_TEXT_CHARS,
+            F.filter(F.transform(window_texts(body), strip), lambda t: t != ""),
+        ),
     )
     kept = [c for c in docs.columns if c != text]
+    # The outer form keeps Spark from adding a filter that would cut every text twice.
     return (
-        windows.withColumns({"source_doc_prefix": prefix, "total_chunks": F.size("_texts").cast("bigint")})
-        .select(*kept, "source_doc_prefix", "total_chunks", F.posexplode("_texts").alias("_pos", "chunk_text"))
+        docs.withColumns({"source_doc_prefix": prefix, "_texts": texts})
+        .withColumn("total_chunks", F.size("_texts").cast("bigint"))
+        .select(*kept, "source_doc_prefix", "total_chunks", F.posexplode_outer("_texts").alias("_pos", "chunk_text"))
+        .where(F.col("chunk_text").isNotNull())
         .select(
             *kept,
             "source_doc_prefix",

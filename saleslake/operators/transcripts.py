@@ -109,10 +109,11 @@ def insights(extracted: DataFrame) -> DataFrame:
                 ),
             )
         )
+    # The outer form: there always is a deal signal, and no filter repeats the extraction.
     return extracted.select(
         "doc_id",
         F.col("company").alias("account_name"),
-        F.explode(F.array_compact(F.array(*kinds))).alias("i"),
+        F.explode_outer(F.array_compact(F.array(*kinds))).alias("i"),
     ).select("doc_id", "account_name", "i.*", F.lit("").alias("insight_date"))
 
 

@@ -8,7 +8,7 @@ dimension moves sums instead of deals and a very large account costs one row per
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from saleslake.functions.parsing import (
 from saleslake.operators.joins import fan_out_join, lookup_join
 from saleslake.operators.ranking import number_rows
 
-Silver = dict[str, DataFrame]
+Silver = Mapping[str, DataFrame]
 
 
 # ------------------------------------------------------------------ shared measures
@@ -59,23 +59,21 @@ def _mean(total: Column, count: Column) -> Column:
     return F.coalesce(total.cast("double") / F.nullif(count, F.lit(0)), F.lit(0.0))
 
 
-def _measures() -> dict[str, Column]:
-    return {
-        "total_deal_value": _money("value"),
-        "won_value": _money("value_won"),
-        "pipeline_value": _money("value_open"),
-        "ai_influenced_value": _money("value_ai"),
-        "deal_count": F.col("deals"),
-        "won_count": F.col("won"),
-        "ai_influenced_count": F.col("ai_deals"),
-        "avg_deal_size": _mean(F.col("value"), F.col("parsed")),
-        "win_rate": percent(F.col("won"), F.col("closed")),
-    }
+_MEASURES: dict[str, Callable[[], Column]] = {
+    "total_deal_value": lambda: _money("value"),
+    "won_value": lambda: _money("value_won"),
+    "pipeline_value": lambda: _money("value_open"),
+    "ai_influenced_value": lambda: _money("value_ai"),
+    "deal_count": lambda: F.col("deals"),
+    "won_count": lambda: F.col("won"),
+    "ai_influenced_count": lambda: F.col("ai_deals"),
+    "avg_deal_size": lambda: _mean(F.col("value"), F.col("parsed")),
+    "win_rate": lambda: percent(F.col("won"), F.col("closed")),
+}
 
 
 def _pick(*names: str) -> list[Column]:
-    measures = _measures()
-    return [measures[n].alias(n) for n in names]
+    return [_MEASURES[n]().alias(n) for n in names]
 
 
 def _deals(silver: Silver) -> DataFrame:
