@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harness import batches, silver_views as views
 from saleslake.functions.parsing import closing_band
 from saleslake.operators import chunking, search, transcripts, vectors
+from saleslake.operators.joins import spread
 from saleslake.plans import dashboard, questions
 from saleslake.plans.marts import MARTS
 from saleslake.plans.refresh import mart_row_counts as count_marts
@@ -127,7 +128,7 @@ def bronze_keyword_search(spark, sf_dir):
 def bronze_enrich(spark, sf_dir):
     """Entities found in the records the question is about."""
     found = search.relevant_records(batches.bronze(spark, sf_dir), QUESTION)
-    return transcripts.entity_listing(search.enrich(found))
+    return transcripts.entity_listing(search.extract_records(found))
 
 
 # ------------------------------------------------------------------ vectors
@@ -157,7 +158,7 @@ def vector_stats(spark, sf_dir):
 
 def vector_upsert(spark, sf_dir):
     """All notes are indexed; those of closed orders come again, longer than before."""
-    notes = views.transcripts(spark, sf_dir).select("doc_id", "filename", "account_name", "text")
+    notes = views.transcripts(spark, sf_dir, spread).select("doc_id", "filename", "account_name", "text")
     closed = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
     longer = notes.join(closed, "doc_id").withColumn("text", F.concat("text", F.lit("\n"), F.repeat(F.lit("More was said. "), 20)))
     index = vectors.replace_documents(chunking.chunk(notes), chunking.chunk(longer))

@@ -11,7 +11,7 @@ from saleslake.functions import parsing as p
 from saleslake.functions import quality as rules
 from saleslake.operators import identity, mapping, merge
 from saleslake.operators import quality as dq
-from saleslake.operators.joins import union_all
+from saleslake.operators.joins import spread, union_all
 from saleslake.sources import bronze as bronze_io
 
 CARRY = ["seq", "source_name"]
@@ -272,13 +272,13 @@ def dq_enum_distribution(spark, sf_dir):
 
 
 def sales_relevance(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    notes = views.transcripts(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    docs = spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    notes = views.transcripts(spark, sf_dir, spread).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
     return dq.text_relevance(docs.unionByName(notes)).select("doc_id", "hits", "is_relevant")
 
 
 def batch_relevance(spark, sf_dir):
-    return dq.batch_relevance(batches.erp_batch(spark, sf_dir))
+    return dq.batch_relevance(spread(batches.erp_batch(spark, sf_dir)))
 
 
 SILVER_QUERIES = {

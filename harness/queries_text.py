@@ -9,14 +9,15 @@ from harness import silver_views as views
 from saleslake import vocab
 from saleslake.functions import text as tx
 from saleslake.operators import chunking, transcripts
+from saleslake.operators.joins import spread
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.transcripts(spark, sf_dir)
+    return views.transcripts(spark, sf_dir, spread)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _joined(values: Column) -> Column:
@@ -107,8 +108,7 @@ def named_contacts(spark, sf_dir):
 
 
 def transcript_entities(spark, sf_dir):
-    found = transcripts.entities(transcripts.extract(notes(spark, sf_dir)))
-    return transcripts.entity_listing(found)
+    return transcripts.entity_listing(transcripts.extract(notes(spark, sf_dir)))
 
 
 def insight_text(spark, sf_dir):

@@ -6,7 +6,7 @@ out of the customer key, which is how the customer table itself spells them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,8 +115,10 @@ def fact_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One meeting note per order."""
+def transcripts(
+    spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """One meeting note per order; ``prepare`` sees the orders before their texts are written out."""
     lines = [
         "'Meeting with ' || CASE k % 40 WHEN 0 THEN 'Acme Corp' WHEN 10 THEN 'Globex Industries' "
         "WHEN 20 THEN 'Stark Systems' ELSE 'Initech Group' END || '.'",
@@ -132,7 +134,8 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(k % 25 = 0, 'Based in New York, with ' || string(k * 3 + 100) || ' employees and annual revenue of $1.5 billion', NULL)",
         "IF(k % 35 = 0, 'Deal: Migration ' || string(k), NULL)",
     ]
-    return table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k").selectExpr(
+    orders = prepare(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return orders.withColumnRenamed("o_orderkey", "k").selectExpr(
         "k AS doc_id",
         "'note_' || string(k) || '.txt' AS filename",
         f"{customer_name('o_custkey')} AS account_name",

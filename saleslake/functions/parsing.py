@@ -102,21 +102,25 @@ def coerce_audit_value(value: Column, field: str) -> Column:
     Whole floats lose their fraction unless the field is a rate or a multiplier; digit
     text loses leading zeros. Other text is stripped, and sentiment lower-cased.
     """
-    body = strip(value)
-    number = F.when(
-        body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"),
-        body.try_cast("decimal(38,10)"),
-    )
-    whole_text = number.cast("decimal(38,0)").cast("string")
-    if field.endswith(("rate", "multiplier")):
-        whole_text = F.concat(whole_text, F.lit(".0"))
-    number_text = F.when(number == F.floor(number), whole_text).otherwise(
-        F.regexp_replace(number.cast("string"), r"0+\z", "")
-    )
-    digits = F.when(body.rlike(r"^-*[0-9]+\z"), body.try_cast("decimal(38,0)").cast("string"))
-    plain = F.lower(body) if field == "sentiment" else body
+    def coerced(body: Column) -> Column:
+        number = F.when(
+            body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"),
+            body.try_cast("decimal(38,10)"),
+        )
+        digits = F.when(body.rlike(r"^-*[0-9]+\z"), body.try_cast("decimal(38,0)").cast("string"))
+        plain = F.lower(body) if field == "sentiment" else body
+        return F.coalesce(bind(number, number_text), digits, plain)
+
+    def number_text(number: Column) -> Column:
+        whole = number.cast("decimal(38,0)").cast("string")
+        if field.endswith(("rate", "multiplier")):
+            whole = F.concat(whole, F.lit(".0"))
+        return F.when(number == F.floor(number), whole).otherwise(
+            F.regexp_replace(number.cast("string"), r"0+\z", "")
+        )
+
     is_json = value.rlike(r"^[\[{]") & F.try_parse_json(value).isNotNull()
-    return F.when(is_json, value).otherwise(F.coalesce(number_text, digits, plain))
+    return F.when(is_json, value).otherwise(bind(strip(value), coerced))
 
 
 def init_cap(value: Column) -> Column:

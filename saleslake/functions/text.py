@@ -12,7 +12,7 @@ from saleslake.functions.parsing import bind, strip
 # ------------------------------------------------------------------ small helpers
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group; NULL when there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return bind(F.regexp_extract(text, pattern, group), lambda m: F.when(m != "", m))
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -27,7 +27,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def count_contained(text: Column, words: list[str]) -> Column:
-    """How many of the words occur; a plain sum stays inside generated code."""
+    """How many of the words occur."""
     total = F.lit(0)
     for word in words:
         total = total + F.contains(text, F.lit(word)).cast("int")
@@ -67,8 +67,8 @@ def industry(text: Column) -> Column:
             found = F.when(contains_any(lowered, words), name).otherwise(found)
         return found
 
-    label = F.nullif(strip(F.regexp_extract(text, vocab.INDUSTRY_LABEL_PATTERN, 1)), F.lit(""))
-    return F.coalesce(label, bind(F.lower(text), by_keyword))
+    label = _first(text, vocab.INDUSTRY_LABEL_PATTERN)
+    return F.coalesce(bind(strip(label), lambda m: F.when(m != "", m)), bind(F.lower(text), by_keyword))
 
 
 def geography(text: Column) -> Column:
@@ -123,23 +123,28 @@ def sentiment(text: Column) -> Column:
     def by_margin(margin: Column) -> Column:
         return F.when(margin > 2, "Positive").when(margin < -2, "Negative").otherwise("Neutral")
 
-    lowered = F.lower(text)
     return bind(
-        count_contained(lowered, vocab.POSITIVE_WORDS) - count_contained(lowered, vocab.NEGATIVE_WORDS), by_margin
+        F.lower(text),
+        lambda t: bind(
+            count_contained(t, vocab.POSITIVE_WORDS) - count_contained(t, vocab.NEGATIVE_WORDS), by_margin
+        ),
     )
 
 
 def duration_minutes(text: Column) -> Column:
     """First to last bracket stamp, read as hours and minutes; at least 1, 10 without stamps."""
-    hours, minutes = _all(text, vocab.TIMESTAMP_PATTERN, 1), _all(text, vocab.TIMESTAMP_PATTERN, 2)
 
-    def at(position: int) -> Column:
-        return (
-            F.try_element_at(hours, F.lit(position)).cast("bigint") * 60
-            + F.try_element_at(minutes, F.lit(position)).cast("bigint")
-        )
+    def minutes_of(stamp: Column) -> Column:
+        return F.split_part(stamp, F.lit(":"), F.lit(1)).cast("bigint") * 60 + F.split_part(
+            stamp, F.lit(":"), F.lit(2)
+        ).cast("bigint")
 
-    return F.coalesce(F.greatest(at(-1) - at(1), F.lit(1)), F.lit(10)).cast("bigint")
+    def span(stamps: Column) -> Column:
+        passed = minutes_of(F.element_at(stamps, -1)) - minutes_of(stamps[0])
+        return F.when(F.size(stamps) > 0, F.greatest(passed, F.lit(1)))
+
+    stamps = F.transform(_all(text, vocab.TIMESTAMP_PATTERN), lambda m: F.btrim(m, F.lit("[]")))
+    return F.coalesce(bind(stamps, span), F.lit(10)).cast("bigint")
 
 
 def competitors(text: Column) -> Column:
@@ -173,12 +178,15 @@ def close_date(text: Column) -> Column:
 
 def named_contacts(text: Column) -> Column:
     """Labelled contacts with role and department, first mention of each name."""
+    def part(match: Column, group: int) -> Column:
+        return strip(F.regexp_extract(match, vocab.CONTACT_PATTERN, group))
+
     mentions = F.transform(
-        F.arrays_zip(*[_all(text, vocab.CONTACT_PATTERN, g).alias(n) for g, n in enumerate(["name", "role", "department"], 1)]),
+        _all(text, vocab.CONTACT_PATTERN),
         lambda m: F.struct(
-            F.regexp_replace(strip(m["name"]), r",+\z", "").alias("name"),
-            strip(m["role"]).alias("role"),
-            strip(m["department"]).alias("department"),
+            F.regexp_replace(part(m, 1), r",+\z", "").alias("name"),
+            part(m, 2).alias("role"),
+            part(m, 3).alias("department"),
         ),
     )
     people = F.filter(mentions, lambda m: (m["name"] != "") & (F.size(F.split(m["name"], r"\s+")) <= 4))

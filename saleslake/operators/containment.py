@@ -39,7 +39,7 @@ def contained_in(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text
     lengths = name_lengths(inner, inner_text)
     if not lengths:
         lengths = [1]
-    pieces = outer.withColumn("_piece", F.explode(substrings(F.col(outer_text), lengths)))
+    pieces = outer.withColumn("_piece", F.explode_outer(substrings(F.col(outer_text), lengths)))
     return fan_out_join(
         pieces, inner.withColumn("_piece", F.col(inner_text)), ["_piece"], row_id, how="inner"
     ).drop("_piece")
@@ -78,7 +78,7 @@ def counts_by_contained_name(
     # The empty text joins the pieces of every spelling, for accounts with an empty name.
     pieces = F.concat(F.array(F.lit("")), substrings(F.col("low"), lengths))
     per_piece = (
-        spelled.select(F.explode(pieces).alias("_piece"), "contact", "deal", "interaction", "value")
+        spelled.select(F.explode_outer(pieces).alias("_piece"), "contact", "deal", "interaction", "value")
         .groupBy("_piece")
         .agg(*sums)
     )

@@ -73,5 +73,14 @@ def fan_out_join(
     ).drop("_salt", "_dim_salt", *dim_names)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on an input of fewer splits than cores.
+
+    A large input has more splits than the cluster has cores and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -107,10 +107,10 @@ def batch_relevance(df: DataFrame) -> DataFrame:
     blob = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])
     open_words = [w for w in vocab.SALES_KEYWORDS if w not in names]
     sure = hints + len(vocab.SALES_KEYWORDS) - len(open_words)
-    found = df.agg(
-        *[F.max(F.contains(F.lower(blob), F.lit(w)).cast("int")).alias(f"w_{i}") for i, w in enumerate(open_words)],
-        F.max(F.when(blob.rlike(rules.ROLE_PATTERN), 2).otherwise(0)).alias("role"),
-        F.max(F.when(blob.rlike(vocab.RELEVANCE_MONEY_PATTERN), 1).otherwise(0)).alias("money"),
+    found = df.select(blob.alias("_blob"), F.lower(blob).alias("_low")).agg(
+        *[F.max(F.contains("_low", F.lit(w)).cast("int")).alias(f"w_{i}") for i, w in enumerate(open_words)],
+        F.max(F.when(F.col("_blob").rlike(rules.ROLE_PATTERN), 2).otherwise(0)).alias("role"),
+        F.max(F.when(F.col("_blob").rlike(vocab.RELEVANCE_MONEY_PATTERN), 1).otherwise(0)).alias("money"),
     )
     hits = F.lit(sure)
     for column in found.columns:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslake import vocab
+from saleslake.functions.parsing import bind
 from saleslake.operators import transcripts
 from saleslake.operators.transcripts import usable_text
 
@@ -23,13 +24,16 @@ def question_keywords(question: str, account: str | None = None) -> list[str]:
 
 def keyword_hits(bronze: DataFrame, keywords: list[str]) -> DataFrame:
     """Newest records per keyword, numbered in keyword order; one scan for all keywords."""
-    payload = F.lower("raw_payload")
-    found = F.array_compact(
-        F.array(*[F.when(F.contains(payload, F.lit(w.lower())), F.lit(i)) for i, w in enumerate(keywords)])
+    found = bind(
+        F.lower("raw_payload"),
+        lambda text: F.array_compact(
+            F.array(*[F.when(F.contains(text, F.lit(w.lower())), F.lit(i)) for i, w in enumerate(keywords)])
+        ),
     )
     newest = Window.partitionBy("keyword_no").orderBy(F.desc("created_at"), F.desc("id"))
     return (
-        bronze.select("*", F.explode(found).alias("keyword_no"))
+        bronze.select("*", F.explode_outer(found).alias("keyword_no"))
+        .where(F.col("keyword_no").isNotNull())
         .withColumn("hit", F.row_number().over(newest))
         .where(F.col("hit") <= PER_KEYWORD)
     )
@@ -67,8 +71,12 @@ def payload_text(bronze: DataFrame) -> DataFrame:
     )
 
 
-def enrich(bronze: DataFrame) -> dict[str, DataFrame]:
-    """Silver entities found in bronze records, under the source name ``<source>_enriched``."""
+def extract_records(bronze: DataFrame) -> DataFrame:
+    """Extracted attributes of the usable records, under the source name ``<source>_enriched``."""
     texts = payload_text(bronze).withColumnRenamed("id", "doc_id")
-    extracted = transcripts.extract(texts).withColumn("source", F.concat("source", F.lit("_enriched")))
-    return transcripts.entities(extracted)
+    return transcripts.extract(texts).withColumn("source", F.concat("source", F.lit("_enriched")))
+
+
+def enrich(bronze: DataFrame) -> dict[str, DataFrame]:
+    """Silver entities found in bronze records."""
+    return transcripts.entities(extract_records(bronze))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from saleslake import vocab
 from saleslake.functions import text as tx
 from saleslake.functions.parsing import strip
-from saleslake.operators.joins import union_all
 
 
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,8 +80,8 @@ def action_sentence(items: Column) -> Column:
     return F.concat(F.lit("Follow-up actions from meeting: "), F.array_join(lines, "; "), F.lit("."))
 
 
-def insights(extracted: DataFrame) -> DataFrame:
-    """Insight rows per document: deal signal, competitors if any, action items if the rows carry them."""
+def _insight_kinds(columns: list[str]) -> Column:
+    """Deal signal, competitors if any, action items if the rows carry them."""
     kinds = [
         F.struct(
             F.lit("deal_signal").alias("insight_type"),
@@ -98,7 +97,7 @@ def insights(extracted: DataFrame) -> DataFrame:
             ),
         ),
     ]
-    if "action_items" in extracted.columns:
+    if "action_items" in columns:
         kinds.append(
             F.when(
                 F.size("action_items") > 0,
@@ -109,79 +108,91 @@ def insights(extracted: DataFrame) -> DataFrame:
                 ),
             )
         )
-    # The outer form: there always is a deal signal, and no filter repeats the extraction.
+    return F.array_compact(F.array(*kinds))
+
+
+def _people() -> Column:
+    """Attendees as participants, then the labelled contacts."""
+
+    def person(name: Column, role: Column, department: Column) -> Column:
+        return F.struct(name.alias("contact_name"), role.alias("role"), department.alias("department"))
+
+    return F.concat(
+        F.transform("attendees", lambda n: person(n, F.lit("Participant"), F.lit(""))),
+        F.transform("contacts", lambda c: person(c["name"], c["role"], c["department"])),
+    )
+
+
+def _deal() -> Column:
+    stage = F.when(F.col("stated_stage") != "", F.col("stated_stage")).otherwise(_by_intent(vocab.INTENT_STAGE))
+    name = F.when(F.col("deal_name") != "", F.col("deal_name")).otherwise(F.concat(F.col("company"), F.lit(" Deal")))
+    return F.struct(
+        name.alias("deal_name"),
+        "deal_value",
+        stage.alias("deal_stage"),
+        "close_date",
+        F.col("primary_contact").alias("contact_name"),
+        F.to_json(F.struct("buying_intent", "budget_confirmed")).alias("source_data"),
+    )
+
+
+def _interaction() -> Column:
+    return F.struct(
+        F.lit("meeting").alias("interaction_type"),
+        F.col("close_date").alias("interaction_date"),
+        F.array_join("key_points", ", ").alias("summary"),
+        F.lower("sentiment").alias("sentiment"),
+        F.col("duration_minutes").cast("string").alias("duration_minutes"),
+        F.to_json(F.struct("attendees", "topics", "key_points", "competitors", "buying_intent")).alias("source_data"),
+    )
+
+
+# Outer explodes: Spark adds no filter to them, which would repeat the extraction.
+def insights(extracted: DataFrame) -> DataFrame:
+    """Insight rows per document; there always is a deal signal."""
     return extracted.select(
         "doc_id",
         F.col("company").alias("account_name"),
-        F.explode_outer(F.array_compact(F.array(*kinds))).alias("i"),
+        F.explode_outer(_insight_kinds(extracted.columns)).alias("i"),
     ).select("doc_id", "account_name", "i.*", F.lit("").alias("insight_date"))
 
 
 def entities(extracted: DataFrame) -> dict[str, DataFrame]:
     """The five silver record sets found in extracted transcripts."""
     account = F.col("company").alias("account_name")
-    person = extracted.select(
-        "doc_id",
-        account,
-        F.explode(
-            F.concat(
-                F.transform(
-                    "attendees",
-                    lambda n: F.struct(n.alias("contact_name"), F.lit("Participant").alias("role"), F.lit("").alias("department")),
-                ),
-                F.transform(
-                    "contacts",
-                    lambda c: F.struct(c["name"].alias("contact_name"), c["role"].alias("role"), c["department"].alias("department")),
-                ),
-            )
-        ).alias("p"),
-    ).select("doc_id", "account_name", "p.*")
-    stage = F.when(F.col("stated_stage") != "", F.col("stated_stage")).otherwise(_by_intent(vocab.INTENT_STAGE))
-    name = F.when(F.col("deal_name") != "", F.col("deal_name")).otherwise(F.concat(F.col("company"), F.lit(" Deal")))
+    people = extracted.select("doc_id", account, F.explode_outer(_people()).alias("p")).where(F.col("p").isNotNull())
     return {
         "dim_account": extracted.select(
             "doc_id", account, "industry", "geography", "employee_count", "annual_revenue"
         ),
-        "dim_contact": person,
-        "fact_interactions": extracted.select(
-            "doc_id",
-            account,
-            F.lit("meeting").alias("interaction_type"),
-            F.col("close_date").alias("interaction_date"),
-            F.array_join("key_points", ", ").alias("summary"),
-            F.lower("sentiment").alias("sentiment"),
-            F.col("duration_minutes").cast("string").alias("duration_minutes"),
-            F.to_json(F.struct("attendees", "topics", "key_points", "competitors", "buying_intent")).alias("source_data"),
-        ),
-        "fact_deals": extracted.select(
-            "doc_id",
-            account,
-            name.alias("deal_name"),
-            "deal_value",
-            stage.alias("deal_stage"),
-            "close_date",
-            F.col("primary_contact").alias("contact_name"),
-            F.to_json(F.struct("buying_intent", "budget_confirmed")).alias("source_data"),
-        ),
+        "dim_contact": people.select("doc_id", "account_name", "p.*"),
+        "fact_interactions": extracted.select("doc_id", account, _interaction().alias("i")).select("doc_id", "account_name", "i.*"),
+        "fact_deals": extracted.select("doc_id", account, _deal().alias("d")).select("doc_id", "account_name", "d.*"),
         "fact_insights": insights(extracted),
     }
 
 
-def entity_listing(found: dict[str, DataFrame]) -> DataFrame:
-    """All entity rows in one shape: which table, which account, which record."""
-    label = {
-        "dim_account": F.coalesce("industry", F.lit("")),
-        "dim_contact": F.concat_ws("/", "contact_name", "role"),
-        "fact_interactions": F.concat_ws("/", "interaction_date", "sentiment", "duration_minutes"),
-        "fact_deals": F.concat_ws("/", "deal_name", "deal_value", "deal_stage", "close_date", "contact_name"),
-        "fact_insights": F.concat_ws("/", "insight_type", "confidence"),
-    }
-    return union_all(
-        [
-            df.select(F.lit(table).alias("entity"), "doc_id", "account_name", label[table].alias("record"))
-            for table, df in found.items()
-        ]
+def entity_listing(extracted: DataFrame) -> DataFrame:
+    """All entity rows in one shape (which table, which account, which record), from one scan."""
+
+    def row(table: str, record: Column) -> Column:
+        return F.struct(F.lit(table).alias("entity"), record.alias("record"))
+
+    def joined(value: Column, *names: str) -> Column:
+        return F.concat_ws("/", *[value[n] for n in names])
+
+    rows = F.concat(
+        F.array(row("dim_account", F.coalesce("industry", F.lit("")))),
+        F.transform(_people(), lambda p: row("dim_contact", joined(p, "contact_name", "role"))),
+        F.array(row("fact_interactions", F.concat_ws("/", "close_date", F.lower("sentiment"), "duration_minutes"))),
+        F.array(row("fact_deals", joined(_deal(), "deal_name", "deal_value", "deal_stage", "close_date", "contact_name"))),
+        F.transform(
+            _insight_kinds(extracted.columns), lambda i: row("fact_insights", joined(i, "insight_type", "confidence"))
+        ),
     )
+    return extracted.select(
+        "doc_id", F.col("company").alias("account_name"), F.explode_outer(rows).alias("r")
+    ).select("r.entity", "doc_id", "account_name", "r.record")
 
 
 def usable_text(payload_columns: list[str]) -> Column:
