@@ -57,14 +57,22 @@ def filled(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
+def _plain(value: Column) -> Column:
+    """Begins with a visible ASCII character: the common case, told from one byte."""
+    return F.ascii(value).between(33, 126)
+
+
 def not_blank(value: Column) -> Column:
     """Not NULL and not only whitespace."""
-    return value.isNotNull() & (strip(value) != "")
+    return bind(value, lambda v: v.isNotNull() & (_plain(v) | (F.btrim(v, F.lit(WHITESPACE)) != "")))
 
 
 def strip(value: Column) -> Column:
     """Trim every kind of whitespace (``trim`` alone only removes spaces)."""
-    return F.btrim(value, F.lit(WHITESPACE))
+    return bind(
+        value,
+        lambda v: F.when(_plain(v) & _plain(F.right(v, F.lit(1))), v).otherwise(F.btrim(v, F.lit(WHITESPACE))),
+    )
 
 
 def name_key(value: Column) -> Column:

@@ -56,7 +56,8 @@ def match_existing(names: DataFrame, accounts: DataFrame) -> DataFrame:
         .join(same_key, "key", "left")
         .drop("key")
     )
-    open_names = looked_up.where(F.coalesce("exact_id", "key_id").isNull()).select("name")
+    # Written once: the lengths and both containment joins read it.
+    open_names = durable(looked_up.where(F.coalesce("exact_id", "key_id").isNull()).select("name"))
     fuzzy = _containment_matches(open_names, known).groupBy("name").agg(F.min("best").alias("best"))
     return looked_up.join(fuzzy, "name", "left").select(
         "name",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslake import vocab
-from saleslake.functions.parsing import canonical_text, clean_currency, column_name, strip
+from saleslake.functions.parsing import bind, canonical_text, clean_currency, column_name, strip
 from saleslake.operators.joins import union_all
 
 _SYSTEM_COLUMNS = ["id", "created_at", "updated_at", "account_id"]
@@ -159,8 +159,9 @@ def to_silver(mapped: DataFrame, table: str, carry: list[str] | None = None, ext
 def account_names(columns: list[str]) -> Column:
     """The account a raw record speaks of: first non-empty of its naming fields."""
     options = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ["account_name", "company", "account"] if c in columns]
-    name = strip(F.coalesce(*options)) if options else F.lit(None).cast("string")
-    return F.when(F.length(name) > 1, name)
+    if not options:
+        return F.lit(None).cast("string")
+    return bind(strip(F.coalesce(*options)), lambda name: F.when(F.length(name) > 1, name))
 
 
 def batch_accounts(df: DataFrame) -> DataFrame:
