@@ -73,7 +73,7 @@ def counts_by_contained_name(
         .groupBy("low")
         .agg(*sums)
     )
-    keyed = accounts.withColumn("_low", F.lower("account_name"))
+    keyed = accounts.withColumn("_piece", F.lower("account_name"))
     lengths = name_lengths(accounts, "account_name") or [1]
     # The empty text joins the pieces of every spelling, for accounts with an empty name.
     pieces = F.concat(F.array(F.lit("")), substrings(F.col("low"), lengths))
@@ -83,7 +83,7 @@ def counts_by_contained_name(
         .agg(*sums)
     )
     return (
-        keyed.join(per_piece, F.col("_low") == F.col("_piece"), "left")
+        fan_out_join(keyed, per_piece, ["_piece"], "id")
         .select(
             *accounts.columns,
             F.coalesce("contact", zero).alias("contact_count"),

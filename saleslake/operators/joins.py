@@ -77,6 +77,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row-wise work on an input of fewer splits than cores.
 
     A large input has more splits than the cluster has cores and is left where it lies.
+    Meant for scans: asking a shuffled input for its splits would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.functions.parsing import filled
-from saleslake.operators.joins import union_all
+from saleslake.functions.parsing import filled, name_key
+from saleslake.operators.joins import fan_out_join, union_all
 
 
 def last_non_null(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -46,12 +46,15 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> D
 
 
 def merge_deals(current: DataFrame, batch: DataFrame, seq: str) -> DataFrame:
-    """Merge on (deal_name, account_name); deals lacking either are appended as they are."""
+    """Merge on (deal_name, account_name); deals lacking either are appended as they are.
+
+    Deals without a full key stay out of the join on both sides: they match nothing, and
+    many of them may share one incomplete key.
+    """
     keys = ["deal_name", "account_name"]
-    keyed = filled(F.col("deal_name")) & filled(F.col("account_name"))
-    merged = upsert(current, batch.where(keyed), keys, seq)
-    loose = batch.where(~F.coalesce(keyed, F.lit(False))).drop(seq)
-    return union_all([merged, loose])
+    keyed = F.coalesce(filled(F.col("deal_name")) & filled(F.col("account_name")), F.lit(False))
+    merged = upsert(current.where(keyed), batch.where(keyed), keys, seq)
+    return union_all([merged, current.where(~keyed), batch.where(~keyed).drop(seq)])
 
 
 def append(current: DataFrame, batch: DataFrame) -> DataFrame:
@@ -71,9 +74,6 @@ def backfill_account_id(facts: DataFrame, accounts: DataFrame) -> DataFrame:
 
     Each distinct name is looked up once; the names are joined back by salting hot ones.
     """
-    from saleslake.functions.parsing import name_key
-    from saleslake.operators.joins import fan_out_join
-
     by_name = accounts.groupBy(name_key(F.col("account_name")).alias("_key")).agg(F.min("id").alias("_found"))
     needed = facts.withColumn("_key", F.when(F.col("account_id").isNull(), name_key(F.col("account_name"))))
     known = by_name.where(F.col("_key").isNotNull())

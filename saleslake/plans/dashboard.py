@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saleslake.functions.parsing import amount, filled, is_open, is_won, leading_number, same_text
 from saleslake.operators.containment import counts_by_contained_name
-from saleslake.operators.joins import union_all
+from saleslake.operators.joins import fan_out_join, union_all
 from saleslake.plans.marts import MARTS, Silver
 
 RECENT = 20
@@ -219,6 +219,7 @@ def mart_then_detail(requests: DataFrame, mart: DataFrame, detail: DataFrame) ->
     wanted = requests.select("account_name").distinct()
     from_mart = wanted.join(mart.select("account_name", "answer"), "account_name").withColumn("fallback_used", F.lit(False))
     missing = wanted.join(mart.select("account_name").distinct(), "account_name", "left_anti")
-    from_detail = detail.select("account_name", "answer").join(missing, "account_name").withColumn("fallback_used", F.lit(True))
+    rows = fan_out_join(detail.select("account_name", "answer"), missing, ["account_name"], "answer", how="inner")
+    from_detail = rows.withColumn("fallback_used", F.lit(True))
     return from_mart.unionByName(from_detail)
 

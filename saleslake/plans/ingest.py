@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from saleslake import vocab
 from saleslake.functions.parsing import coerce_audit_value
 from saleslake.operators import identity, mapping, merge, quality, transcripts
-from saleslake.operators.joins import spread, union_all
+from saleslake.operators.joins import fan_out_join, spread, union_all
 from saleslake.plans.refresh import refresh_all
 from saleslake.session import durable
 from saleslake.sources import bronze
@@ -180,7 +180,7 @@ def _load(
 
     ids = resolved.select(F.col("name").alias("account_name"), F.col("account_id").alias("_found"))
     for table, df in facts.items():
-        linked = df.join(ids, "account_name", "left").withColumnRenamed("_found", "account_id")
+        linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
         if table in EVENT_FACTS:
             numbered = merge.assign_ids(linked.drop("seq").withColumn("id", F.lit(None).cast("bigint")))
             _write_batch(numbered, f"{lake}/silver/{table}", batch_id)
