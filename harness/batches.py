@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harness.silver_views import customer_name, fact_deals, pick, table, transcripts
 
@@ -120,8 +119,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pending_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of proposals waiting for approval."""
-    head = F.lit("Please answer: which error records moved in period ")
-    return table(spark, sf_dir, "region").select(
-        F.concat(head, F.col("r_regionkey").cast("string"), F.lit(" of the year")).alias("question"),
-        F.lit("silver.dim_account,silver.dim_contact").alias("tables"),
+    return table(spark, sf_dir, "region").selectExpr(
+        "'Please answer: which error records moved in period ' || string(r_regionkey) || ' of the year' AS question",
+        "'silver.dim_account,silver.' || IF(r_regionkey < 3, 'dim_contact', 'fact_insights') AS tables",
     )

@@ -65,7 +65,7 @@ SELECT conv_id, string_agg(upper(role) || ': ' || {}, chr(10) ORDER BY turn) AS
 _PROPOSALS = """
 p AS (
   SELECT lower('Please answer: which error records moved in period ' || CAST(r_regionkey AS VARCHAR) || ' of the year') AS question,
-    'silver.dim_account,silver.dim_contact' AS tables FROM region
+    'silver.dim_account,silver.' || CASE WHEN r_regionkey < 3 THEN 'dim_contact' ELSE 'fact_insights' END AS tables FROM region
 )"""
 _HIT = """
 b AS (

@@ -11,6 +11,7 @@ from saleslake.functions.parsing import amount, filled, is_open, is_won, leading
 from saleslake.operators.containment import counts_by_contained_name
 from saleslake.operators.joins import fan_out_join, union_all
 from saleslake.plans.marts import MARTS, Silver
+from saleslake.session import durable
 
 RECENT = 20
 FEED = 50
@@ -92,19 +93,14 @@ def dashboard_stats(silver: Silver) -> DataFrame:
 
 def pipeline_share(silver: Silver, as_of: str) -> DataFrame:
     """Share of every pipeline stage in the open pipeline, in percent."""
-    stages = MARTS["pipeline_health"](silver, as_of).groupBy("stage").agg(
-        F.sum(F.col("total_value").cast("decimal(28,2)")).alias("value")
-    )
-    total = stages.agg(F.sum("value").cast("double").alias("total")).withColumn("one", F.lit(1))
-    return (
-        stages.withColumn("one", F.lit(1))
-        .join(F.broadcast(total), "one")  # one row
-        .select(
-            "stage",
-            F.col("value").cast("double").alias("total_value"),
-            F.coalesce(F.col("value").cast("double") / F.nullif("total", F.lit(0.0)) * 100, F.lit(0.0)).alias("share"),
+    stages = durable(
+        MARTS["pipeline_health"](silver, as_of).groupBy("stage").agg(
+            F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double").alias("total_value")
         )
     )
+    total = stages.agg(F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double")).first()[0]
+    share = F.col("total_value") / F.lit(total) * 100 if total else F.lit(0.0)
+    return stages.select("stage", "total_value", share.alias("share"))
 
 
 def _risk_rank() -> Column:
