@@ -58,6 +58,14 @@ def match_existing(names: DataFrame, accounts: DataFrame) -> DataFrame:
     )
     # Written once: the lengths and both containment joins read it.
     open_names = durable(looked_up.where(F.coalesce("exact_id", "key_id").isNull()).select("name"))
+    if open_names.isEmpty():
+        return looked_up.select(
+            "name",
+            "seq",
+            F.coalesce("exact_id", "key_id").alias("account_id"),
+            F.when(F.col("exact_id").isNotNull(), 1).otherwise(2).alias("tier"),
+            F.lit(None).cast("int").alias("size"),
+        )
     fuzzy = _containment_matches(open_names, known).groupBy("name").agg(F.min("best").alias("best"))
     return looked_up.join(fuzzy, "name", "left").select(
         "name",
@@ -123,6 +131,9 @@ def resolve(names: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame
     """
     first = durable(match_existing(distinct_names(names), accounts))
     unmatched = first.where("tier is null").select("name", "seq")
+    if unmatched.isEmpty():
+        none = accounts.select("id", "account_name").limit(0)
+        return first.select("name", "account_id", "tier"), none
     top = accounts.agg(F.max("id")).first()[0] or 0
     fresh = number_rows(created_names(unmatched), [F.asc("seq"), F.asc("name")], "n")
     new_accounts = durable(fresh.select((F.col("n") + top).alias("id"), F.col("name").alias("account_name"), F.col("seq").alias("created_seq")))
