@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import decontaminate, exact, tokens
+from saleslake.llm import decontaminate, exact, relative, suffixes, tokens
 from saleslake.llm.common import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative.substring_dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,7 +30,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_suffix_array_dedup, op5_substring_dedup, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
+)}
 
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
