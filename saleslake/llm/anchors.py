@@ -5,11 +5,12 @@ have equal anchors at equal places, so windows can only repeat under the same an
 anchor occurrence form a segment; a document is cut into one segment for every ``(width - gram + 2) / 2`` items or so.
 
 1. A scan hashes the anchors to a bit array of bounded size: bits hit twice, and bits hit with different segment texts.
-2. A second scan keeps the segments on repeated bits, with their text where texts differ. Equal segments are grouped
-   (class: anchor and text) and the first of each class is found; a class is one row however many copies it has.
-3. Classes of one anchor with different texts are compared by the operator's own method, in chunks of many anchors.
-   An anchor with more than ``CROWD`` texts is dealt out by window: each text goes to the shares its windows hash to.
-4. A segment after the first of its class repeats as a whole; the first repeats where step 3 says so.
+2. A second scan keeps the segments on repeated bits, with their text where texts differ (once for each 2 MB of input).
+3. Different texts of one anchor are compared by the operator's own method, in chunks of many anchors; this finds what
+   repeats in the first copy of each text. An anchor with more than ``CROWD`` texts is dealt out by window: each text
+   goes to the shares that its windows hash to.
+4. Equal segments form a class; its first place is an aggregate, combined in each task before the shuffle. The copies
+   after the first repeat as a whole.
 
 Order of documents: by id, a missing id first, then by a hash of the text where rows share an id. Rows that share both
 are one document and get the same result.
@@ -22,16 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import Words, buffers, keyed, mixed, prefix_hashes, random_table, range_hash, safe_id, separators, stored, text_pieces, window_hash
+from saleslake.llm.common import NO_ID, Words, buffers, keyed, mixed, prefix_hashes, random_table, range_hash, release, safe_id, separators, stored, text_pieces, window_hash
 
 #: Bits for each expected segment; bits at least and at most (64 MB a map), powers of two.
 BITS_PER_SEGMENT, MIN_BITS, MAX_BITS = 8, 1 << 16, 1 << 29
 BITMAP = 32768
 #: Texts of one anchor that are compared in one share.
 CROWD = 1500
+#: Crowded anchors that are split, the most crowded ones; each of the rest has less than one in so many of the texts.
+CROWDS = 1 << 16
 #: Bytes of text that are compared at once.
 CHUNK_BYTES = 2 << 20
 #: Room for positions in the packed minima, and window starts that are packed at once.
@@ -136,11 +139,12 @@ def read_bits(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-SEGMENTS = "doc_id long, tk int, at long, n int, anchor long, cls long, body binary"
+SEGMENTS = "doc_id long, tk int, at long, n int, anchor long, cls long, body binary, ats array<long>"
 
 
 def candidates(items: Items, bits: int, shared):
-    """For ``mapInArrow``: segments on repeated bits; the first of each class in a piece has its text where texts differ."""
+    """For ``mapInArrow``: segments on repeated bits. Where texts differ, the first place of each class in a piece has
+    the text, and all places of the class in that document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, differ = shared.value
@@ -151,75 +155,115 @@ def candidates(items: Items, bits: int, shared):
             keep = np.flatnonzero(read_bits(twice, bit))
             first, count, anchor, kind, bit = first[keep], count[keep], anchor[keep], kind[keep], bit[keep]
             doc = np.searchsorted(bounds, first, "right") - 1
-            told = read_bits(differ, bit)
-            _, new = np.unique(anchor ^ mixed(kind), return_index=True)
-            fresh = np.zeros(len(first), bool)
-            fresh[new] = True
-            told &= fresh
-            low, high = first, first + count - 1 + items.width
-            if words is not None:
-                low, high = words.starts[low], words.ends[high - 1]
-            bodies = [data[a:b].tobytes() if t else None for a, b, t in zip(low.tolist(), high.tolist(), told.tolist())]
+            at = first - bounds[doc]
+            rank = np.lexsort((rows.column("tk").to_numpy(), rows.column("doc_id").to_numpy())).argsort()[doc]
+            told = np.flatnonzero(read_bits(differ, bit))
+            told = told[np.lexsort((at[told], rank[told], kind[told], anchor[told]))]
+            same = (anchor[told[1:]] == anchor[told[:-1]]) & (kind[told[1:]] == kind[told[:-1]])
+            new_class = np.concatenate([[True], ~same]) if len(told) else np.zeros(0, bool)
+            new_doc = new_class.copy()
+            new_doc[1:] |= rank[told[1:]] != rank[told[:-1]]
+            heads = np.flatnonzero(new_class)
+            edges = np.append(np.flatnonzero(new_doc), len(told))
+            ends = edges[np.searchsorted(edges, heads) + 1] if len(heads) else heads
+            bodies, ats = [None] * len(first), [None] * len(first)
+            for a, b in zip(heads.tolist(), ends.tolist()):
+                k = told[a]
+                low, high = first[k], first[k] + count[k] - 1 + items.width
+                if words is not None:
+                    low, high = words.starts[low], words.ends[high - 1]
+                bodies[k], ats[k] = data[low:high].tobytes(), at[told[a:b]]
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id").take(pick), rows.column("tk").take(pick), pa.array(first - bounds[doc]), pa.array(count.astype(np.int32)),
-                pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(bodies, pa.binary())],
-                ["doc_id", "tk", "at", "n", "anchor", "cls", "body"])
+                rows.column("doc_id").take(pick), rows.column("tk").take(pick), pa.array(at), pa.array(count.astype(np.int32)),
+                pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(bodies, pa.binary()), pa.array(ats, pa.list_(pa.int64()))],
+                ["doc_id", "tk", "at", "n", "anchor", "cls", "body", "ats"])
 
     return run
 
 
-CLASSES = "anchor long, cls long, doc_id long, tk int, at long, body binary, share int, shares int"
-RANGES = "anchor long, cls long, start int, count int"
+TEXTS = "doc_id long, tk int, anchor long, cls long, body binary, ats array<long>, share int, shares int"
+RUNS = "doc_id long, tk int, start long, count long"
 
 
-def shares_of_windows(items: Items):
-    """For ``mapInArrow`` over texts of crowded anchors: one row for each share that a window of the text falls to."""
+def dealt(items: Items, crowds):
+    """For ``mapInArrow`` over texts: of a crowded anchor, one row for each share that a window of the text falls to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded, parts = (np.array(x, np.int64) for x in (sorted(crowds.value), [crowds.value[k] for k in sorted(crowds.value)]))
         for batch in batches:
-            take, share = [], []
-            for rows, data, offsets in text_pieces([batch], "body"):
+            anchor = batch.column("anchor").to_numpy()
+            shares = np.ones(len(batch), np.int64)
+            if len(crowded) and len(anchor):
+                spot = np.searchsorted(crowded, anchor).clip(max=len(crowded) - 1)
+                shares = np.where(crowded[spot] == anchor, parts[spot], 1)
+            take, share = [np.flatnonzero(shares == 1)], [np.zeros(int((shares == 1).sum()), np.int64)]
+            many = np.flatnonzero(shares > 1)
+            base = 0
+            for rows, data, offsets in text_pieces([batch.take(pa.array(many))], "body") if len(many) else ():
                 values, bounds, _ = items.values(data, offsets)
                 hashes = window_hash(prefix_hashes(values), items.width)
                 for i in range(len(rows)):
-                    k = len(take) and take[-1] + 1
-                    own = np.unique(hashes[bounds[i] : bounds[i + 1] - items.width + 1] % np.uint64(batch.column("shares")[k].as_py()))
-                    take.extend([k] * len(own))
-                    share.extend(own.tolist())
-            part = batch.take(pa.array(take, pa.int64()))
-            yield part.set_column(part.schema.get_field_index("share"), "share", pa.array(share, pa.int32()))
+                    own = np.unique(hashes[bounds[i] : bounds[i + 1] - items.width + 1] % np.uint64(shares[many[base + i]]))
+                    take.append(np.full(len(own), many[base + i]))
+                    share.append(own.astype(np.int64))
+                base += len(rows)
+            take, share = np.concatenate(take), np.concatenate(share)
+            out = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, pa.array(share.astype(np.int32)), pa.array(shares[take].astype(np.int32))], [*out.schema.names, "share", "shares"])
 
     return run
 
 
-def compare(items: Items, resolve: Callable):
-    """For ``mapInArrow`` over classes sorted by anchor and share: where texts repeat windows of earlier ones.
+def compare(items: Items, resolve: Callable, same_document: bool):
+    """For ``mapInArrow`` over texts sorted by anchor and share: runs of windows that repeat those of other texts.
 
-    Chunks hold whole groups. ``resolve`` gets the chunk's items and returns for every window start whether an equal
-    window of an earlier place is in the chunk."""
+    Chunks hold whole groups. ``resolve`` gets the items of the chunk's distinct texts, each with its first place, and
+    returns for every window start whether an equal window of an earlier place is in the chunk. Runs are those of the
+    text's first place, or (unless ``same_document``) of all its places in the document with the smallest id."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        data, offsets = buffers(rows.column("body"))
+        anchor, cls, share, doc, tk = (rows.column(c).to_numpy() for c in ("anchor", "cls", "share", "doc_id", "tk"))
+        at = rows.column("ats").combine_chunks()
+        at = at.flatten().to_numpy()[np.asarray(at.offsets)[:-1] - np.asarray(at.offsets)[0]]
+        order = np.lexsort((at, tk, doc, cls, share, anchor))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (cls[order[1:]] != cls[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]]) | (share[order[1:]] != share[order[:-1]])
+        pick = order[fresh]
+        data, offsets = buffers(rows.column("body").take(pa.array(pick)))
         values, bounds, words = items.values(data, offsets)
-        doc, tk, at = (rows.column(c).to_numpy() for c in ("doc_id", "tk", "at"))
-        group = rows.column("anchor").to_numpy() ^ rows.column("share").to_numpy()
-        again = resolve(data if words is None else None, values, bounds, group, doc, tk, at, items.width)
-        shares = np.repeat(rows.column("shares").to_numpy(), np.diff(bounds))[: len(again)].astype(np.uint64)
+        again = resolve(data if words is None else None, values, bounds, doc[pick], tk[pick], at[pick], items.width)
+        seg = np.repeat(np.arange(len(pick)), np.diff(bounds))[: len(again)]
+        shares = rows.column("shares").to_numpy()[pick]
         if (shares > 1).any():
-            own = np.repeat(rows.column("share").to_numpy(), np.diff(bounds))[: len(again)].astype(np.uint64)
-            again &= window_hash(prefix_hashes(values), items.width)[: len(again)] % shares == own
-        seg = np.repeat(np.arange(len(rows)), np.diff(bounds))[: len(again)]
+            hashes = window_hash(prefix_hashes(values), items.width)
+            again[len(hashes) :] = False
+            of = seg[: len(hashes)]
+            again[: len(hashes)] &= hashes % shares[of].astype(np.uint64) == share[pick][of].astype(np.uint64)
         edge = np.ones(len(again) + 1, bool)
         edge[1:-1] = (seg[1:] != seg[:-1]) | ~again[1:] | ~again[:-1]
         first = np.flatnonzero(again & edge[:-1])
-        stop = np.flatnonzero(again & edge[1:]) + 1
+        count = np.flatnonzero(again & edge[1:]) + 1 - first
+        local, text = first - bounds[seg[first]], seg[first]
         if not len(first):
             return None
-        of = seg[first]
-        return pa.RecordBatch.from_arrays([
-            rows.column("anchor").combine_chunks().take(pa.array(of)), rows.column("cls").combine_chunks().take(pa.array(of)),
-            pa.array((first - bounds[of]).astype(np.int32)), pa.array((stop - first).astype(np.int32))], ["anchor", "cls", "start", "count"])
+        group = np.append(np.flatnonzero(fresh), len(order))
+        out: list[list] = [[], [], [], []]
+        every = rows.column("ats")
+        for t in np.unique(text).tolist():
+            a, b = np.searchsorted(text, [t, t + 1])
+            members = pick[t : t + 1] if same_document else order[group[t] : group[t + 1]]
+            for k in members.tolist():
+                if doc[k] != doc[pick[t]]:
+                    continue
+                for place in [at[k]] if same_document else every[k].as_py():
+                    out[0].extend([doc[k]] * (b - a))
+                    out[1].extend([tk[k]] * (b - a))
+                    out[2].extend((place + local[a:b]).tolist())
+                    out[3].extend(count[a:b].tolist())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["doc_id", "tk", "start", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -244,42 +288,42 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
 
 
+def text_key(source: DataFrame) -> Column:
+    """Hash of the text, or 0 where no id is on two rows: then the id alone tells documents apart."""
+    again = source.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return (F.hash("text") if again else F.lit(0)).alias("tk")
+
+
 def repeats(docs: DataFrame, items: Items, resolve: Callable, same_document: bool, crowd: int = CROWD,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of repeated windows: doc_id (``NO_ID`` for a missing one), tk, start, count.
+    """Every document (doc_id, text) with its runs of repeated windows: ``starts`` and ``counts``, null without any.
 
     ``same_document``: whether an earlier place in the same document counts, or smaller ids only."""
     spark = docs.sparkSession
-    source = keyed(docs, id_col, text_col).select(safe_id(), F.hash("text").alias("tk"), "text")
+    plain = keyed(docs, id_col, text_col)
+    tk = text_key(plain)
+    source = plain.select(safe_id(), tk, "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     each = (items.width - items.gram + 2) / 2 * (1 if items.blanks is None else 6)
     bits = power_of_two(size / each * BITS_PER_SEGMENT, MIN_BITS, MAX_BITS)
     maps = spark.sparkContext.broadcast(bit_maps(source, items, bits))
+    release(spark)
     found = stored(source.mapInArrow(candidates(items, bits, maps), SEGMENTS))
 
+    texts = found.filter("body IS NOT NULL").select("doc_id", "tk", "anchor", "cls", "body", "ats")
+    crowded = texts.groupBy("anchor").count().filter(F.col("count") > crowd).orderBy(F.desc("count")).limit(CROWDS).collect()
+    crowds = spark.sparkContext.broadcast({r["anchor"]: -(-r["count"] // crowd) for r in crowded})
+    inner = stored(texts.mapInArrow(dealt(items, crowds), TEXTS).repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(
+        compare(items, resolve, same_document), RUNS))
+
     place = F.struct("doc_id", "tk", "at")
-    classes = stored(found.groupBy("anchor", "cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("body").alias("body")))
-    texts = classes.filter("body IS NOT NULL")
-    crowds = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    crowds = stored(crowds.withColumn("shares", F.ceil(F.col("texts") / crowd).cast("int")))
-    texts = texts.join(crowds.hint("merge"), "anchor").select(
-        "anchor", "cls", "first.doc_id", "first.tk", "first.at", "body", F.lit(0).alias("share"), "shares")
-    spread = texts.filter("shares > 1").mapInArrow(shares_of_windows(items), CLASSES)
-    ranges = texts.filter("shares = 1").unionByName(spread).repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(
-        compare(items, resolve), RANGES)
-    inner = ranges.groupBy("anchor", "cls").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
-    verdicts = stored(classes.select("anchor", "cls", "first", "copies").join(inner, ["anchor", "cls"], "left").filter("copies > 1 OR ranges IS NOT NULL"))
-
-    here = F.struct("doc_id", "tk", "at") > F.col("first") if same_document else F.col("doc_id") > F.col("first.doc_id")
-    own = F.when(here, F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("count")))).otherwise(F.col("ranges"))
-    return found.drop("body").join(verdicts.hint("merge"), ["anchor", "cls"]).select("doc_id", "tk", "at", F.explode(own).alias("r")).select(
-        "doc_id", "tk", (F.col("at") + F.col("r.start")).alias("start"), F.col("r.count").cast("long").alias("count"))
-
-
-def with_runs(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document (doc_id, text) with its runs of repeated windows, ``starts`` and ``counts``."""
-    lists = runs.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "count")).alias("r")).select(
+    classes = stored(found.groupBy("anchor", "cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"))
+    later = place > F.col("first") if same_document else F.col("doc_id") > F.col("first.doc_id")
+    outer = found.select("doc_id", "tk", "at", "n", "anchor", "cls").join(classes.hint("merge"), ["anchor", "cls"]).filter(later).select(
+        "doc_id", "tk", F.col("at").alias("start"), F.col("n").cast("long").alias("count"))
+
+    lists = outer.unionByName(inner).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "count")).alias("r")).select(
         F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "r.start", "r.count")
-    rows = keyed(docs, id_col, text_col).withColumn("tk", F.hash("text"))
-    same = (F.coalesce(rows["doc_id"], F.lit(-(2**63))) == lists["_id"]) & (rows["tk"] == lists["_tk"])
+    rows = plain.select("doc_id", "text", tk)
+    same = (F.coalesce(rows["doc_id"], F.lit(NO_ID)) == lists["_id"]) & (rows["tk"] == lists["_tk"])
     return rows.join(lists, same, "left").select("doc_id", "text", F.col("start").alias("starts"), F.col("count").alias("counts"))

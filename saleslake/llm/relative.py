@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from saleslake.llm.anchors import CROWD, Items, repeats, with_runs
+from saleslake.llm.anchors import CROWD, Items, repeats
 from saleslake.llm.common import BLANKS, Words, buffers, covered, prefix_hashes, separators, window_hash
 
 WIDTH, GRAM = 50, 16
@@ -39,7 +39,7 @@ def match_length(values: np.ndarray, here: np.ndarray, there: np.ndarray, room:
     return length
 
 
-def parse(data, values, bounds, group, doc, tk, at, width) -> np.ndarray:
+def parse(data, values, bounds, doc, tk, at, width) -> np.ndarray:
     """For ``anchors.compare``: window starts inside factors against blocks of documents with smaller ids."""
     size = np.diff(bounds)
     seg = np.repeat(np.arange(len(size)), size)
@@ -90,7 +90,7 @@ REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, digests: bool = False,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and the kept words joined by spaces (``digests``: their SHA-256)."""
-    found = repeats(docs, Items(width, gram, BLANKS), parse, False, crowd, id_col, text_col)
+    rows = repeats(docs, Items(width, gram, BLANKS), parse, False, crowd, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         separator = separators(list(BLANKS))
@@ -103,4 +103,4 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd
                 batch.column("doc_id"), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()),
                 pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept"])
 
-    return with_runs(docs, found, id_col, text_col).mapInArrow(run, REPORT if digests else REPORT.replace("kept_sha256", "kept"))
+    return rows.mapInArrow(run, REPORT if digests else REPORT.replace("kept_sha256", "kept"))
