@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import decontaminate, exact, relative, suffixes, tokens
+from saleslake.llm import decontaminate, exact, language, quality, relative, suffixes, tokens
 from saleslake.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative.substring_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_suffix_array_dedup, op5_substring_dedup, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
+    op2_suffix_array_dedup, op3_language_id, op5_substring_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
 )}
 
 EXACT_SQL = """
