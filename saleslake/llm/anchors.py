@@ -122,17 +122,21 @@ def bit_maps(source: DataFrame, items: Items, bits: int) -> tuple[np.ndarray, np
     """Which bits were hit twice, and which with different classes; two maps of ``bits`` bits on the driver."""
     found = source.mapInArrow(hits(items, bits), "bit long, n int, low int, high int").groupBy("bit").agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1")
-    block, place = (F.col("bit") / BITMAP).cast("long"), f"bit % {BITMAP}"
-    maps = found.groupBy(block.alias("block")).agg(
-        F.expr(f"bitmap_construct_agg({place})").alias("twice"),
-        F.expr(f"bitmap_construct_agg(CASE WHEN low <> high THEN {place} END)").alias("mixed"))
-    out = np.zeros((2, bits // 8), np.uint8)
+    out = gathered(found.withColumn("other", F.when(F.col("low") != F.col("high"), F.col("bit"))), ["bit", "other"], bits)
+    return out[0], out[1]
+
+
+def gathered(rows: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """A map of ``bits`` bits on the driver for each column of bit numbers (null: none); every row's are in one block."""
+    place = [F.expr(f"bitmap_construct_agg({c} % {BITMAP})").alias(c) for c in columns]
+    maps = rows.groupBy((F.col(columns[0]) / BITMAP).cast("long").alias("block")).agg(*place)
+    out = np.zeros((len(columns), bits // 8), np.uint8)
     for row in maps.toLocalIterator():
-        for k, name in enumerate(("twice", "mixed")):
+        for k, name in enumerate(columns):
             part = np.frombuffer(row[name], np.uint8)
             at = row["block"] * BITMAP // 8
             out[k, at : at + len(part)] = part[: out.shape[1] - at]
-    return out[0], out[1]
+    return out
 
 
 def read_bits(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -288,10 +292,14 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
 
 
-def text_key(source: DataFrame) -> Column:
-    """Hash of the text, or 0 where no id is on two rows: then the id alone tells documents apart."""
-    again = source.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return (F.hash("text") if again else F.lit(0)).alias("tk")
+def ids_repeat(source: DataFrame) -> bool:
+    """Whether an id is on several rows. Where none is, the id alone tells documents apart."""
+    return source.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+
+
+def text_key(repeat: bool, text_col: str = "text") -> Column:
+    """Second half of a document's key: a hash of the text where ids repeat."""
+    return F.hash(F.col(f"`{text_col}`").cast("string")) if repeat else F.lit(0)
 
 
 def repeats(docs: DataFrame, items: Items, resolve: Callable, same_document: bool, crowd: int = CROWD,
@@ -301,7 +309,7 @@ def repeats(docs: DataFrame, items: Items, resolve: Callable, same_document: boo
     ``same_document``: whether an earlier place in the same document counts, or smaller ids only."""
     spark = docs.sparkSession
     plain = keyed(docs, id_col, text_col)
-    tk = text_key(plain)
+    tk = text_key(ids_repeat(plain)).alias("tk")
     source = plain.select(safe_id(), tk, "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     each = (items.width - items.gram + 2) / 2 * (1 if items.blanks is None else 6)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import decontaminate, exact, language, quality, relative, suffixes, tokens
-from saleslake.llm.common import table
+from saleslake.llm import decontaminate, exact, language, lines, packed, quality, relative, suffixes, tokens
+from saleslake.llm.common import scratch, table
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative.substring_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        tokenizer = file.read()
+    path = scratch(spark)
+    packed.write_ids(table(spark, sf_dir, "documents"), tokenizer, path, end_id=2)
+    return packed.read_ids(spark, path, digests=True)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +51,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_suffix_array_dedup, op3_language_id, op5_substring_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
+    op2_suffix_array_dedup, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_token_id_output,
+    op7_quality_classifier, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
 )}
 
 EXACT_SQL = """
