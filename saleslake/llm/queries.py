@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import decontaminate, exact, language, lines, packed, quality, relative, suffixes, tokens
+from saleslake.llm import decontaminate, exact, language, lines, neighbours, packed, quality, relative, suffixes, tokens
 from saleslake.llm.common import scratch, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.links(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"), digests=True)
 
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_suffix_array_dedup, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_token_id_output,
+    op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_token_id_output,
     op7_quality_classifier, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
 )}
 
