@@ -17,7 +17,7 @@ from saleslake.session import shared_dir
 #: Stands for a missing id wherever ids are compared: smaller than every other.
 NO_ID = -(2**63)
 #: Text that is worked on at once in a task; one longer document is worked on alone.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def row_key() -> Column:
     """Second half of a document's key: tells rows apart that share an id but not the text."""
     return F.xxhash64("text").alias("tk")

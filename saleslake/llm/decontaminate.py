@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import NOT_ALNUM, Words, buffers, covered, keyed, lower_ascii, prefix_hashes, row_key, runs, separators, text_pieces, window_hash, within
+from saleslake.llm.common import NOT_ALNUM, Words, buffers, covered, keyed, lower_ascii, prefix_hashes, quoted, row_key, runs, separators, text_pieces, unused, window_hash, within
 
 WINDOW = 10
 #: Benchmark text, in bytes, that one scan of the documents carries.
@@ -171,16 +171,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     (``'documents'``), with all their columns. Word and byte ranges refer to the text as it was."""
     if remove not in ("spans", "documents"):
         raise ValueError(remove)
-    found = findings(docs, benchmark, width, block_bytes, id_col, text_col).filter(F.size("items") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "byte_starts", "byte_ends").dropDuplicates(["_id", "_tk"])
-    found = found.select("_id", "_tk", F.struct("byte_starts", "byte_ends").alias("_ranges"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    same = rows[f"`{id_col}`"].cast("long").eqNullSafe(found["_id"]) & (rows["_key"] == found["_tk"])
+    own, key, doc, tk, ranges = unused(docs, "_own", "_key", "_doc", "_tk", "_ranges")
+    found = findings(docs, benchmark, width, block_bytes, id_col, text_col).filter(F.size("items") > 0).dropDuplicates(["doc_id", "tk"]).select(
+        F.col("doc_id").alias(doc), F.col("tk").alias(tk), F.struct("byte_starts", "byte_ends").alias(ranges))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.withColumns({own: F.col(f"`{id_col}`").cast("long"), key: F.xxhash64(text)})
+    same = F.col(own).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tk))
     if remove == "documents":
-        return rows.join(found, same, "left_anti").drop("_key")
-    cut_udf = F.pandas_udf(lambda t, s, e: t.combine(s, lambda a, b: (a, b)).combine(e, lambda ab, c: cut(ab[0], ab[1], c)), "string")
-    joined = rows.join(found, same, "left")
-    text = F.when(F.col("_ranges").isNull(), F.col(f"`{text_col}`")).otherwise(
-        cut_udf(F.col(f"`{text_col}`"), F.coalesce("_ranges.byte_starts", F.array().cast("array<long>")), F.coalesce("_ranges.byte_ends", F.array().cast("array<long>"))))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return rows.join(found, same, "left_anti").select(*quoted(docs))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.schema.get_field_index(text_col)
+            texts, spans = batch.column(spot).to_pylist(), batch.column(ranges).to_pylist()
+            new = [cut(t, s["byte_starts"], s["byte_ends"]) if s else t for t, s in zip(texts, spans)]
+            yield batch.set_column(spot, batch.schema.field(spot), pa.array(new, batch.schema.field(spot).type)).drop_columns([ranges])
+
+    return rows.join(found, same, "left").select(*quoted(docs), ranges).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import stored
+from saleslake.llm.common import quoted, stored, unused
 
 #: Bits for each row; probes of each row; bits at most (64 MB), a power of two like the least.
 BITS_PER_ROW, PROBES, MIN_BITS, MAX_BITS = 16, 2, 1 << 15, 1 << 29
@@ -79,8 +79,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns; of rows that share id and text, one stays."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).distinct()
-    text = F.sha2(F.encode(normalised(F.col(f"`{text_col}`").cast("string")), "UTF-8"), 256)
-    rows = docs.withColumn("_digest", text)
-    same = rows[f"`{id_col}`"].cast("long").eqNullSafe(kept["_kept_id"]) & (rows["_digest"] == kept["_kept_digest"])
-    return rows.dropDuplicates([id_col, "_digest"]).join(kept, same, "left_semi").drop("_digest")
+    key, digest, keep_id, keep_digest = unused(docs, "_key", "_digest", "_keep_id", "_keep_digest")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_digest)).distinct()
+    rows = docs.withColumns({
+        key: F.col(f"`{id_col}`").cast("long"), digest: F.sha2(F.encode(normalised(F.col(f"`{text_col}`").cast("string")), "UTF-8"), 256)})
+    same = F.col(key).eqNullSafe(F.col(keep_id)) & (F.col(digest) == F.col(keep_digest))
+    return rows.dropDuplicates([key, digest]).join(kept, same, "left_semi").select(*quoted(docs))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslake.llm.anchors import CROWDS, MAX_BITS, MIN_BITS, gathered, ids_repeat, power_of_two, read_bits, text_key
-from saleslake.llm.common import BLANKS, NO_ID, Words, keyed, lower_ascii, mixed, prefix_hashes, random_table, range_hash, safe_id, separators, stored, text_pieces, window_hash
+from saleslake.llm.common import BLANKS, NO_ID, Words, keyed, lower_ascii, mixed, prefix_hashes, quoted, random_table, range_hash, safe_id, separators, stored, text_pieces, unused
 from saleslake.llm.graph import Forest, components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -318,10 +318,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """The input rows of one document of each class, the one with the smallest id; of rows that share id and words, one.
 
     Documents without words are all kept."""
-    result = stored(links(docs, threshold, id_col=id_col, text_col=text_col).filter("n_links > 0"))
-    gone = result.filter("NOT doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    kept = docs.withColumn("_key", key).join(gone.hint("merge"), F.col("_key") == F.col("_id"), "left_anti").drop("_key")
-    if not ids_repeat(keyed(docs, id_col, text_col)):
-        return kept
-    return kept.withColumn("_words", text_key(True, text_col)).dropDuplicates([id_col, "_words"]).drop("_words")
+    own, gone_id, words = unused(docs, "_own", "_gone", "_words")
+    result = links(docs, threshold, id_col=id_col, text_col=text_col).filter("n_links > 0 AND NOT doc_id <=> class_id")
+    gone = result.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(gone_id)).distinct()
+    kept = docs.withColumn(own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))).join(gone, F.col(own) == F.col(gone_id), "left_anti")
+    if ids_repeat(keyed(docs, id_col, text_col)):
+        kept = kept.withColumn(words, text_key(True, text_col)).dropDuplicates([own, words])
+    return kept.select(*quoted(docs))

@@ -162,10 +162,12 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[p
 
 CODED = "doc_id long, ids array<int>, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+PACKED = DIGESTS + ", ids binary"
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its ids and the bytes that they decode to, or (``digests``) only their digests.
+def encode_decode(docs: DataFrame, path: str, pattern: str, digests: bool = False, packed: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its ids and the bytes that they decode to, or (``digests``) only their digests, and (``packed``) the ids as
+    little-endian 32-bit integers besides.
 
     The rank file is read by the driver and sent along: its size is that of a vocabulary."""
     with open(path, "rb") as file:
@@ -175,9 +177,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, digests: bool = Fals
         coder = rank_coder(lines.value, pattern)
         decimal = worker_state("decimal")
         for batch in batches_of(batches):
-            coded = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(batch.column("text").to_pylist())]
+            raw = coder.encode(batch.column("text").to_pylist())
+            coded = [np.frombuffer(x, "<u4").tolist() for x in raw]
             decoded = [coder.decode(ids) for ids in coded]
-            if not digests:
+            if not (digests or packed):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
                 continue
             if not decimal:
@@ -186,8 +189,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, digests: bool = Fals
                 batch.column("doc_id"), pa.array(map(len, coded), pa.int64()),
                 pa.array([hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest() for ids in coded], pa.string()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                *([pa.array(raw, pa.binary())] if packed else []),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * packed])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, DIGESTS if digests else CODED)
+    return keyed(docs, id_col, text_col).mapInArrow(run, PACKED if packed else DIGESTS if digests else CODED)
 
 

@@ -1,0 +1,342 @@
+from __future__ import annotations
+
+import random
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from saleslake.llm import common, decontaminate, exact, graph, language, lines, neighbours, packed, quality, relative, suffixes, tokens
+
+TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def same(df, expected):
+    assert rows_of(df) == sorted(expected, key=repr)
+
+
+def text_rows(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+# exact dedup
+
+def test_exact_dedup(odd_docs, odd_rows, tied_docs, no_docs):
+    same(exact.exact_dedup(odd_docs), brute.copies(odd_rows))
+    same(exact.exact_dedup(tied_docs), brute.copies(text_rows(tied_docs)))
+    same(exact.exact_dedup(no_docs), [])
+
+
+def test_exact_dedup_with_a_full_filter(odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(exact, "filter_bits", lambda rows: 64)  # every row is a possible repeat
+    same(exact.exact_dedup(odd_docs), brute.copies(odd_rows))
+
+
+def test_without_copies_keeps_columns(odd_docs, odd_rows, tied_docs):
+    kept = exact.without_copies(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in brute.copies(odd_rows) if r[3])
+    assert exact.without_copies(tied_docs).count() == 4  # a text of id 2, its empty one, and two of the others
+
+
+# suffix-array and substring dedup
+
+@pytest.mark.parametrize("crowd", [1500, 2])
+def test_suffix_dedup(odd_docs, odd_rows, crowd):
+    same(suffixes.suffix_dedup(odd_docs, crowd=crowd, digests=True), brute.repeated_bytes(odd_rows))
+
+
+def test_suffix_dedup_small_alphabet(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) + "ab" * rng.randint(0, 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd in (1500, 3):
+        same(suffixes.suffix_dedup(df, width=12, gram=4, crowd=crowd, digests=True), brute.repeated_bytes(rows, 12))
+
+
+def test_suffix_order_is_the_order_of_suffixes():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        text = np.append(rng.integers(0, 4, rng.integers(1, 60)), 0).astype(np.uint8)
+        wanted = np.flatnonzero(text > 0)
+        depth = 8
+        got = suffixes.suffix_order(text, wanted, depth)
+        raw = text.tobytes() + b"\0" * depth
+        keys = [raw[p : p + depth].split(b"\0")[0] for p in got]
+        assert sorted(got) == sorted(wanted) and keys == sorted(keys)
+        shared = suffixes.common_prefixes(text, got, depth)
+        for k in range(1, len(got)):
+            a, b = keys[k - 1], keys[k]
+            assert shared[k] == next((i for i in range(depth) if a[i : i + 1] != b[i : i + 1] or not a[i : i + 1]), depth)
+
+
+def test_suffix_dedup_ties_and_empty(tied_docs, no_docs):
+    out = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffixes.suffix_dedup(tied_docs).collect()}
+    alone = brute.repeated_bytes([(0, text_rows(tied_docs)[0][1])])[0][2]
+    size = len("the quick brown fox jumps over the lazy dog and runs on " * 12)
+    assert out[None, size + 3] < size  # a missing id comes first: only what it repeats of itself goes
+    assert out[1, size] >= alone and out[2, size] == size
+    same(suffixes.suffix_dedup(no_docs), [])
+
+
+@pytest.mark.parametrize("crowd", [1500, 2])
+def test_substring_dedup(odd_docs, odd_rows, crowd):
+    same(relative.substring_dedup(odd_docs, crowd=crowd, digests=True), brute.repeated_words(odd_rows))
+
+
+def test_substring_dedup_small_vocabulary(spark):
+    rng = random.Random(5)
+    rows = [(i % 37, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(37)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd in (1500, 3):
+        same(relative.substring_dedup(df, width=8, gram=3, crowd=crowd, digests=True), brute.repeated_words(rows, 8))
+
+
+def test_substring_dedup_ties_and_empty(tied_docs, no_docs):
+    same(relative.substring_dedup(tied_docs, digests=True), brute.repeated_words(text_rows(tied_docs)))
+    same(relative.substring_dedup(no_docs), [])
+
+
+# lines
+
+def test_bounded_distance():
+    rng = random.Random(1)
+    for n in range(4000):
+        a = "".join(rng.choice("ab" if n % 2 else "abcdé") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "c"])
+        b = "".join(b)
+        for most in (1, 2, 3):
+            assert lines.bounded_distance(a, b, most) == min(most + 1, brute.distance(a, b))
+
+
+def edited_lines(rng: random.Random):
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(5, 40))) for _ in range(25)]
+
+    def edited(line: str) -> str:
+        b = list(line)
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "c"])
+        return "".join(b)
+
+    return [(i, "\n".join([edited(rng.choice(base)) for _ in range(rng.randint(0, 6))] + [""] * rng.randint(0, 2))) for i in range(70)]
+
+
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_line_dedup_edits(spark, crowd):
+    rows = edited_lines(random.Random(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(lines.report(df, crowd=crowd), [(i, n, gone, brute.sha((text or "").encode())) for i, n, gone, text in brute.kept_texts(rows)])
+
+
+def test_line_dedup_odd(odd_docs, odd_rows, tied_docs, no_docs):
+    kept = lines.without_repeated_lines(odd_docs)
+    assert kept.columns == odd_docs.columns
+    same(kept.select("doc_id", "text"), [(i, text) for i, _, _, text in brute.kept_texts(odd_rows)])
+    out = text_rows(lines.without_repeated_lines(tied_docs))
+    assert sorted(out, key=repr)[:2] and len(out) == 7 and sum(t is None for _, t in out) == 1
+    assert [t for i, t in out if i == 2] == ["", ""]
+    same(lines.without_repeated_lines(no_docs), [])
+
+
+# components
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(5, k) for k in range(200, 260)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    names = sorted({x for e in edges if e[0] != e[1] for x in e})
+    root = brute.roots(len(names), [(names.index(a), names.index(b)) for a, b in edges if a != b])
+    assert got == {x: names[r] for x, r in zip(names, root)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# near neighbours
+
+def test_least_agreements_never_drops_a_likely_pair():
+    least = neighbours.least_agreements(0.8, 1e-9, 84, 12)
+    assert least == sorted(least) and least[-1] < 0.8 * 84
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(256, 1024), (2, 3)])
+def test_near_links(odd_docs, odd_rows, crowd, block):
+    same(neighbours.links(odd_docs, crowd=crowd, block=block), brute.near_links(odd_rows))
+
+
+def test_near_links_ties_and_empty(tied_docs, no_docs):
+    same(neighbours.links(tied_docs), brute.near_links(text_rows(tied_docs)))
+    same(neighbours.links(no_docs), [])
+    assert neighbours.one_of_each(tied_docs).count() == 4  # of a missing id both, the text of its own, the empty one
+
+
+def test_one_of_each(odd_docs, odd_rows):
+    kept = neighbours.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c, n in brute.near_links(odd_rows) if i == c)
+
+
+# decontamination
+
+ITEMS = [(1, "the line of the ALPHA, beta"), (2, None), (3, "..."), (4, "One two three"), (5, "one two three"), (6, "seven " * 14)]
+
+
+@pytest.fixture(scope="session")
+def items(odd_rows):
+    passage = odd_rows[30][1].split("\n")[0]
+    return [*ITEMS, (7, " ".join(passage.split()[30:55])), (8, " ".join(passage.split()[40:52]).upper())]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 26, 60])
+def test_contamination(spark, odd_docs, odd_rows, tied_docs, items, block_bytes):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def expected(rows):
+        return [(i, n, sum(hit), len(names), brute.sha(",".join(names).encode()), any(hit)) for i, n, hit, names, _ in brute.benchmark_hits(rows, items)]
+
+    same(decontaminate.contamination(odd_docs, bench, block_bytes=block_bytes), expected(odd_rows))
+    same(decontaminate.contamination(tied_docs, bench, block_bytes=block_bytes), expected(text_rows(tied_docs)))
+
+
+def test_decontaminate(spark, odd_docs, odd_rows, items, no_docs):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = brute.benchmark_hits(odd_rows, items)
+    cut = decontaminate.decontaminate(odd_docs, bench)
+    assert cut.columns == odd_docs.columns
+    same(cut.select("doc_id", "text"), [(i, brute.without(t, f[4])) for (i, t), f in zip(odd_rows, found)])
+    left = decontaminate.decontaminate(odd_docs, bench, remove="documents")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(f[0] for f in found if not any(f[2]))
+    assert decontaminate.contamination(no_docs, bench).count() == 0
+    assert not decontaminate.contamination(odd_docs, bench.limit(0)).filter("contaminated").count()
+
+
+# token ids
+
+def tiktoken_encoding():
+    import tiktoken
+
+    with open(TIKTOKEN, "rb") as file:
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(file), special_tokens={})
+
+
+def test_encode_decode(odd_docs, odd_rows, tied_docs, no_docs):
+    coding = tiktoken_encoding()
+
+    def expected(rows):
+        ids = [(i, coding.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
+        return [(i, len(x), brute.sha(",".join(map(str, x)).encode()), brute.sha(raw)) for i, x, raw in ids]
+
+    same(tokens.encode_decode(odd_docs, TIKTOKEN, public_tokenizers.PATTERN, digests=True), expected(odd_rows))
+    same(tokens.encode_decode(tied_docs, TIKTOKEN, public_tokenizers.PATTERN, digests=True), expected(text_rows(tied_docs)))
+    same(tokens.encode_decode(no_docs, TIKTOKEN, public_tokenizers.PATTERN, digests=True), [])
+    full = tokens.encode_decode(odd_docs, TIKTOKEN, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in full} == {i: (t or "").encode() for i, t in odd_rows}
+
+
+def test_coder_against_tiktoken_on_random_texts():
+    coding, rng = tiktoken_encoding(), random.Random(9)
+    with open(TIKTOKEN, "rb") as file:
+        coder = tokens.rank_coder(file.readlines(), public_tokenizers.PATTERN)
+    signs = list(" \n\t\r.,!?'’sdabcxyzABC019-_()é ñ漢字\U0001f600́ \x1c\x85\xa0​") + ["the", " of", "'ll", "  ", "aaaa"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for text, raw in zip(texts, coder.encode(texts)):
+        ids = np.frombuffer(raw, "<u4").tolist()
+        assert ids == coding.encode_ordinary(text)
+        assert coder.decode(ids) == text.encode() and "".join(coder.stream(ids)) == text
+        offsets = coder.offsets(text, ids)
+        for (a, b), i in zip(offsets, ids):
+            assert coder.table[i] in text[a:b].encode()
+        assert not ids or (offsets[0][0] == 0 and offsets[-1][1] == len(text))
+
+
+def test_stream_of_broken_ids():
+    with open(TIKTOKEN, "rb") as file:
+        coder = tokens.rank_coder(file.readlines(), public_tokenizers.PATTERN)
+    ids = np.frombuffer(coder.encode(["\U0001f600"])[0], "<u4").tolist()
+    assert len(ids) > 1 and "".join(coder.stream(ids[:-1])).endswith("�")
+
+
+def test_packed_ids(spark, odd_docs, odd_rows, tied_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    with open(JSON) as file:
+        text = file.read()
+    tokenizer = Tokenizer.from_str(text)
+    tokenizer.encode_special_tokens = True
+
+    def expected(rows):
+        out, start = [], 0
+        for i, t in sorted(rows, key=lambda r: (brute.order(r), r[1] is not None, r[1] or "")):
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+            out.append((i, start, ids))
+            start += len(ids)
+        return out
+
+    for docs, rows in ((odd_docs, odd_rows), (tied_docs, text_rows(tied_docs)), (no_docs, [])):
+        path = common.scratch(spark)
+        packed.write_ids(docs, text, path, 2)
+        want = expected(rows)
+        same(packed.read_ids(spark, path, digests=True), [(i, s, len(x), brute.crc(x)) for i, s, x in want])
+        same(packed.read_ids(spark, path).select("doc_id", "start", "ids"), [(i, s, x) for i, s, x in want])
+        if docs is odd_docs:
+            same(packed.read_ids(spark, path, [101, 300, 999]).select("doc_id", "ids"), [(i, x) for i, _, x in want if i in (101, 300)])
+
+
+# classifiers
+
+def test_language_id(spark, odd_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.report(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang_pred <> 'und'")
+    right, total = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right > 0.97 and total > 150
+    model = language.fit(docs)
+    odd = {r["doc_id"]: r for r in language.identify(odd_docs, model).collect()}
+    for i in (300, 301, 302, 303):
+        assert odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 and odd[i]["rejected"]
+    assert all(0 <= r["score"] <= 1 for r in odd.values())
+    kept = language.accepted(odd_docs, model)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in odd.items() if not r["rejected"])
+    assert language.fit(no_docs) is None
+    assert {r["lang_pred"] for r in language.identify(odd_docs, None).collect()} == {"und"}
+    assert language.accepted(no_docs, None).count() == language.report(no_docs).count() == 0
+
+
+def test_language_model_reads_whole_texts():
+    shares = np.eye(4, len(language.ORDERS) * language.BUCKETS, dtype=np.float32).repeat(30, axis=0)
+    model = language.train(shares, np.array(["a", "b", "c", "d"]).repeat(30))
+    assert (np.argmax(shares @ model.table[:-1] + model.bias, axis=1) == np.arange(4).repeat(30)).all()
+
+
+def test_quality(spark, odd_docs, no_docs):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    network = quality.fit(docs, labels, ~language.held_out(F.col("doc_id"), 3, 1))
+    marked = labels.filter(language.held_out(F.col("doc_id"), 3, 1))
+    out = quality.score(docs.join(marked.select("doc_id"), "doc_id"), network).join(marked, "doc_id")
+    assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
+    assert out.filter("quality = 0").agg(F.avg(1 - F.col("predicted"))).first()[0] > 0.8
+    odd = quality.score(odd_docs, network).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in odd)
+    assert quality.fit(docs, labels.limit(0)) == 0.5
+    assert quality.fit(docs, labels.filter("quality = 1").limit(5)) == 1.0
+    assert quality.report(no_docs, labels.limit(0)).count() == 0
+
+
+def test_quality_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(2)
+    network = quality.train([rng.integers(1, 255, (2, quality.CHUNK_BLOCKS * quality.BLOCK)).astype(np.uint8) for _ in range(8)], np.array([0, 1] * 4, np.float32), 0.5)
+    tables = quality.pair_tables(network.taps)
+    texts = [rng.integers(1, 255, n).astype(np.uint8) for n in (0, 1, 5, 63, 64, 65, 600, 5000, 0)]
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    together = quality.scores(network, tables, np.concatenate(texts), offsets)
+    single = [quality.scores(network, tables, t, np.array([0, len(t)]))[0] for t in texts]
+    assert np.allclose(together, single)
