@@ -8,7 +8,7 @@ from harness.oracle_text import TEXT_SQL, q, words
 from saleslake import vocab
 from saleslake.plans.dashboard import VIEW_COLUMNS
 
-_NUM = "CASE WHEN regexp_full_match(deal_value, '[0-9.]+') THEN TRY_CAST(deal_value AS DECIMAL(18,2)) END"
+_NUM = "CASE WHEN regexp_full_match(deal_value, '[0-9.]+') THEN TRY_CAST(deal_value AS DECIMAL(38,6)) END"
 _NAME = "(SELECT lower(account_name) FROM dim_account WHERE id = 10)"
 _NUM_SUM = "CAST(coalesce(sum(CASE WHEN {} THEN " + _NUM + " END), 0) AS DOUBLE)"
 
@@ -95,9 +95,13 @@ SELECT CASE WHEN deal_stage IS NULL OR deal_stage = '' THEN 'Unknown' ELSE deal_
   CAST(sum(CAST(coalesce(TRY_CAST(nullif(regexp_extract(deal_value,
     '^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0) AS DECIMAL(20,2))) AS DOUBLE) AS stage_value
 FROM fact_deals GROUP BY 1""",
+    "pipeline_total": """
+SELECT CAST(sum(CAST(coalesce(TRY_CAST(nullif(regexp_extract(deal_value,
+    '^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0) AS DECIMAL(28,2))) AS DOUBLE) AS total_value
+FROM fact_deals""",
     "insights_feed": "SELECT * FROM fact_insights ORDER BY id DESC LIMIT 50",
-    "insights_feed_by_type": "SELECT * FROM (SELECT * FROM fact_insights ORDER BY id DESC LIMIT 50) WHERE insight_type = 'deal_signal'",
-    "insight_types": "SELECT DISTINCT insight_type FROM (SELECT * FROM fact_insights ORDER BY id DESC LIMIT 50)",
+    "insights_feed_by_type": "SELECT * FROM fact_insights WHERE insight_type = 'deal_signal' ORDER BY id DESC LIMIT 50",
+    "insight_types": "SELECT DISTINCT insight_type FROM fact_insights WHERE insight_type <> ''",
     "dashboard_stats": f"""
 SELECT (SELECT count(*) FROM dim_account) AS accounts, (SELECT count(*) FROM dim_contact) AS contacts,
   (SELECT count(*) FROM fact_deals) AS deals, (SELECT count(*) FROM fact_interactions) AS interactions,

@@ -19,13 +19,16 @@ _DEAL_ERRORS = f"""list_filter([
 
 
 def _coerce(e: str, rate: bool = False) -> str:
-    d = f"TRY_CAST({strip(e)} AS DECIMAL(38,10))"
-    whole = f"CAST(CAST({d} AS DECIMAL(38,0)) AS VARCHAR)" + (" || '.0'" if rate else "")
+    """Numbers by their digits: no zeros before or after, whole ones without a fraction; other text stays."""
+    x = strip(e)
+    sign = f"CASE WHEN starts_with({x}, '-') THEN '-' ELSE '' END"
+    whole = f"CASE WHEN ltrim(split_part(ltrim({x}, '+-'), '.', 1), '0') = '' THEN '0' ELSE ltrim(split_part(ltrim({x}, '+-'), '.', 1), '0') END"
+    fraction = f"rtrim(split_part({x}, '.', 2), '0')"
+    body = f"{whole} || CASE WHEN {fraction} = '' THEN '{'.0' if rate else ''}' ELSE '.' || {fraction} END"
     return (
-        f"CASE WHEN regexp_full_match({strip(e)}, '[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN "
-        f"CASE WHEN {d} = floor({d}) THEN {whole} ELSE regexp_replace(CAST({d} AS VARCHAR), '0+$', '') END "
-        f"WHEN regexp_full_match({strip(e)}, '-*[0-9]+') THEN CAST(TRY_CAST({strip(e)} AS DECIMAL(38,0)) AS VARCHAR) "
-        f"ELSE {strip(e)} END"
+        f"CASE WHEN regexp_full_match({x}, '[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+)') THEN "
+        f"CASE WHEN regexp_full_match({x}, '[+-]?[0.]+') THEN '0{'.0' if rate else ''}' ELSE {sign} || {body} END "
+        f"WHEN regexp_full_match({x}, '-*[0-9]+') THEN CAST(TRY_CAST({x} AS DECIMAL(38,0)) AS VARCHAR) ELSE {x} END"
     )
 
 
@@ -78,7 +81,7 @@ _DQ = {
     "fact_interactions": f"NOT {_NO_ACCOUNT}",
     "fact_insights": f"NOT {_NO_ACCOUNT}",
 }
-_ROLES = "|".join(vocab.ROLE_TITLES)
+_ROLES = vocab.ROLE_TITLES
 _RELEVANCE = (
     f"{hits(vocab.SALES_KEYWORDS)} "
     f"+ CASE WHEN regexp_matches(text, {q(f'(?i)(^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])(?:' + _ROLES + ')($|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])')}) THEN 2 ELSE 0 END "
@@ -101,7 +104,9 @@ c AS (
 SILVER_SQL = {
     "deal_value_parse": """
 SELECT id, deal_value, CAST(CASE WHEN regexp_full_match(deal_value, '[0-9.]+')
-  THEN TRY_CAST(deal_value AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM fact_deals""",
+  THEN TRY_CAST(deal_value AS DECIMAL(38,6)) END AS DOUBLE) AS amount,
+  CAST(CASE WHEN regexp_full_match('123456789012345678' || deal_value, '[0-9.]+')
+  THEN TRY_CAST('123456789012345678' || deal_value AS DECIMAL(38,6)) END AS VARCHAR) AS large_amount FROM fact_deals""",
     "number_prefix": """
 SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(deal_value,
   '^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE), 0.0) AS amount FROM fact_deals""",
@@ -109,7 +114,8 @@ SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(deal_value,
     "canonical_coerce": f"""
 SELECT id, {_coerce('deal_value')} AS deal_value, {_coerce("('00' || probability)")} AS probability,
   {_coerce("(probability || '.0')", True)} AS win_rate, {_coerce("(probability || '.50')")} AS score,
-  {_coerce('close_date')} AS close_date FROM fact_deals""",
+  {_coerce('close_date')} AS close_date, {_coerce("(probability || '.12345678901234')")} AS fine,
+  CAST(CAST(probability AS BIGINT) * 1000 + 500 AS VARCHAR) AS power, {_coerce("('12345678901234567890' || deal_value)")} AS large FROM fact_deals""",
     "normalize_existing": f"""
 SELECT 'deal' AS kind, id, CASE WHEN NOT regexp_matches(deal_stage, '^[A-Z]') THEN {_initcap('deal_stage')} ELSE deal_stage END AS value
 FROM fact_deals UNION ALL SELECT 'interaction', id, lower(sentiment) FROM fact_interactions""",

@@ -51,6 +51,10 @@ def pipeline_by_stage(spark, sf_dir):
     return dashboard.pipeline_by_stage(views.silver(spark, sf_dir))
 
 
+def pipeline_total(spark, sf_dir):
+    return dashboard.pipeline_total(views.silver(spark, sf_dir))
+
+
 def insights_feed(spark, sf_dir):
     return dashboard.insights_feed(views.silver(spark, sf_dir))
 
@@ -187,19 +191,14 @@ def recent_context_whole(spark, sf_dir):
 
 
 def answer_route(spark, sf_dir):
-    def per_account(df, name):
-        return df.groupBy("account_name").agg(F.count(F.lit(1)).alias(name))
-
-    gold = per_account(MARTS["activity_summary"](views.silver(spark, sf_dir), views.AS_OF), "gold_rows")
-    silver = per_account(views.fact_deals(spark, sf_dir), "silver_rows")
-    bronze = per_account(views.transcripts(spark, sf_dir), "bronze_rows")
-    labelled = batches.vectors(spark, sf_dir).selectExpr(f"{views.customer_name('label * 3')} AS account_name")
-    vector = per_account(labelled, "vector_rows")
-    asked = batches.questions(spark, sf_dir)
-    for counts in (gold, silver, bronze, vector):
-        asked = asked.join(counts, "account_name", "left")
-    filled = asked.fillna(0, ["gold_rows", "silver_rows", "bronze_rows", "vector_rows"])
-    return questions.answer_route(filled).select("conv_id", "turn", "intent", "route")
+    tiers = {
+        "gold_rows": MARTS["activity_summary"](views.silver(spark, sf_dir), views.AS_OF),
+        "silver_rows": views.fact_deals(spark, sf_dir),
+        "bronze_rows": views.transcripts(spark, sf_dir),
+        "vector_rows": batches.vectors(spark, sf_dir).selectExpr(f"{views.customer_name('label * 3')} AS account_name"),
+    }
+    asked = questions.with_row_counts(batches.questions(spark, sf_dir), tiers, "conv_id")
+    return questions.answer_route(asked).select("conv_id", "turn", "intent", "route")
 
 
 def _logged(spark, sf_dir):
@@ -214,7 +213,7 @@ def silver_tables_used(spark, sf_dir):
 
 def proposal_dedupe(spark, sf_dir):
     pending = batches.pending_proposals(spark, sf_dir)
-    return questions.new_proposals(_logged(spark, sf_dir), pending).select("event_id", "question", "tables")
+    return questions.new_proposals(_logged(spark, sf_dir), pending, "event_id").select("event_id", "question", "tables")
 
 
 def fallback_candidates(spark, sf_dir):
@@ -226,7 +225,7 @@ SERVING_QUERIES = {
         f.__name__: f
         for f in [
             accounts_overview, account_detail, account_detail_contacts, account_detail_deals,
-            account_detail_interactions, account_detail_insights, pipeline_by_stage, insights_feed,
+            account_detail_interactions, account_detail_insights, pipeline_by_stage, pipeline_total, insights_feed,
             insights_feed_by_type, insight_types, dashboard_stats, pipeline_share, closing_bands,
             schema_profile, mart_row_counts, semantic_query, semantic_query_rows, mart_then_detail,
             bronze_keyword_search, bronze_enrich, vector_topk, vector_topk_scoped, vector_threshold,

@@ -20,7 +20,10 @@ CARRY = ["seq", "source_name"]
 # ------------------------------------------------------------------ values
 def deal_value_parse(spark, sf_dir):
     value = p.amount(F.col("deal_value"))
-    return views.fact_deals(spark, sf_dir).select("id", "deal_value", value.cast("double").alias("amount"))
+    large = p.amount(F.concat(F.lit("123456789012345678"), "deal_value"))
+    return views.fact_deals(spark, sf_dir).select(
+        "id", "deal_value", value.cast("double").alias("amount"), large.cast("string").alias("large_amount")
+    )
 
 
 def number_prefix(spark, sf_dir):
@@ -41,6 +44,9 @@ def canonical_coerce(spark, sf_dir):
         p.coerce_audit_value(F.concat("probability", F.lit(".0")), "win_rate").alias("win_rate"),
         p.coerce_audit_value(F.concat("probability", F.lit(".50")), "score").alias("score"),
         p.coerce_audit_value(F.col("close_date"), "close_date").alias("close_date"),
+        p.coerce_audit_value(F.concat("probability", F.lit(".12345678901234")), "score").alias("fine"),
+        p.coerce_audit_value(F.concat("probability", F.lit(".5e3")), "score").alias("power"),
+        p.coerce_audit_value(F.concat(F.lit("12345678901234567890"), "deal_value"), "score").alias("large"),
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AMOUNT_TYPE = "decimal(18,2)"
+# Wide enough for 32 digits before the point; six after it are more than any currency has.
+AMOUNT_TYPE = "decimal(38,6)"
 # The characters Unicode counts as whitespace.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -111,21 +112,23 @@ def coerce_audit_value(value: Column, field: str) -> Column:
     text loses leading zeros. Other text is stripped, and sentiment lower-cased.
     """
     def coerced(body: Column) -> Column:
-        number = F.when(
-            body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"),
-            body.try_cast("decimal(38,10)"),
-        )
+        plain_number = F.when(body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)\z"), body)
+        # An exponent is written out where a decimal holds the same number, else the text stays.
+        power = body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+\z")
+        written = F.when(power, body.try_cast("decimal(38,18)"))
+        exact = F.when(written.cast("double") == body.try_cast("double"), written.cast("string"))
         digits = F.when(body.rlike(r"^-*[0-9]+\z"), body.try_cast("decimal(38,0)").cast("string"))
         plain = F.lower(body) if field == "sentiment" else body
-        return F.coalesce(bind(number, number_text), digits, plain)
+        return F.coalesce(bind(F.coalesce(plain_number, exact), number_text), digits, plain)
 
     def number_text(number: Column) -> Column:
-        whole = number.cast("decimal(38,0)").cast("string")
-        if field.endswith(("rate", "multiplier")):
-            whole = F.concat(whole, F.lit(".0"))
-        return F.when(number == F.floor(number), whole).otherwise(
-            F.regexp_replace(number.cast("string"), r"0+\z", "")
-        )
+        """Digits without zeros before or after; nothing is rounded."""
+        whole = F.regexp_extract(number, r"^[+-]?0*([0-9]*)", 1)
+        fraction = F.regexp_extract(number, r"\.([0-9]*?)0*\z", 1)
+        end = ".0" if field.endswith(("rate", "multiplier")) else ""
+        body = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", end).otherwise(F.concat(F.lit("."), fraction)))
+        negative = number.startswith("-") & ((whole != "") | (fraction != ""))
+        return F.when(number.isNotNull(), F.concat(F.when(negative, "-").otherwise(""), body))
 
     is_json = value.rlike(r"^[\[{]") & F.try_parse_json(value).isNotNull()
     return F.when(is_json, value).otherwise(bind(strip(value), coerced))

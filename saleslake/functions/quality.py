@@ -15,7 +15,7 @@ NUMBER_PATTERN = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
 )
 _WORD = r"[\p{L}\p{N}_]"
-ROLE_PATTERN = rf"(?i)(?<!{_WORD})(?:{'|'.join(vocab.ROLE_TITLES)})(?!{_WORD})"
+ROLE_PATTERN = rf"(?i)(?<!{_WORD})(?:{vocab.ROLE_TITLES})(?!{_WORD})"
 
 # table -> fields that must be filled, groups of which one must be, numeric fields
 _REQUIRED = {"dim_account": ["account_name"], "dim_contact": ["contact_name"], "fact_deals": ["deal_name"]}

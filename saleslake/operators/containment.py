@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.functions.parsing import amount
+from saleslake.functions.parsing import AMOUNT_TYPE, amount
 from saleslake.operators.joins import fan_out_join, union_all
 
 
@@ -45,6 +45,18 @@ def contained_in(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text
     ).drop("_piece")
 
 
+def least_containing(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text: str, value: str) -> DataFrame:
+    """Inner rows with the least ``value`` of the outer rows whose text contains theirs; rows without one are left out.
+
+    The least value is taken for each substring before the join, so that a short name inside most outer texts meets
+    one row instead of all of them.
+    """
+    lengths = name_lengths(inner, inner_text) or [1]
+    pieces = outer.select(F.explode_outer(substrings(F.col(outer_text), lengths)).alias("_piece"), value)
+    least = pieces.groupBy("_piece").agg(F.min(value).alias(value))
+    return inner.join(least, F.col(inner_text) == F.col("_piece")).drop("_piece")
+
+
 def counts_by_contained_name(
     accounts: DataFrame, contacts: DataFrame, deals: DataFrame, interactions: DataFrame
 ) -> DataFrame:
@@ -55,7 +67,7 @@ def counts_by_contained_name(
     all names ends up as one row. An empty account name is contained in every text.
     """
     zero = F.lit(0).cast("bigint")
-    no_money = F.lit(None).cast("decimal(18,2)")
+    no_money = F.lit(None).cast(AMOUNT_TYPE)
 
     def counted(df: DataFrame, kind: str) -> DataFrame:
         return df.where(F.col("account_name").isNotNull()).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslake.functions.parsing import filled, name_key, strip
-from saleslake.operators.containment import contained_in
+from saleslake.operators.containment import contained_in, least_containing
 from saleslake.operators.joins import union_all
 from saleslake.operators.merge import upsert
 from saleslake.operators.ranking import number_rows
@@ -37,7 +37,7 @@ def _containment_matches(names: DataFrame, accounts: DataFrame) -> DataFrame:
         F.min(F.struct(F.length("account_name").alias("size"), F.col("id"))).alias("best")
     )
     inside_name = contained_in(known, wanted, "account_low", "low", "name").select("name", "best")
-    inside_account = contained_in(wanted, known, "low", "account_low", "account_low").select("name", "best")
+    inside_account = least_containing(wanted, known, "low", "account_low", "best").select("name", "best")
     return inside_name.unionByName(inside_account)
 
 

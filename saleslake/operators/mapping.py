@@ -29,9 +29,9 @@ def mapped_fields(family: str) -> set[str]:
     return {src for fields in vocab.FIELD_MAPS[family].values() for src in fields.values()}
 
 
-def pass_through(columns: list[str], family: str, table: str) -> list[str]:
-    """Unmapped source fields that equal an existing column of the target."""
-    target = set(vocab.SILVER_COLUMNS.get(table, [])) - set(_SYSTEM_COLUMNS) - {"source_data"}
+def pass_through(columns: list[str], family: str, table: str, known: list[str] | None = None) -> list[str]:
+    """Unmapped source fields that equal a column of the target: those it starts with, and ``known`` ones."""
+    target = {*vocab.SILVER_COLUMNS.get(table, []), *(known or [])} - {*_SYSTEM_COLUMNS, "source_data", "batch_id"}
     return [c for c in columns if c in target and c not in mapped_fields(family)]
 
 
@@ -41,15 +41,16 @@ def map_table(
     table: str,
     carry: list[str] | None = None,
     extra: dict[str, str] | None = None,
+    known: list[str] | None = None,
 ) -> DataFrame:
     """Rows of one target table: renamed fields, same-name fields, then routed ``extra`` ones.
 
-    A NULL field counts as absent. A row is kept when it has its dimension key, or any
+    ``known`` are the columns the target has by now. A NULL field counts as absent. A row is kept when it has its dimension key, or any
     value beyond the context columns. Facts keep the whole source record as JSON.
     """
     carry = carry or []
     sources = {dst: src for dst, src in vocab.FIELD_MAPS[family].get(table, {}).items() if src in df.columns}
-    sources.update({c: c for c in pass_through([c for c in df.columns if c not in carry], family, table)})
+    sources.update({c: c for c in pass_through([c for c in df.columns if c not in carry], family, table, known)})
     sources.update({dst: src for dst, src in (extra or {}).items() if src in df.columns})
     kinds = dict(df.dtypes)
     values = {
@@ -82,14 +83,16 @@ def preview(df: DataFrame, family: str, carry: list[str] | None = None) -> DataF
     return union_all(counts)
 
 
-def unmapped_fields(df: DataFrame, family: str, seq: str, carry: list[str] | None = None) -> DataFrame:
+def unmapped_fields(
+    df: DataFrame, family: str, seq: str, carry: list[str] | None = None, known: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Fields no table takes, with a sample of at most 100 characters from the first row having one.
 
     The candidates are columns, so one aggregate over the batch finds all samples.
     """
     taken = mapped_fields(family) | {seq, *(carry or [])}
-    for table in vocab.SILVER_COLUMNS:
-        taken |= set(pass_through(df.columns, family, table))
+    for table in vocab.SILVER_TABLES:
+        taken |= set(pass_through(df.columns, family, table, (known or {}).get(table)))
     fields = [c for c in df.columns if c not in taken]
     if not fields:
         return df.sparkSession.createDataFrame([], "field string, sample_value string, source_type string")
@@ -119,19 +122,13 @@ def evolve(fields: list[str], routing: dict[str, str]) -> Evolution:
     outcome = Evolution()
     for name in fields:
         table = routing.get(name, "").split(".")[-1]
-        if table in vocab.SILVER_COLUMNS:
+        if table in vocab.SILVER_TABLES:
             outcome.added.setdefault(table, {})[column_name(name)] = name
         else:
             outcome.ignored.append(name)
     return outcome
 
 
-def add_columns(target: DataFrame, evolution: Evolution, table: str) -> DataFrame:
-    """The target table with the newly routed columns, empty so far."""
-    new = [c for c in evolution.added.get(table, {}) if c not in target.columns]
-    return target.withColumns({c: F.lit(None).cast("string") for c in new})
-
-
 def contact_identity(columns: list[str]) -> Column:
     """Name of a contact: the first name-like field, else the account's general contact."""
     names = [F.col(c).cast("string") for c in vocab.CONTACT_NAME_FALLBACKS if c in columns]
@@ -144,10 +141,18 @@ def contact_identity(columns: list[str]) -> Column:
     return F.coalesce(*names, general)
 
 
+def target_columns(table: str) -> list[str]:
+    """Columns a table starts with, and those that some field map fills."""
+    mapped = [dst for fields in vocab.FIELD_MAPS.values() for dst in fields.get(table, {})]
+    return list(dict.fromkeys([*vocab.SILVER_COLUMNS.get(table, []), *mapped, "source_data"]))
+
+
 def to_silver(mapped: DataFrame, table: str, carry: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
-    """Columns of the target only, as canonical text, empty rows dropped."""
+    """Columns of the target only, as canonical text, empty rows dropped.
+
+    A target has the columns it starts with, all that a field map fills, and the ``extra`` ones."""
     carry = carry or []
-    wanted = [c for c in [*vocab.SILVER_COLUMNS.get(table, []), *(extra or [])] if c in mapped.columns and c not in carry]
+    wanted = [c for c in dict.fromkeys([*target_columns(table), *(extra or [])]) if c in mapped.columns and c not in carry]
     values = {c: canonical_text(F.col(c).cast("string")) for c in wanted}
     if "sentiment" in values:
         values["sentiment"] = F.lower(values["sentiment"])

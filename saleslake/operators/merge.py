@@ -6,11 +6,12 @@ most of the batch costs nothing), then joined once with the current table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslake.functions.parsing import filled, name_key
 from saleslake.operators.joins import fan_out_join, union_all
+from saleslake.operators.ranking import number_rows
 
 
 def last_non_null(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -62,11 +63,14 @@ def append(current: DataFrame, batch: DataFrame) -> DataFrame:
     return union_all([current, batch])
 
 
-def assign_ids(df: DataFrame, column: str = "id") -> DataFrame:
-    """Give rows without an id one beyond the largest in use."""
-    top = df.agg(F.max(column)).first()[0]
-    fresh = F.lit((top or 0) + 1) + F.monotonically_increasing_id()
-    return df.withColumn(column, F.coalesce(F.col(column), fresh))
+def assign_ids(df: DataFrame, column: str = "id", base: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Give rows without an id the next ones beyond the largest in use (or ``base``), without gaps.
+
+    New rows are numbered in ``order``, by default in the order of a hash of their values."""
+    top = base if base is not None else df.agg(F.max(column)).first()[0] or 0
+    fresh = df.where(F.col(column).isNull()).drop(column)
+    numbered = number_rows(fresh, order or [F.xxhash64(*fresh.columns)], column).withColumn(column, F.col(column) + top)
+    return df.where(F.col(column).isNotNull()).unionByName(numbered)
 
 
 def backfill_account_id(facts: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -23,9 +23,13 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _block_top_k(vectors: DataFrame, block: list, k: int, scoped: bool) -> DataFrame:
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _block_top_k(vectors: DataFrame, queries_frame: DataFrame, block: list, k: int, scoped: bool) -> DataFrame:
     """Best k per query of the block; every task keeps only its own best k."""
-    ids = np.array([r.query_id for r in block], dtype=np.int64)
+    ids = [r.query_id for r in block]
     queries = _unit(np.array([r.embedding for r in block], dtype=np.float64))
     scopes = np.array([r.scope for r in block], dtype=object) if scoped else None
 
@@ -40,6 +44,7 @@ def _block_top_k(vectors: DataFrame, block: list, k: int, scoped: bool) -> DataF
                 continue
             scores = np.round(_unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64)) @ queries.T, COMPARE_DECIMALS)
             names = frame["vec_id"].to_numpy()
+            names = names.astype(str) if names.dtype == object else names
             parts = [] if kept is None else [kept]
             for j, query in enumerate(ids):
                 column = scores[:, j]
@@ -51,13 +56,13 @@ def _block_top_k(vectors: DataFrame, block: list, k: int, scoped: bool) -> DataF
             yield kept
 
     columns = ["vec_id", "embedding", *(["scope"] if scoped else [])]
-    return vectors.select(*columns).mapInPandas(score, "query_id bigint, vec_id bigint, score double")
+    return vectors.select(*columns).mapInPandas(score, f"query_id {_kind(queries_frame, 'query_id')}, vec_id {_kind(vectors, 'vec_id')}, score double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k most similar vectors per query.
 
-    ``vectors`` has ``vec_id`` and ``embedding``, ``queries`` has ``query_id`` and
+    ``vectors`` has ``vec_id`` (a number or a text, as chunks have) and ``embedding``, ``queries`` has ``query_id`` and
     ``embedding``; a ``scope`` column in both restricts a query to equal scopes. Queries
     reach the tasks in blocks of bounded size, the vectors are only ever scanned in place.
     """
@@ -69,9 +74,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = vocab.TOP_K) -> DataF
     for i in range(blocks):
         rows = numbered.where(F.col("_block") == i).drop("_block").collect()
         if rows:
-            found.append(_block_top_k(vectors, rows, k, scoped))
+            found.append(_block_top_k(vectors, queries, rows, k, scoped))
     if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank bigint, vec_id bigint, score double")
+        return vectors.sparkSession.createDataFrame(
+            [], f"query_id {_kind(queries, 'query_id')}, rank bigint, vec_id {_kind(vectors, 'vec_id')}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         union_all(found)

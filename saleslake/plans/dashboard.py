@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleslake.functions.parsing import amount, filled, is_open, is_won, leading_number, same_text
 from saleslake.operators.containment import counts_by_contained_name
 from saleslake.operators.joins import fan_out_join, union_all
 from saleslake.plans.marts import MARTS, Silver
-from saleslake.session import durable
 
 RECENT = 20
 FEED = 50
@@ -47,28 +46,40 @@ def account_detail(silver: Silver, account_id: int) -> dict[str, DataFrame]:
 
 
 def pipeline_by_stage(silver: Silver) -> DataFrame:
-    """Deals and value per stage, blank stages as Unknown, with the share of the total.
+    """Deals and value per stage, blank stages as Unknown.
 
     Values are read the way the pipeline page reads them: by numeric prefix.
     """
     stage = F.when(filled(F.col("deal_stage")), F.col("deal_stage")).otherwise("Unknown")
-    value = leading_number(F.col("deal_value")).cast("decimal(20,2)")
     return (
         silver["fact_deals"]
         .groupBy(stage.alias("stage"))
-        .agg(F.count(F.lit(1)).alias("deal_count"), F.sum(value).cast("double").alias("stage_value"))
+        .agg(F.count(F.lit(1)).alias("deal_count"), _page_sum(F.col("deal_value")).alias("stage_value"))
     )
 
 
+def pipeline_total(silver: Silver) -> DataFrame:
+    """Value of all stages together, in one row."""
+    return silver["fact_deals"].agg(F.coalesce(_page_sum(F.col("deal_value")), F.lit(0.0)).alias("total_value"))
+
+
+def _page_sum(text: Column) -> Column:
+    """Sum of numeric prefixes: exact in cents, and besides it the few numbers that no decimal holds."""
+    number = leading_number(text)
+    cents = number.try_cast("decimal(28,2)")
+    beyond = F.sum(F.when(cents.isNull(), number))
+    return F.sum(cents).cast("double") + F.coalesce(beyond, F.lit(0.0))
+
+
 def insights_feed(silver: Silver, kind: str | None = None) -> DataFrame:
     """Latest fifty insights, optionally of one type."""
-    rows = silver["fact_insights"].orderBy(F.desc("id")).limit(FEED)
-    return rows if kind is None else rows.where(F.col("insight_type") == kind)
+    rows = silver["fact_insights"]
+    return (rows if kind is None else rows.where(F.col("insight_type") == kind)).orderBy(F.desc("id")).limit(FEED)
 
 
 def insight_types(silver: Silver) -> DataFrame:
-    """Types that occur in the feed."""
-    return insights_feed(silver).where(filled(F.col("insight_type"))).select("insight_type").distinct()
+    """Types that occur among all insights."""
+    return silver["fact_insights"].where(filled(F.col("insight_type"))).select("insight_type").distinct()
 
 
 def dashboard_stats(silver: Silver) -> DataFrame:
@@ -93,14 +104,11 @@ def dashboard_stats(silver: Silver) -> DataFrame:
 
 def pipeline_share(silver: Silver, as_of: str) -> DataFrame:
     """Share of every pipeline stage in the open pipeline, in percent."""
-    stages = durable(
-        MARTS["pipeline_health"](silver, as_of).groupBy("stage").agg(
-            F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double").alias("total_value")
-        )
-    )
-    total = stages.agg(F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double")).first()[0]
-    share = F.col("total_value") / F.lit(total) * 100 if total else F.lit(0.0)
-    return stages.select("stage", "total_value", share.alias("share"))
+    value = F.col("total_value").cast("decimal(28,2)")
+    stages = MARTS["pipeline_health"](silver, as_of).groupBy("stage").agg(F.sum(value).cast("double").alias("total_value"))
+    # One row a stage: the total is a window over a handful of rows.
+    total = F.sum(value).over(Window.partitionBy()).cast("double")
+    return stages.select("stage", "total_value", F.when(total != 0, F.col("total_value") / total * 100).otherwise(0.0).alias("share"))
 
 
 def _risk_rank() -> Column:

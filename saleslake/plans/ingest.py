@@ -1,28 +1,31 @@
 """One batch from raw records to rebuilt marts.
 
 bronze -> mapping -> audit trail -> validation -> identity -> merges -> marts. Dimensions
-are written before facts. Everything a batch writes is keyed by its id, so that running
-the same batch again replaces its own rows instead of adding them twice.
+are merged before facts. Silver tables and marts are staged beside the current ones and
+published together at the end, so a batch is taken in as a whole or not at all. Everything
+a batch writes is keyed by its id: running it again replaces its own rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import vocab
 from saleslake.functions.parsing import coerce_audit_value
-from saleslake.operators import identity, mapping, merge, quality, transcripts
+from saleslake.operators import chunking, identity, mapping, merge, quality, transcripts
 from saleslake.operators.joins import fan_out_join, spread, union_all
-from saleslake.plans.refresh import refresh_all
+from saleslake.plans.refresh import stage_marts
 from saleslake.session import durable
 from saleslake.sources import bronze
-from saleslake.sources.tables import read_table, write_table
+from saleslake.sources.tables import Entry, Manifest, current, publish, put, rows
 
-EVENT_FACTS = ["fact_interactions", "fact_insights"]
-_KEYS = {"dim_account": ["account_name"], "dim_contact": ["contact_name", "account_name"]}
+# Facts that are only ever added to, one folder for each batch.
+EVENT_FACTS = ["fact_interactions", "fact_insights", "fact_transactions", "fact_hr_records"]
+_KEYS = {"dim_account": ["account_name"], "dim_contact": ["contact_name", "account_name"], "dim_department": ["name"]}
 
 
 @dataclass
@@ -42,38 +45,27 @@ def family_of(source: str) -> str | None:
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
-    columns = ", ".join(f"{c} {'bigint' if c == 'account_id' else 'string'}" for c in vocab.SILVER_COLUMNS[table])
+    columns = ", ".join(f"{c} {'bigint' if c == 'account_id' else 'string'}" for c in mapping.target_columns(table))
     stamps = ", created_at timestamp, updated_at timestamp" if table == "fact_deals" else ""
     return spark.createDataFrame([], f"id bigint, {columns}{stamps}")
 
 
-def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
-    """Current silver tables; empty ones before the first batch."""
+def _silver(spark: SparkSession, lake: str, manifest: Manifest) -> dict[str, DataFrame]:
     tables = {}
-    for table in vocab.SILVER_COLUMNS:
-        if table in EVENT_FACTS:
-            tables[table] = _read_events(spark, lake, table)
-        else:
-            found = read_table(spark, f"{lake}/silver/{table}")
-            tables[table] = empty(spark, table) if found is None else found
+    for table in vocab.SILVER_TABLES:
+        found = rows(spark, lake, manifest.get(f"silver/{table}", []))
+        tables[table] = empty(spark, table) if found is None else merge.append(empty(spark, table), found)
     return tables
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def _read_events(spark: SparkSession, lake: str, table: str) -> DataFrame:
-    path, none = f"{lake}/silver/{table}", empty(spark, table)
-    if not _exists(spark, path):
-        return none
-    return merge.append(none, spark.read.option("mergeSchema", True).parquet(path))
+def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
+    """Current silver tables; empty ones before the first batch."""
+    return _silver(spark, lake, current(spark, lake)[1])
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """The batch's own partition of an append-only table, replaced as a whole."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """The batch's own partition of the raw or audit layer, replaced as a whole."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
 
 
 def ingest_structured(
@@ -96,12 +88,12 @@ def ingest_structured(
     if family is None:
         return Report("unclassified")
 
-    fresh = [r.field for r in mapping.unmapped_fields(batch, family, "seq").select("field").collect()]
+    known = {table: df.columns for table, df in read_silver(spark, lake).items()}
+    fresh = [r.field for r in mapping.unmapped_fields(batch, family, "seq", known=known).select("field").collect()]
     evolution = mapping.evolve(fresh, routing or {})
     mapped = {
-        table: mapping.map_table(batch, family, table, ["seq"], evolution.added.get(table))
+        table: mapping.map_table(batch, family, table, ["seq"], evolution.added.get(table), known[table])
         for table in {*vocab.FIELD_MAPS[family], *evolution.added}
-        if table in vocab.SILVER_COLUMNS
     }
     report = _load(spark, mapped, source, batch_id, lake, as_of, evolution)
     report.columns_added, report.fields_ignored = evolution.added, evolution.ignored
@@ -111,14 +103,19 @@ def ingest_structured(
 def ingest_transcripts(
     spark: SparkSession, docs: DataFrame, source: str, batch_id: str, lake: str, as_of: str
 ) -> Report:
-    """Take in meeting notes: rows of ``doc_id`` and ``text``."""
+    """Take in meeting notes: rows of ``doc_id`` and ``text``, and of ``filename`` and ``account_name`` if they are known.
+
+    Their chunks for the vector index go to the table ``document_chunks``."""
     raw = docs.select(F.col("text").alias("raw_transcript"))
     _write_batch(
         bronze.bronze_rows(raw, source).withColumn("created_at", F.current_timestamp()), f"{lake}/bronze", batch_id
     )
     extracted = durable(transcripts.extract(spread(docs.select("doc_id", "text"))).drop("text"))
     found = {t: df.withColumnRenamed("doc_id", "seq") for t, df in transcripts.entities(extracted).items()}
-    return _load(spark, found, source, batch_id, lake, as_of, mapping.Evolution())
+    given = {"filename": F.col("doc_id").cast("string"), "account_name": F.lit(None).cast("string")}
+    named = docs.withColumns({c: v for c, v in given.items() if c not in docs.columns})
+    pieces = chunking.chunk(named.select("filename", "account_name", "text")).withColumn("source", F.lit(source))
+    return _load(spark, found, source, batch_id, lake, as_of, mapping.Evolution(), {"document_chunks": pieces})
 
 
 def _load(
@@ -129,35 +126,39 @@ def _load(
     lake: str,
     as_of: str,
     evolution: mapping.Evolution,
+    beside: dict[str, DataFrame] | None = None,
 ) -> Report:
     audit = union_all(
         [bronze.audit_rows({t: df.drop("seq")}, batch_id, source, "deterministic") for t, df in mapped.items()]
     )
     _write_batch(audit.drop("batch_id"), f"{lake}/audit", batch_id)
 
-    current = read_silver(spark, lake)
+    base, manifest = current(spark, lake)
+    silver = _silver(spark, lake, manifest)
     valid, rejects = {}, []
     for table, df in mapped.items():
         coerced = df.withColumns(
             {c: coerce_audit_value(F.col(c), c) for c in df.columns if c not in ("seq", "source_data")}
         )
-        extra = [*evolution.added.get(table, {}), "batch_id"]
-        rows = mapping.to_silver(coerced, table, ["seq"], extra)
+        extra = [*evolution.added.get(table, {}), *silver[table].columns]
+        loaded = mapping.to_silver(coerced, table, ["seq"], extra)
         if table == "dim_contact":
-            rows = rows.withColumn("contact_name", mapping.contact_identity(rows.columns))
-        good, bad = quality.split(rows, table)
+            loaded = loaded.withColumn("contact_name", mapping.contact_identity(loaded.columns))
+        good, bad = quality.split(loaded, table)
         valid[table] = durable(good)
         rejects.append(bad)
     rejected = durable(union_all(rejects))
-    _write_batch(rejected, f"{lake}/silver/data_quality_issues", batch_id)
+    changes: Manifest = {"silver/data_quality_issues": _own_batch(manifest, "silver/data_quality_issues", batch_id, put(rejected, lake, "silver/data_quality_issues", batch_id))}
 
     # Dimensions first: facts resolve against the accounts this batch brings.
     merged: dict[str, DataFrame] = {}
     for table, keys in _KEYS.items():
         if table in valid:
-            merged[table] = durable(merge.assign_ids(merge.upsert(current[table], valid[table], keys, "seq")))
-        else:
-            merged[table] = current[table]
+            # A source without one of the keys (HR knows no accounts) has it empty.
+            own = valid[table].withColumns({k: F.lit(None).cast("string") for k in keys if k not in valid[table].columns})
+            merged[table] = durable(merge.assign_ids(merge.upsert(silver[table], own, keys, "seq")))
+        elif table == "dim_account":
+            merged[table] = silver[table]
     facts = {t: df for t, df in valid.items() if t.startswith("fact_")}
     names = union_all(
         [
@@ -165,37 +166,54 @@ def _load(
             for t, df in valid.items()
             if t != "dim_contact" and "account_name" in df.columns
         ]
+        or [spark.createDataFrame([], "name string, source string, seq bigint")]
     )
     resolved, created = identity.resolve(names, merged["dim_account"])
     resolved = durable(resolved)
     merged["dim_account"] = merge.append(merged["dim_account"], created)
-    for table in _KEYS:
-        write_table(merged[table], f"{lake}/silver/{table}")
+    for table, df in merged.items():
+        changes[f"silver/{table}"] = [put(df, lake, f"silver/{table}")]
 
-    source_map = read_table(spark, f"{lake}/silver/account_source_map")
+    source_map = rows(spark, lake, manifest.get("silver/account_source_map", []))
     seen = identity.source_map_rows(names, resolved)
     if source_map is None:
         source_map = seen.drop("seq").limit(0)
-    write_table(identity.upsert_source_map(source_map, seen), f"{lake}/silver/account_source_map")
+    changes["silver/account_source_map"] = [put(identity.upsert_source_map(source_map, seen), lake, "silver/account_source_map")]
 
     ids = resolved.select(F.col("name").alias("account_name"), F.col("account_id").alias("_found"))
     for table, df in facts.items():
-        linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
+        name = f"silver/{table}"
+        linked = df
+        if "account_name" in df.columns:
+            linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
         if table in EVENT_FACTS:
-            numbered = merge.assign_ids(linked.drop("seq").withColumn("id", F.lit(None).cast("bigint")))
-            _write_batch(numbered, f"{lake}/silver/{table}", batch_id)
+            # Ids go on from the other batches', in the order of the batch: the newest rows have the largest.
+            top = max([e.top for e in manifest.get(name, []) if e.batch != batch_id], default=0)
+            events = durable(linked.withColumn("id", F.lit(None).cast("bigint")))
+            numbered = merge.assign_ids(events, base=top, order=[F.col("seq"), F.xxhash64(*df.columns)]).drop("seq")
+            changes[name] = _own_batch(manifest, name, batch_id, put(numbered, lake, name, batch_id, top + events.count()))
         else:
-            write_table(_merged_deals(current[table], linked, batch_id), f"{lake}/silver/{table}")
-    counts = refresh_all(read_silver(spark, lake), as_of, f"{lake}/gold")
+            changes[name] = [put(_merged_deals(silver[table], linked, batch_id), lake, name)]
+    for table, df in (beside or {}).items():
+        changes[f"silver/{table}"] = _own_batch(manifest, f"silver/{table}", batch_id, put(df, lake, f"silver/{table}", batch_id))
+    # Marts are built from the staged tables, and everything is published at once.
+    after = {**manifest, **changes}
+    marts, counts = stage_marts(_silver(spark, lake, after), as_of, lake)
+    publish(spark, lake, base, {**after, **marts})
     return Report("success", rejected=rejected.count(), mart_rows=counts)
 
 
-def _merged_deals(current: DataFrame, batch: DataFrame, batch_id: str) -> DataFrame:
+def _own_batch(manifest: Manifest, name: str, batch_id: str, entry: Entry) -> list[Entry]:
+    """Folders of an append-only table with the batch's own one replaced or added."""
+    return [*[e for e in manifest.get(name, []) if e.batch != batch_id], entry]
+
+
+def _merged_deals(deals: DataFrame, batch: DataFrame, batch_id: str) -> DataFrame:
     """Deals after the batch; rows it appended in an earlier run of the same batch are replaced."""
-    kept = current
-    if "batch_id" in current.columns:
+    kept = deals
+    if "batch_id" in deals.columns:
         loose = ~(F.coalesce("deal_name", F.lit("")) != "") | ~(F.coalesce("account_name", F.lit("")) != "")
-        kept = current.where(~(F.col("batch_id").eqNullSafe(batch_id) & loose))
+        kept = deals.where(~(F.col("batch_id").eqNullSafe(batch_id) & loose))
     stamped = batch.withColumn("batch_id", F.lit(batch_id))
     merged = merge.merge_deals(kept, stamped, "seq")
     now = F.current_timestamp()

@@ -9,6 +9,7 @@ from saleslake import vocab
 from saleslake.functions.parsing import strip
 from saleslake.functions.text import count_contained
 from saleslake.operators.containment import name_lengths, substrings
+from saleslake.operators.joins import fan_out_join, union_all
 
 
 def keyword_scores(question: Column) -> tuple[Column, Column]:
@@ -46,6 +47,21 @@ def recent_context(turns: DataFrame, cut: int | None = vocab.HISTORY_CHARS) -> D
     )
 
 
+def with_row_counts(asked: DataFrame, tiers: dict[str, DataFrame], row_id: str) -> DataFrame:
+    """The questions with the rows that each tier has for their account, 0 for none.
+
+    One aggregate holds the counts of all tiers, and one join brings them to the questions; an account that most
+    questions are about is salted by ``row_id``.
+    """
+    counted = [
+        rows.groupBy("account_name").agg(F.count(F.lit(1)).alias("n")).withColumn("tier", F.lit(tier)) for tier, rows in tiers.items()
+    ]
+    counts = union_all(counted).where(F.col("account_name").isNotNull()).groupBy("account_name").agg(
+        *[F.sum(F.when(F.col("tier") == tier, F.col("n"))).alias(tier) for tier in tiers]
+    )
+    return fan_out_join(asked, counts, ["account_name"], row_id).fillna(0, list(tiers))
+
+
 def answer_route(questions: DataFrame) -> DataFrame:
     """Which tier answers, from the row counts each tier would return.
 
@@ -72,21 +88,20 @@ def silver_tables(sql_text: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.array_distinct(kept)), lambda n: F.concat(F.lit("silver."), n)), ",")
 
 
-def new_proposals(fallbacks: DataFrame, pending: DataFrame, head: int = 30) -> DataFrame:
+def new_proposals(fallbacks: DataFrame, pending: DataFrame, row_id: str, head: int = 30) -> DataFrame:
     """Fallback questions no pending proposal already covers.
 
     A proposal covers a question when it contains the question's first 30 characters, or
     was made for the same list of tables. Both tests are equality joins: containment is
-    tested on the proposals' own substrings of the lengths that occur.
+    tested on the proposals' own substrings of the lengths that occur. They run on the distinct
+    pairs of head and tables; the log is joined to what is left, with hot pairs salted by ``row_id``.
     """
     asked = fallbacks.withColumn("_head", F.lower(F.substring("question", 1, head)))
-    lengths = name_lengths(asked, "_head") or [1]
+    kinds = asked.select("_head", "tables").distinct()
+    lengths = name_lengths(kinds, "_head") or [1]
     covered = pending.select(F.explode(substrings(F.lower("question"), lengths)).alias("_head")).distinct()
-    return (
-        asked.join(covered, "_head", "left_anti")
-        .join(pending.select("tables").distinct(), "tables", "left_anti")
-        .drop("_head")
-    )
+    left = kinds.join(covered, "_head", "left_anti").join(pending.select("tables").distinct(), "tables", "left_anti")
+    return fan_out_join(asked, left, ["_head", "tables"], row_id, how="inner").drop("_head")
 
 
 def fallback_candidates(log: DataFrame) -> DataFrame:

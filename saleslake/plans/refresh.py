@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 
 from saleslake.operators.joins import union_all
 from saleslake.plans.marts import MARTS, Silver
-from saleslake.sources.tables import write_table
+from saleslake.sources.tables import Entry, current, publish, put
 
 
-def refresh_all(silver: Silver, as_of: str, path: str) -> dict[str, int]:
-    """Rebuild and publish every mart under ``path``; returns their row counts.
-
-    A mart is visible only once it is complete; each is stamped with its refresh time.
-    """
+def stage_marts(silver: Silver, as_of: str, lake: str) -> tuple[dict[str, list[Entry]], dict[str, int]]:
+    """Write every mart beside the current ones, each stamped with its refresh time; their entries and row counts."""
     spark = silver["fact_deals"].sparkSession
 
-    def publish(name: str) -> int:
+    def build(name: str) -> tuple[list[Entry], int]:
         rows = MARTS[name](silver, as_of).withColumn("refreshed_at", F.current_timestamp())
-        version = write_table(rows, f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}/v{version}").count()
+        entry = put(rows, lake, f"gold/{name}")
+        return [entry], spark.read.parquet(f"{lake}/{entry.path}").count()
 
     # The marts are independent; a few at a time keep the cluster busy while small ones finish.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        return dict(zip(MARTS, pool.map(publish, MARTS)))
+        built = dict(zip(MARTS, pool.map(build, MARTS)))
+    return {f"gold/{name}": entries for name, (entries, _) in built.items()}, {name: n for name, (_, n) in built.items()}
+
+
+def refresh_all(silver: Silver, as_of: str, lake: str) -> dict[str, int]:
+    """Rebuild all marts of a lake and publish them together; returns their row counts."""
+    spark = silver["fact_deals"].sparkSession
+    base, manifest = current(spark, lake)
+    marts, counts = stage_marts(silver, as_of, lake)
+    publish(spark, lake, base, {**manifest, **marts})
+    return counts
 
 
 def mart_row_counts(silver: Silver, as_of: str) -> DataFrame:

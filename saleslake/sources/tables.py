@@ -1,35 +1,135 @@
-"""Tables that are rebuilt or merged: write beside, then switch.
+"""Tables of a lake: data folders that never change, and manifests that say which of them are current.
 
-Parquet has no row updates, so a new state of a table is written as a new version under
-the shared folder and becomes current when its pointer file is written. Readers keep the
-version they opened; a failed write leaves the old state in place.
+A write puts its rows into a new folder first. A manifest then names, for every table, the folders that make it up; it
+becomes current by being created, which fails if another writer was faster, and the highest complete manifest counts.
+A job that ends anywhere before that leaves the old state in place, and several tables change together or not at all.
+Parquet has no row updates: merged tables are one folder, written anew; append-only ones are one folder for each batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
+from saleslake.operators.joins import union_all
+
+_MANIFESTS = "_manifests"
+_KEPT = 3  # manifests whose folders survive a clean-up
+
+
+class WriteConflict(RuntimeError):
+    """Another job has published since this one looked."""
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A data folder of a table."""
+
+    path: str
+    schema: str
+    batch: str | None = None
+    top: int = 0  # largest id in it
 
-def _current(spark: SparkSession, path: str) -> int | None:
-    pointer = f"{path}/current"
+
+Manifest = dict[str, list[Entry]]
+
+
+def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(pointer)
-    filesystem = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not filesystem.exists(target):
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _numbers(spark: SparkSession, lake: str) -> list[int]:
+    files, folder = _hadoop(spark, f"{lake}/{_MANIFESTS}")
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+
+def _load(spark: SparkSession, lake: str, number: int) -> Manifest | None:
+    """A manifest, or None for one that its writer did not finish."""
+    files, target = _hadoop(spark, f"{lake}/{_MANIFESTS}/{number}.json")
+    stream = files.open(target)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    try:
+        return {table: [Entry(**e) for e in entries] for table, entries in json.loads(text)["tables"].items()}
+    except (ValueError, KeyError):
         return None
-    return spark.read.schema("version int").json(pointer).first().version
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The current version, or None before the first write."""
-    version = _current(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/v{version}")
+def current(spark: SparkSession, lake: str) -> tuple[int, Manifest]:
+    """Number and content of the highest complete manifest; 0 and nothing before the first."""
+    for number in reversed(_numbers(spark, lake)):
+        found = _load(spark, lake, number)
+        if found is not None:
+            return number, found
+    return 0, {}
+
+
+def put(df: DataFrame, lake: str, table: str, batch: str | None = None, top: int = 0) -> Entry:
+    """Write rows into a new folder; nobody sees them until a manifest names it."""
+    path = f"{table}/{uuid.uuid4().hex}" if table else f"data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{lake}/{path}")
+    return Entry(path, df.schema.json(), batch, top)
+
+
+def publish(spark: SparkSession, lake: str, base: int, manifest: Manifest) -> int:
+    """Make a manifest current that was built on manifest ``base``."""
+    numbers = _numbers(spark, lake)
+    if any(n > base and _load(spark, lake, n) is not None for n in numbers):
+        raise WriteConflict(f"{lake} has changed since manifest {base}")
+    number = max([base, *numbers]) + 1
+    files, target = _hadoop(spark, f"{lake}/{_MANIFESTS}/{number}.json")
+    body = json.dumps({"tables": {t: [asdict(e) for e in entries] for t, entries in manifest.items()}})
+    try:
+        stream = files.create(target, False)
+    except Exception as error:
+        raise WriteConflict(f"{lake} has changed since manifest {base}") from error
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+    return number
+
+
+def rows(spark: SparkSession, lake: str, entries: list[Entry]) -> DataFrame | None:
+    """Rows of some folders; columns that one lacks are NULL. Folders of one schema are one scan."""
+    from pyspark.sql.types import StructType
+
+    by_schema: dict[str, list[str]] = {}
+    for entry in entries:
+        by_schema.setdefault(entry.schema, []).append(f"{lake}/{entry.path}")
+    parts = [spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths) for schema, paths in by_schema.items()]
+    return union_all(parts) if parts else None
+
+
+def read_table(spark: SparkSession, lake: str, table: str = "") -> DataFrame | None:
+    """A table's current rows, or None before its first write."""
+    return rows(spark, lake, current(spark, lake)[1].get(table, []))
+
+
+def write_table(df: DataFrame, lake: str, table: str = "") -> int:
+    """Replace one table; returns the manifest's number."""
+    base, manifest = current(df.sparkSession, lake)
+    return publish(df.sparkSession, lake, base, {**manifest, table: [put(df, lake, table)]})
 
 
-def write_table(df: DataFrame, path: str) -> int:
-    """Write the next version and make it current; returns its number."""
-    spark = df.sparkSession
-    version = (_current(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.range(1).selectExpr(f"{version} AS version").coalesce(1).write.mode("overwrite").json(f"{path}/current")
-    return version
+def clean_up(spark: SparkSession, lake: str, keep: int = _KEPT) -> int:
+    """Delete the folders that only manifests before the last ``keep`` name, and those manifests; returns how many
+    folders went. Folders that no manifest names may belong to a running job and stay."""
+    numbers = _numbers(spark, lake)
+    old, new = numbers[:-keep], numbers[-keep:]
+    live = {e.path for n in new for entries in (_load(spark, lake, n) or {}).values() for e in entries}
+    dead = {e.path for n in old for entries in (_load(spark, lake, n) or {}).values() for e in entries} - live
+    for path in [*sorted(dead), *(f"{_MANIFESTS}/{n}.json" for n in old)]:
+        files, target = _hadoop(spark, f"{lake}/{path}")
+        files.delete(target, True)
+    return len(dead)

@@ -39,54 +39,97 @@ SOURCE_ALIASES = {
 }
 
 # ---------------------------------------------------------------- field maps
-# family -> target table -> {target column: source field}; a bare list entry keeps its name.
-
-
-def _fields(*same: str, **renamed: str) -> dict[str, str]:
-    return {**{name: name for name in same}, **renamed}
-
-
+# Family -> target table -> {target column: source field}.
 FIELD_MAPS = {
     "crm": {
-        "dim_account": _fields(
-            "account_name", "industry", "geography", "vertical", "annual_revenue",
-            "employee_count", "website", "account_type", "segment",
-        ),
-        "dim_contact": _fields(
-            "contact_name", "account_name",
-            email="contact_email", phone="contact_phone", title="contact_title",
-            role="contact_role",
-        ),
-        "fact_deals": _fields(
-            "deal_name", "deal_value", "deal_stage", "close_date", "probability", "currency",
-            "pipeline", "product_name", "account_name", "contact_name", "owner", "vertical",
-            "horizontal", "engagement_model", "opportunity_stage", "ai_influenced",
-            "business_type", "lead_source", "salesperson",
-        ),
-        "fact_interactions": _fields(
-            "sentiment", "account_name", "contact_name",
-            interaction_type="last_interaction_type",
-            interaction_date="last_interaction_date",
-            summary="last_interaction_summary",
-        ),
+        "dim_account": {
+            "account_name": "account_name",
+            "industry": "industry",
+            "geography": "geography",
+            "vertical": "vertical",
+            "annual_revenue": "annual_revenue",
+            "employee_count": "employee_count",
+            "website": "website",
+            "account_type": "account_type",
+            "segment": "segment",
+        },
+        "dim_contact": {
+            "contact_name": "contact_name",
+            "email": "contact_email",
+            "phone": "contact_phone",
+            "title": "contact_title",
+            "role": "contact_role",
+            "account_name": "account_name",
+        },
+        "fact_deals": {
+            "deal_name": "deal_name",
+            "deal_value": "deal_value",
+            "deal_stage": "deal_stage",
+            "close_date": "close_date",
+            "probability": "probability",
+            "currency": "currency",
+            "pipeline": "pipeline",
+            "product_name": "product_name",
+            "account_name": "account_name",
+            "contact_name": "contact_name",
+            "owner": "owner",
+            "vertical": "vertical",
+            "horizontal": "horizontal",
+            "engagement_model": "engagement_model",
+            "opportunity_stage": "opportunity_stage",
+            "ai_influenced": "ai_influenced",
+            "business_type": "business_type",
+            "lead_source": "lead_source",
+            "salesperson": "salesperson",
+        },
+        "fact_interactions": {
+            "interaction_type": "last_interaction_type",
+            "interaction_date": "last_interaction_date",
+            "summary": "last_interaction_summary",
+            "sentiment": "sentiment",
+            "account_name": "account_name",
+            "contact_name": "contact_name",
+        },
     },
     "erp": {
-        "dim_account": _fields("account_name"),
-        "fact_transactions": _fields(
-            "transaction_type", "transaction_date", "amount", "quantity", "currency", "status",
-            "account_name", "product_name", reference_id="invoice_number",
-        ),
+        "dim_account": {
+            "account_name": "account_name",
+        },
+        "fact_transactions": {
+            "transaction_type": "transaction_type",
+            "transaction_date": "transaction_date",
+            "amount": "amount",
+            "quantity": "quantity",
+            "currency": "currency",
+            "status": "status",
+            "reference_id": "invoice_number",
+            "account_name": "account_name",
+            "product_name": "product_name",
+        },
     },
     "hrms": {
-        "dim_contact": _fields(
-            "title", "department",
-            contact_name="employee_name", email="employee_email", phone="employee_phone",
-        ),
-        "dim_department": _fields("location", name="department", head="manager"),
-        "fact_hr_records": _fields(
-            "record_type", "employee_name", "department", "salary", "status", "manager",
-            record_date="hire_date", position="title",
-        ),
+        "dim_contact": {
+            "contact_name": "employee_name",
+            "email": "employee_email",
+            "phone": "employee_phone",
+            "title": "title",
+            "department": "department",
+        },
+        "dim_department": {
+            "name": "department",
+            "head": "manager",
+            "location": "location",
+        },
+        "fact_hr_records": {
+            "record_type": "record_type",
+            "record_date": "hire_date",
+            "employee_name": "employee_name",
+            "department": "department",
+            "position": "title",
+            "salary": "salary",
+            "status": "status",
+            "manager": "manager",
+        },
     },
 }
 
@@ -124,6 +167,9 @@ ENTITY_NAMES = {
     "fact_insights": "insights",
 }
 
+# Tables that a load may fill: those above, and those only the field maps name.
+SILVER_TABLES = list(SILVER_COLUMNS) + ["dim_department", "fact_transactions", "fact_hr_records"]
+
 # ---------------------------------------------------------------- relevance of a file
 SALES_KEYWORDS = [
     "account", "client", "deal", "meeting", "revenue", "opportunity",
@@ -137,16 +183,16 @@ SALES_COLUMN_HINTS = [
     "contact_name", "contact_email", "opportunity", "revenue", "pipeline",
     "lead_source", "account", "client", "company", "stage",
 ]
-ROLE_TITLES = [
-    "CEO", "CFO", "CTO", "COO", "CIO", "CMO", "VP", "Director", "Manager", "Head of",
-    "President", "Partner", "Account Executive", "Sales Rep", "BDR", "SDR",
-    "Account Manager", "Sales Manager", "Regional Director",
-]
+# Fixed value: titles that count as a role, as whole words in any case.
+ROLE_TITLES = (
+    "CEO|CFO|CTO|COO|CIO|CMO|VP|Director|Manager|Head of|"
+    "President|Partner|Account Executive|Sales Rep|BDR|SDR|"
+    "Account Manager|Sales Manager|Regional Director"
+)
 RELEVANCE_MONEY_PATTERN = (
     r"(?i)\$\s?[\d,.]+|\d+(?:,\d{3})+(?:\.\d+)?\s*(?:USD|dollars?|M|K|B)\b"
 )
 MIN_RELEVANCE_HITS = 2
-BLOB_CHAR_LIMIT = 50_000
 
 DATE_SHAPES = [
     r"^\d{4}-\d{2}-\d{2}\z", r"^\d{4}/\d{2}/\d{2}\z",

@@ -55,10 +55,10 @@ def test_deals(spark, lake, first):
 
 
 def test_rejects_and_source_map(spark, lake, first):
-    issues = spark.read.parquet(f"{lake}/silver/data_quality_issues").collect()
+    issues = read_table(spark, lake, "silver/data_quality_issues").collect()
     assert [i.error_messages for i in issues] == [["deal_value must be numeric, got: 'abc'"]]
     assert "Broken" in issues[0].raw_record
-    sources = read_table(spark, f"{lake}/silver/account_source_map")
+    sources = read_table(spark, lake, "silver/account_source_map")
     assert {(r.source, r.source_name) for r in sources.collect()} == {
         ("Salesforce", "Acme"), ("Salesforce", "acme"), ("Salesforce", "Beta")
     }
@@ -97,6 +97,8 @@ def test_transcripts(spark, lake, first):
     assert (deal.deal_name, deal.deal_value, deal.deal_stage) == ("Gamma Systems Deal", "5000", "Negotiation")
     assert silver["fact_interactions"].where("account_name = 'Gamma Systems'").count() == 1
     assert silver["dim_contact"].where("contact_name = 'Ann Lee'").count() == 1
+    chunks = read_table(spark, lake, "silver/document_chunks").collect()
+    assert [(c.filename, c.chunk_index, c.total_chunks, c.chunk_text) for c in chunks] == [("7", 0, 1, note)]
 
 
 def test_incremental_folder(spark):
@@ -119,3 +121,70 @@ def test_incremental_folder(spark):
     with open(f"{home}/in/b.csv", "w") as out:
         out.write("account_name,deal_name,deal_value,deal_stage\nAcme,Big,,Closed Won\nAcme,Third,5,Proposal\n")
     assert run() == 3
+
+
+# ------------------------------------------------------------------ what a load keeps
+def lake_of(*parts):
+    return tempfile.mkdtemp(prefix="run-")
+
+
+def test_erp_and_hr_tables_are_loaded(spark):
+    lake = lake_of()
+    erp = spark.createDataFrame([(1, "Acme", "sale", "12.50", "INV-1"), (2, "Acme", "refund", "3", "INV-2")],
+                                "seq bigint, account_name string, transaction_type string, amount string, invoice_number string")
+    assert ingest_structured(spark, erp, "sap", "e1", lake, "2024-03-01", force=True).status == "success"
+    hr = spark.createDataFrame([(1, "Ann", "Sales", "Bob", "hire", "100.123456789012345")],
+                               "seq bigint, employee_name string, department string, manager string, record_type string, salary string")
+    assert ingest_structured(spark, hr, "workday", "h1", lake, "2024-03-01", force=True).status == "success"
+    silver = read_silver(spark, lake)
+    rows = {(r.reference_id, r.amount, r.account_id is not None) for r in silver["fact_transactions"].collect()}
+    assert rows == {("INV-1", "12.5", True), ("INV-2", "3", True)}
+    assert [(r.name, r.head) for r in silver["dim_department"].collect()] == [("Sales", "Bob")]
+    assert [(r.employee_name, r.salary) for r in silver["fact_hr_records"].collect()] == [("Ann", "100.123456789012345")]
+
+
+def test_all_mapped_columns_and_evolved_ones_stay(spark):
+    lake = lake_of()
+    schema = "seq bigint, account_name string, segment string, contact_name string, contact_email string, deal_name string, deal_value string, owner string, lead_priority string"
+    one = spark.createDataFrame([(1, "Acme", "Big", "Ann", "ann@a.example", "D1", "5", "Olga", "high")], schema)
+    two = spark.createDataFrame([(1, "Acme", None, "Ann", None, "D2", "6", "Otto", "low")], schema)
+    ingest_structured(spark, one, "crm", "b1", lake, "2024-03-01", {"lead_priority": "fact_deals"})
+    second = ingest_structured(spark, two, "crm", "b2", lake, "2024-03-01")  # no routing: the column is known by now
+    assert second.fields_ignored == [] and second.columns_added == {}
+    silver = read_silver(spark, lake)
+    assert {(r.deal_name, r.owner, r.lead_priority) for r in silver["fact_deals"].collect()} == {("D1", "Olga", "high"), ("D2", "Otto", "low")}
+    assert [r.email for r in silver["dim_contact"].collect()] == ["ann@a.example"]
+    assert [r.segment for r in silver["dim_account"].collect()] == ["Big"]
+
+
+def test_event_ids_go_on_over_batches(spark):
+    lake = lake_of()
+    schema = "seq bigint, account_name string, deal_name string, last_interaction_date string, sentiment string"
+    for k in (1, 2, 1, 3):
+        rows = [(i, "Acme", "D", f"2024-0{k}-0{i}", "positive") for i in (1, 2, 3)]
+        ingest_structured(spark, spark.createDataFrame(rows, schema), "crm", f"b {k}/x", lake, "2024-03-01")
+    events = read_silver(spark, lake)["fact_interactions"].orderBy("id").collect()
+    assert len({r.id for r in events}) == len(events) == 9
+    assert [r.interaction_date for r in events if r.interaction_date.startswith("2024-03")] == ["2024-03-01", "2024-03-02", "2024-03-03"]
+    assert events[-1].interaction_date == "2024-03-03"  # the last batch has the largest ids
+
+
+def test_a_batch_that_breaks_off_leaves_the_old_state(spark, monkeypatch):
+    from saleslake.plans import ingest
+
+    lake = lake_of()
+    batch = spark.createDataFrame(ROWS, COLUMNS)
+    ingest_structured(spark, batch, "crm", "b1", lake, "2024-03-01")
+    before = {t: df.count() for t, df in read_silver(spark, lake).items()}
+    more = batch.withColumn("deal_name", F.concat("deal_name", F.lit(" again")))
+    for step in ("put", "stage_marts", "publish"):
+        def broken(*args, **kwargs):
+            raise OSError("lost")
+
+        with monkeypatch.context() as patch:
+            patch.setattr(ingest, step, broken)
+            with pytest.raises(OSError, match="lost"):
+                ingest_structured(spark, more, "crm", "b2", lake, "2024-03-01")
+        assert {t: df.count() for t, df in read_silver(spark, lake).items()} == before
+    ingest_structured(spark, more, "crm", "b2", lake, "2024-03-01")
+    assert read_silver(spark, lake)["fact_deals"].count() > before["fact_deals"]

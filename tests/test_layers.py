@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from saleslake.operators import mapping
@@ -12,7 +13,7 @@ from saleslake.plans import dashboard
 from saleslake.plans.ingest import empty
 from saleslake.plans.marts import MARTS
 from saleslake.plans.refresh import refresh_all
-from saleslake.sources import bronze, readers
+from saleslake.sources import bronze, readers, tables
 from saleslake.sources.tables import read_table, write_table
 
 AS_OF = "2024-03-01"
@@ -76,6 +77,34 @@ def test_tables_switch_versions(spark):
     assert read_table(spark, path).count() == 2 and old.count() == 3
 
 
+def test_an_unfinished_manifest_does_not_count(spark):
+    path = f"{home()}/t"
+    write_table(spark.range(3), path)
+    with open(f"{path}/_manifests/2.json", "w") as out:
+        out.write('{"tables": {"": [{"pa')  # a writer that was lost
+    assert read_table(spark, path).count() == 3
+    assert write_table(spark.range(4), path) == 3
+    assert read_table(spark, path).count() == 4
+
+
+def test_the_slower_of_two_writers_is_told(spark):
+    path = f"{home()}/t"
+    write_table(spark.range(3), path)
+    base, manifest = tables.current(spark, path)
+    write_table(spark.range(5), path)
+    with pytest.raises(tables.WriteConflict):
+        tables.publish(spark, path, base, manifest)
+    assert read_table(spark, path).count() == 5
+
+
+def test_clean_up_keeps_the_last_states(spark):
+    path = f"{home()}/t"
+    for n in range(5):
+        write_table(spark.range(n), path)
+    assert tables.clean_up(spark, path, keep=2) == 3
+    assert read_table(spark, path).count() == 4 and len(os.listdir(f"{path}/data")) == 2
+
+
 def test_stamp(spark):
     df = mapping.stamp_account(spark.createDataFrame([("B",)], "account_name string"), "A")
     assert df.first().account_name == "A"
@@ -170,10 +199,10 @@ def test_totals_agree_between_marts(spark):
 
 
 def test_refresh_publishes_every_mart(spark):
-    path = f"{home()}/gold"
+    path = home()
     counts = refresh_all(silver(spark, fact_deals=[deal(1, "Acme")]), AS_OF, path)
     assert set(counts) == set(MARTS) and counts["revenue_summary"] == 1
-    assert "refreshed_at" in read_table(spark, f"{path}/revenue_summary").columns
+    assert "refreshed_at" in read_table(spark, path, "gold/revenue_summary").columns
 
 
 def test_requests(spark):

@@ -13,20 +13,6 @@ from saleslake.operators.ranking import number_rows
 
 
 # ------------------------------------------------------------------ chunks
-def windows(text: str, size: int = 500, overlap: int = 100) -> list[str]:
-    """Window by window, as described in the survey."""
-    found, start = [], 0
-    while start < len(text):
-        stop = start + size
-        if stop >= len(text):
-            return [*found, text[start:]]
-        at = text.rfind(". ", start + 400, stop)
-        stop = stop if at < 0 else at + 1
-        found.append(text[start:stop])
-        start = stop - overlap
-    return found
-
-
 def test_windows(spark):
     rng = random.Random(5)
     texts = ["a" * 1200, "x" * 450 + ". " + "y" * 700, "z" * 500, "z" * 501, "q" * 51, "😀" * 1300]
@@ -36,7 +22,18 @@ def test_windows(spark):
     assert [len(w) for w in got[0]] == [500, 500, 400]
     assert [len(w) for w in got[1]] == [451, 500, 401]
     for i, text in enumerate(texts):
-        assert got[i] == windows(text), i
+        ends = [0]
+        for n, window in enumerate(got[i]):
+            # Every window starts 100 before the end of the one before it, and nothing lies between.
+            start = ends[-1] - 100 if n else 0
+            assert 0 < len(window) <= 500 and text[start : start + len(window)] == window, i
+            ends.append(start + len(window))
+            if n < len(got[i]) - 1:
+                # It ends at the last sentence end of its final fifth if there is one, else it is full.
+                stops = [m for m in range(400, 499) if text[start + m : start + m + 2] == ". "]
+                assert len(window) == (stops[-1] + 1 if stops else 500), i
+        assert ends[-1] == len(text), i
+        assert len(got[i]) == 1 or len(text) - ends[-2] > 0, i
 
 
 def test_short_documents_have_no_chunks(spark):
@@ -169,7 +166,6 @@ def test_unmapped_and_evolved_fields(spark):
     assert outcome.added == {"dim_account": {"deal_score": "Deal-Score"}} and set(outcome.ignored) == {"note", "source"}
     got = mapping.map_table(batch, "crm", "dim_account", ["seq"], outcome.added["dim_account"])
     assert [r.deal_score for r in got.orderBy("seq").collect()] == [None, "9"]
-    assert "deal_score" in mapping.add_columns(spark.createDataFrame([("A",)], "account_name string"), outcome, "dim_account").columns
 
 
 def test_rows_without_content_are_not_emitted(spark):
@@ -226,3 +222,9 @@ def test_keywords_and_records(spark):
     assert ids("What about Big Corp?") == [4, 3, 2]
     assert ids("What about Nobody?") == [7, 6]
     assert ids("no names here") == [7, 6]
+
+
+def test_vector_ids_may_be_texts(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.1])], "query_id string, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id) for r in vectors.top_k(rows, asked, 2).orderBy("rank").collect()] == [("q", 1, "a"), ("q", 2, "b")]

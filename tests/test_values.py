@@ -19,8 +19,9 @@ def apply(spark, values, function, kind="string"):
 
 
 def test_amount(spark):
+    assert str(apply(spark, ["12345678901234567890.125"], p.amount)[0]) == "12345678901234567890.125000"
     got = apply(spark, ["1.2.3", ".", "5.", "12", "-5", "1e5", None, "12\n", "0.125"], p.amount)
-    assert [None if g is None else float(g) for g in got] == [None, None, 5, 12, None, None, None, None, 0.13]
+    assert [None if g is None else float(g) for g in got] == [None, None, 5, 12, None, None, None, None, 0.125]
 
 
 def test_init_cap(spark):
@@ -33,6 +34,9 @@ def test_init_cap(spark):
         ("x", "007", "7"), ("x", "2500000.0", "2500000"), ("win_rate", "2.0", "2.0"), ("x", "1.50", "1.5"),
         ("x", '{"a":1}', '{"a":1}'), ("x", "{broken", "{broken"), ("x", " text ", "text"), ("sentiment", " Good", "good"),
         ("x", "--5", "--5"), ("x", "-5", "-5"), ("x", "1.2.3", "1.2.3"), ("x", "12345678.25", "12345678.25"),
+        ("x", "0.12345678901234", "0.12345678901234"), ("x", "1.5e-12", "0.0000000000015"), ("x", "1.5e3", "1500"), ("x", "1.25E-30", "1.25E-30"),
+        ("x", "+00.50", "0.5"), ("x", "-0.0", "0"), ("x", "-.5", "-0.5"), ("x", "12345678901234567890.5", "12345678901234567890.5"),
+        ("x", "1" * 60, "1" * 60), ("x", "1" * 60 + ".0", "1" * 60),
     ],
 )
 def test_audit_form(spark, field, value, expected):
