@@ -36,7 +36,7 @@ CROWD = 1500
 #: Crowded anchors that are split, the most crowded ones; each of the rest has less than one in so many of the texts.
 CROWDS = 1 << 16
 #: Bytes of text that are compared at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Room for positions in the packed minima, and window starts that are packed at once.
 PLACE_BITS, SLICE = 24, 1 << 23
 
