@@ -46,9 +46,10 @@ class Network:
 
 
 def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded with zeros to whole blocks (one at least), and each text's first block."""
+    """Texts padded with zeros to whole blocks, and each text's first block. Enough zeros follow every text that no
+    window reaches into the next one."""
     size = np.diff(offsets)
-    blocks = np.maximum(1, -(-size // BLOCK))
+    blocks = -(-(size + TAPS) // BLOCK)
     first = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(first[-1] * BLOCK + TAPS, np.uint8)
     out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], size)] = data
