@@ -269,14 +269,13 @@ def verified(threshold: float, least: list[int]):
     return run
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), n_links (other documents at the threshold)."""
-    spark = docs.sparkSession
+def classes(source: DataFrame, threshold: float, crowd: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, tk, text): those that others have links to, with the first of their class (``first``: a
+    struct of id and tk) and ``n_links``; and those that are alone (doc_id)."""
+    spark = source.sparkSession
     least = least_agreements(threshold, TOLERANCE, HASHES, STEP)
-    plain = keyed(docs, id_col, text_col)
-    source = plain.select(safe_id(), F.lit(0).alias("tk"), "text")
     found = stored(source.mapInArrow(signatures, "doc_id long, tk int, node long, values binary"))
-    nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.max("values").alias("values")))
+    nodes = stored(found.groupBy("node").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.count(F.lit(1)).alias("weight"), F.max("values").alias("values")))
 
     keys = nodes.select("node", "values").mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     met = stored(keys.mapInArrow(shared_buckets(crowd), "key long, node long, other long"))
@@ -302,26 +301,35 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, blo
     roots = components(stored(solved.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))))
     placed = nodes.select("node", "first", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.join(counts, "node", "left").filter("weight > 1 OR links > 0"))
-    first = placed.groupBy("root").agg(F.min("first").alias("class_id"))
-    info = stored(placed.join(first.hint("merge"), "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    first = placed.groupBy("root").agg(F.min("first").alias("head"))
+    info = stored(placed.join(first.hint("merge"), "root").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
 
-    several = found.select("doc_id", "node").join(info.hint("merge"), "node").select("doc_id", "class_id", "n_links")
+    several = found.select("doc_id", "tk", "node").join(info.hint("merge"), "node").select("doc_id", "tk", F.col("head").alias("first"), "n_links")
     # Documents that are alone: those without words, and the only ones of nodes without links.
-    alone = nodes.filter("weight = 1").select(F.col("first").alias("doc_id"), "node").join(info.select("node"), "node", "left_anti").select("doc_id")
-    wordless = plain.filter("text IS NULL OR NOT text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(safe_id())
-    single = alone.union(wordless).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = nodes.filter("weight = 1").select("first.doc_id", "node").join(info.select("node"), "node", "left_anti").select("doc_id")
+    wordless = source.filter("text IS NULL OR NOT text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select("doc_id")
+    return several, alone.union(wordless)
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), n_links (other documents at the threshold)."""
+    source = keyed(docs, id_col, text_col).select(safe_id(), F.lit(0).alias("tk"), "text")
+    several, alone = classes(source, threshold, crowd, block)
+    linked = several.select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links")
+    single = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")]
-    return several.unionByName(single).select(*back, "n_links")
+    return linked.unionByName(single).select(*back, "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows of one document of each class, the one with the smallest id; of rows that share id and words, one.
+    """The input rows of one document of each class, the one with the smallest id; of rows that share id and text, one.
 
     Documents without words are all kept."""
-    own, gone_id, words = unused(docs, "_own", "_gone", "_words")
-    result = links(docs, threshold, id_col=id_col, text_col=text_col).filter("n_links > 0 AND NOT doc_id <=> class_id")
-    gone = result.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(gone_id)).distinct()
-    kept = docs.withColumn(own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))).join(gone, F.col(own) == F.col(gone_id), "left_anti")
-    if ids_repeat(keyed(docs, id_col, text_col)):
-        kept = kept.withColumn(words, text_key(True, text_col)).dropDuplicates([own, words])
-    return kept.select(*quoted(docs))
+    own, key, gone_id, gone_key = unused(docs, "_own", "_key", "_gone_id", "_gone_key")
+    plain = keyed(docs, id_col, text_col)
+    repeat = ids_repeat(plain)
+    several, _ = classes(plain.select(safe_id(), text_key(repeat).alias("tk"), "text"), threshold, CROWD, BLOCK)
+    gone = several.filter(F.struct("doc_id", "tk") != F.col("first")).select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_key)).distinct()
+    rows = docs.withColumns({own: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), key: text_key(repeat, text_col)})
+    kept = rows.join(gone, (F.col(own) == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    return (kept.dropDuplicates([own, key]) if repeat else kept).select(*quoted(docs))

@@ -176,7 +176,8 @@ def test_near_links(odd_docs, odd_rows, crowd, block):
 def test_near_links_ties_and_empty(tied_docs, no_docs):
     same(neighbours.links(tied_docs), brute.near_links(text_rows(tied_docs)))
     same(neighbours.links(no_docs), [])
-    assert neighbours.one_of_each(tied_docs).count() == 4  # of a missing id both, the text of its own, the empty one
+    # Of the class of the long text the one without an id, the other text of id 1, and the two without words.
+    assert neighbours.one_of_each(tied_docs).count() == 4
 
 
 def test_one_of_each(odd_docs, odd_rows):
