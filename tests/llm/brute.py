@@ -80,7 +80,7 @@ def roots(n: int, pairs) -> list[int]:
     return [find(x) for x in range(n)]
 
 
-def kept_texts(rows, edits=2, least=20):
+def kept_texts(rows, edits=2, least=20, per_edit=20):
     """(doc_id, lines that are not blank, lines that went, text that stays)"""
     lines = {}
     for i, text in sorted(rows, key=order):
@@ -93,9 +93,10 @@ def kept_texts(rows, edits=2, least=20):
     pairs = []
     for n, a in enumerate(long):
         for b in long[n + 1 :]:
-            if len(names[b]) - len(names[a]) > edits:
+            most = max(edits, len(names[a]) // per_edit)
+            if len(names[b]) - len(names[a]) > most:
                 break
-            if (counts[a] - counts[b]).total() <= edits and (counts[b] - counts[a]).total() <= edits and distance(names[a], names[b]) <= edits:
+            if (counts[a] - counts[b]).total() <= most and (counts[b] - counts[a]).total() <= most and distance(names[a], names[b]) <= most:
                 pairs.append((a, b))
     first = {}
     for k, root in enumerate(roots(len(names), pairs)):

@@ -139,6 +139,30 @@ def test_line_dedup_edits(spark, crowd):
     same(lines.report(df, crowd=crowd), [(i, n, gone, brute.sha((text or "").encode())) for i, n, gone, text in brute.kept_texts(rows)])
 
 
+def longer_lines(rng: random.Random):
+    """Lines of 55 to 400 characters with edits up to and beyond a twentieth of them, in one place and spread out."""
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([58, 60, 61, 79, 80, 100, 160, 400]))) for _ in range(14)]
+
+    def edited(line: str) -> str:
+        b, n = list(line), rng.randint(0, max(3, len(line) // 20) + 1)
+        spots = [round((i + 0.5) * len(b) / max(1, n)) for i in range(n)] if rng.random() < 0.6 else [len(b) // 3 + i for i in range(n)]
+        for k in reversed(spots):
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        return "".join(b)
+
+    return [(i, "\n".join(edited(rng.choice(base)) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+
+
+@pytest.mark.parametrize(("crowd", "few"), [(512, 8), (2, 0)])
+def test_line_dedup_edits_grow_with_length(spark, crowd, few):
+    rows = longer_lines(random.Random(6))
+    rows += [(100, "one word of this long line is another one here, as " * 4), (101, "one word of this long line is replaced one here, as " + "one word of this long line is another one here, as " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.kept_texts(rows)
+    assert want[-1][2] == 1 and sum(x[2] for x in want) > sum(x[2] for x in brute.kept_texts(rows, per_edit=1000))
+    same(lines.report(df, crowd=crowd, few=few), [(i, n, gone, brute.sha((text or "").encode())) for i, n, gone, text in want])
+
+
 def test_line_dedup_odd(odd_docs, odd_rows, tied_docs, no_docs):
     kept = lines.without_repeated_lines(odd_docs)
     assert kept.columns == odd_docs.columns
