@@ -3,9 +3,15 @@
 A text is folded (A-Z to lower case, other ASCII signs to one blank) and every 3 and 4 bytes of it, word edges
 included, are hashed to a bucket; its vector is the mean of the buckets' embeddings. Embeddings and softmax are trained
 by stochastic gradient descent in numpy, on ``SAMPLE_ROWS`` labelled documents at most, spread evenly over the
-languages by a hash of the id. As both layers are linear, scoring uses one table of buckets by languages. A part of the
-sample calibrates the scores (a temperature) and sets the score below which a prediction is rejected, such that about
-``REJECT_SHARE`` of the labelled documents would be, but no score above ``REJECT_CAP`` times mere chance.
+languages by a hash of the id. As both layers are linear, scoring uses one table of buckets by languages.
+
+Another ``CHECK_ROWS`` documents calibrate the scores (a temperature) and the rejection. The largest of n softmax values
+says which language is nearest, not whether any is near; so a second table holds the logarithm of each bucket's share
+in each language, and a text's typicality is its mean there less the usual mean of the language's check documents, under
+the language where that is largest. Check documents scored without their own language stand for unlearned languages.
+The bound is where the shares of unknown texts that go and of known texts that stay are largest together, in the middle
+of such a range, with ``REJECT_SHARE`` of the known ones rejected at most; ``known_rejected`` and ``unknown_rejected`` of
+the model tell both shares.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; without labelled documents every
 text is; rows that share an id are scored one by one; a missing id is in no held-out fold and not learned from; an
@@ -25,10 +31,12 @@ from pyspark.sql import functions as F
 from saleslake.llm.common import keyed, text_pieces
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 4096, 16
-#: Labelled documents to learn from, at most; and languages, the most frequent ones.
-SAMPLE_ROWS, LANGUAGES = 1600, 200
+#: Labelled documents to learn from and to calibrate with, at most; and languages, the most frequent ones.
+SAMPLE_ROWS, CHECK_ROWS, LANGUAGES = 1600, 1600, 200
 EPOCHS, BATCH, RATE, SEED = 30, 32, 0.5, 11
-REJECT_SHARE, REJECT_CAP = 0.002, 1.25
+REJECT_SHARE = 0.002
+#: Of a language's bucket shares, what stands for those that it has not shown.
+UNSEEN = 0.02
 UNKNOWN = "und"
 
 
@@ -38,7 +46,11 @@ class Model:
     table: np.ndarray  # (orders * buckets + 1, languages): embedding times softmax weights; the last row is zero
     bias: np.ndarray
     temperature: float
+    usual: np.ndarray  # (orders * buckets + 1, languages): logarithms of the buckets' shares; the last row is zero
+    mean: np.ndarray  # usual mean of each language's documents under it
     threshold: float
+    known_rejected: float
+    unknown_rejected: float
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:
@@ -101,16 +113,16 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
-    each = max(1, sample_rows // len(counts))
+    each = max(1, (sample_rows + CHECK_ROWS) // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(-each * 1_000_000 // n))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).limit(2 * sample_rows)
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).limit(2 * (sample_rows + CHECK_ROWS))
     got = drawn.select("text", "lang").mapInArrow(histograms, "lang string, shares binary").toArrow()
     if not len(got):
         return None
     labels = np.array(got.column("lang").to_pylist())
     shares = np.stack([np.frombuffer(x, np.float16) for x in got.column("shares").to_pylist()]).astype(np.float32) / 256
     order = np.lexsort((shares[:, :64].sum(axis=1), labels))  # not the order in which tasks ended
-    return train(shares[order], labels[order])
+    return train(shares[order], labels[order], sample_rows)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -118,12 +130,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(shares: np.ndarray, labels: np.ndarray) -> Model:
+def bound(known: np.ndarray, unknown: np.ndarray) -> float:
+    """Middle of the typicalities below which most unknown and fewest known texts lie, at most ``REJECT_SHARE`` of these."""
+    known, unknown = np.sort(known), np.sort(unknown)
+    cuts = np.unique(np.concatenate([known[: int(REJECT_SHARE * len(known)) + 1], unknown[unknown <= known[int(REJECT_SHARE * len(known))]]]))
+    gain = np.searchsorted(unknown, cuts) / max(1, len(unknown)) - np.searchsorted(known, cuts) / len(known)
+    best = cuts[gain == gain.max()][-1]
+    below = unknown[unknown < best]
+    return float((best + below[-1]) / 2 if len(below) else best)
+
+
+def train(shares: np.ndarray, labels: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Model:
     languages = sorted(set(labels.tolist()))
     target = np.searchsorted(languages, labels)
     random = np.random.default_rng(SEED)
     order = random.permutation(len(labels))
-    check, own = (order[: len(order) // 5], order[len(order) // 5 :]) if len(order) >= 50 else (order, order)
+    checked = max(len(order) // 5, len(order) - sample_rows)
+    check, own = (order[:checked], order[checked:]) if len(order) >= 50 else (order, order)
     spread = 1 / np.sqrt(np.maximum((shares[own] ** 2).sum(axis=1).mean(), 1e-9))
     embedding = random.normal(0, 0.1, (shares.shape[1], DIMENSIONS)).astype(np.float32)
     weights, bias = random.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
@@ -143,31 +166,42 @@ def train(shares: np.ndarray, labels: np.ndarray) -> Model:
     logits = shares[check] @ table[:-1] + bias
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), target[check]] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
     temperature = float(min(losses, key=losses.get))
-    best = np.sort(softmax(logits / temperature).max(axis=1))
-    threshold = min(REJECT_CAP / len(languages), float(best[int(REJECT_SHARE * len(best))]))
-    return Model(languages, table.astype(np.float32), bias, temperature, threshold)
+    usual = np.stack([shares[own][target[own] == k].mean(axis=0) if (target[own] == k).any() else np.zeros(shares.shape[1]) for k in range(len(languages))], axis=1) + UNSEEN / shares.shape[1]
+    usual = np.log(usual / usual.sum(axis=0)).astype(np.float32)
+    means = shares @ usual
+    seen = [own_rows if len(own_rows := check[target[check] == k]) else np.flatnonzero(target == k) for k in range(len(languages))]
+    mean = np.array([means[rows, k].mean() for k, rows in enumerate(seen)], np.float32)
+    typical = means[check] - mean
+    others = np.where(np.arange(len(languages)) == target[check][:, None], -np.inf, typical).max(axis=1)[: len(check) * (len(languages) > 1)]
+    known = typical.max(axis=1)
+    threshold = bound(known, others)
+    usual = np.concatenate([usual, np.zeros((1, len(languages)), np.float32)])
+    return Model(languages, table.astype(np.float32), bias, temperature, usual, mean, threshold, float((known < threshold).mean()), float((others < threshold).mean()) if len(others) else float("nan"))
 
 
 def scored(shared):
-    """For ``mapInArrow``: language and score of every text, whatever its length."""
+    """For ``mapInArrow``: language, score and typicality of every text, whatever its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
-        none = len(ORDERS) * BUCKETS
+        none, n = len(ORDERS) * BUCKETS, len(model.languages)
+        table = np.concatenate([model.table, model.usual], axis=1)
+        added = ("lang_pred", "score", "typical")
         for rows, data, offsets in text_pieces(batches):
-            total = np.zeros((len(rows) + 1, len(model.languages)), np.float32)
+            total = np.zeros((len(rows) + 1, 2 * n), np.float32)
             count = np.zeros(len(rows), np.int64)
             starts = offsets[:-1]
             full = np.flatnonzero(np.diff(offsets) > 0)
             for bucket in subwords(data, offsets) if len(full) else ():
-                total[full] += np.add.reduceat(model.table[bucket], starts[full], axis=0)
+                total[full] += np.add.reduceat(table[bucket], starts[full], axis=0)
                 count[full] += np.add.reduceat((bucket != none).astype(np.int64), starts[full])
             mean = total[:-1] / np.maximum(count, 1)[:, None]
-            chance = softmax((mean + model.bias) / model.temperature)
+            chance = softmax((mean[:, :n] + model.bias) / model.temperature)
+            typical = (mean[:, n:] - model.mean).max(axis=1).astype(np.float64)
             yield pa.RecordBatch.from_arrays([
-                *[rows.column(c) for c in rows.schema.names if c not in ("lang_pred", "score")],
-                pa.array(np.array(model.languages)[chance.argmax(axis=1)], pa.string()), pa.array(chance.max(axis=1).astype(np.float64).clip(0, 1))],
-                [*[c for c in rows.schema.names if c not in ("lang_pred", "score")], "lang_pred", "score"])
+                *[rows.column(c) for c in rows.schema.names if c not in added],
+                pa.array(np.array(model.languages)[chance.argmax(axis=1)], pa.string()), pa.array(chance.max(axis=1).astype(np.float64).clip(0, 1)), pa.array(typical)],
+                [*[c for c in rows.schema.names if c not in added], *added])
 
     return run
 
@@ -178,11 +212,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    out = rows.mapInArrow(scored(shared), "doc_id long, text string, letters boolean, lang_pred string, score double")
+    out = rows.mapInArrow(scored(shared), "doc_id long, text string, letters boolean, lang_pred string, score double, typical double")
     return out.select(
         "doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
-        (~F.col("letters") | (F.col("score") < model.threshold)).alias("rejected"))
+        (~F.col("letters") | (F.col("typical") < model.threshold)).alias("rejected"))
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -195,7 +229,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col))], ["text"])
-            scores = [part.column("score").to_numpy() for part in score_batches(iter([text]))]
+            scores = [part.column("typical").to_numpy() for part in score_batches(iter([text]))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 

@@ -336,6 +336,18 @@ def test_language_id(spark, odd_docs, no_docs):
     assert language.accepted(no_docs, None).count() == language.report(no_docs).count() == 0
 
 
+def test_an_unlearned_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    model = language.fit(docs.filter("lang <> 'de'"))
+    assert model.known_rejected <= language.REJECT_SHARE + 0.005 and model.unknown_rejected > 0.95
+    out = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy(F.col("lang") == "de").agg(F.avg(F.col("rejected").cast("int")))
+    share = dict(map(tuple, out.collect()))
+    assert share[True] > 0.95 and share[False] < 0.02
+    rng = random.Random(8)
+    noise = spark.createDataFrame([(i, "".join(rng.choice("bcdfghjklmnpqrstvwxz  ") for _ in range(rng.randint(60, 900)))) for i in range(40)], "doc_id long, text string")
+    assert language.identify(noise, model).filter("rejected").count() == 40 and language.accepted(noise, model).count() == 0
+
+
 def test_language_model_reads_whole_texts():
     shares = np.eye(4, len(language.ORDERS) * language.BUCKETS, dtype=np.float32).repeat(30, axis=0)
     model = language.train(shares, np.array(["a", "b", "c", "d"]).repeat(30))
