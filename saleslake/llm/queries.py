@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslake.llm import decontaminate, exact, language, lines, neighbours, packed, quality, relative, suffixes, tokens
+from saleslake.llm import decontaminate, exact, kneser, language, lexical, lines, neighbours, packed, quality, relative, spelling, suffixes, tokens
 from saleslake.llm.common import scratch, table
 
 
@@ -54,9 +54,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.report(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_language_id, op4_line_dedup, op5_substring_dedup, op6_token_id_output,
     op7_quality_classifier, op8_benchmark_decontamination, op9_bpe_encode_decode, op10_exact_dedup,
+    op11_lm_scoring, op12_ranked_lexical_search, op13_spelling_variants,
 )}
 
 EXACT_SQL = """
@@ -65,4 +78,21 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-ORACLES = {"op10_exact_dedup": EXACT_SQL}
+TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+SEARCH_SQL = f"""
+WITH words AS (SELECT doc_id, {TERMS} AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+lens AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lens),
+asked AS (SELECT DISTINCT item_id, {TERMS} AS term FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tfs WHERE term IN (SELECT term FROM asked) GROUP BY term), totals),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lens USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op10_exact_dedup": EXACT_SQL, "op12_ranked_lexical_search": SEARCH_SQL}
