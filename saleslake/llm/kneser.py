@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from saleslake.llm.common import BLANKS, Words, keyed, lower_ascii, mixed, release, scratch, separators, stored, text_pieces, worker_state
 
-#: Text, in bytes, whose pairs make a shard; tokens that a task counts before it sends them on; files mapped at once.
-SHARD_BYTES, COUNTED_AT_ONCE, MAPS = 16 << 20, 4 << 20, 512
+#: Text, in bytes, whose pairs make a shard; tokens that a task holds before it counts and sends them on; files mapped at once.
+SHARD_BYTES, COUNTED_AT_ONCE, MAPS = 16 << 20, 2 << 20, 512
 #: Tokens that are no words.
 BEGIN, END = np.uint64(0x5D1C0B1E6A9F3E21), np.uint64(0xA37B92D4F0186C55)
 #: Discounts where the counts of counts leave them open.
@@ -101,16 +101,22 @@ def counts_of(raw: bytes, n: int) -> np.ndarray:
 def counted(shards: int):
     """For ``mapInArrow`` over training texts: packed counts of pairs for every shard."""
 
-    def packed(before: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
-        hashes, first, n = np.unique(pair_hash(before, word), return_index=True, return_counts=True)
-        shard = shard_of(hashes, shards)
-        order = np.lexsort((before[first], shard))
-        shard, first, n = shard[order], first[order], n[order]
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        before, word = map(np.concatenate, zip(*held))
+        held.clear()
+        hashes = pair_hash(before, word)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        fresh = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        n = np.diff(np.append(fresh, len(order)))
+        shard, first = shard_of(hashes[fresh], shards), order[fresh]
+        del hashes, order, fresh
+        before, word = before[first], word[first]
         edges = np.searchsorted(shard, np.arange(shards + 1))
-        for k in np.unique(shard).tolist():
-            part = slice(edges[k], edges[k + 1])
-            own, runs = np.unique(before[first[part]], return_counts=True)
-            row = [k, own.tobytes(), small(runs), word[first[part]].tobytes(), small(n[part])]
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            part = edges[k] + np.argsort(before[edges[k] : edges[k + 1]])
+            own, runs = np.unique(before[part], return_counts=True)
+            row = [k, own.tobytes(), small(runs), word[part].tobytes(), small(n[part])]
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["shard", "before", "runs", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +126,10 @@ def counted(shards: int):
             held.append((before, token))
             size += len(token)
             if size >= COUNTED_AT_ONCE:
-                yield from packed(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+                yield from packed(held)
+                size = 0
         if held:
-            yield from packed(*map(np.concatenate, zip(*held)))
+            yield from packed(held)
 
     return run
 
