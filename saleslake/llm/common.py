@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -127,6 +128,16 @@ def text_pieces(batches, column: str = "text", limit: int = PIECE_BYTES):
         data, offsets = buffers(batch.column(column))
         for a, b in pieces(offsets, limit):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers outlive their tasks; what they keep would add to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -147,40 +158,77 @@ def random_table(seed: int, size: int = 256) -> np.ndarray:
 #: Odd multiplier of the rolling hashes and its inverse modulo 2**64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
+#: Sums modulo 2**64 cancel on some regular texts whatever the multiplier is; a second sum, modulo a prime, does not.
+PRIME_BITS = 31
+PRIME = (1 << PRIME_BITS) - 1
+PRIME_BASE = 1_186_298_651
+PRIME_INVERSE = pow(PRIME_BASE, -1, PRIME)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**62 modulo the prime, in place of slow divisions."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(PRIME_BITS))
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(PRIME_BITS))
+    x[x == PRIME] = 0
+    return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First ``n`` powers of the multiplier and of its inverse, kept by the worker."""
+def prime_powers(base: int, size: int) -> np.ndarray:
+    """Powers of a base modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, reduced(out * np.uint64(pow(base, len(out), PRIME)))])
+    return out[:size]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First ``n`` powers of the multiplier and of its inverse, and of the prime's base and its, kept by the worker."""
     state = worker_state("powers")
     if "up" not in state or len(state["up"]) < n:
         size = max(n, PIECE_BYTES + 4096)
         one = np.ones(1, np.uint64)
         state["up"] = np.cumprod(np.concatenate([one, np.full(size - 1, MULTIPLIER, np.uint64)]))
         state["down"] = np.cumprod(np.concatenate([one, np.full(size - 1, INVERSE, np.uint64)]))
-    return state["up"], state["down"]
+        state["rise"], state["fall"] = (prime_powers(base, size).astype(np.uint32) for base in (PRIME_BASE, PRIME_INVERSE))
+    return state["up"], state["down"], state["rise"], state["fall"]
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of ``values`` times powers; ``range_hash`` takes the hash of any range from them."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+class Prefix:
+    """Prefix sums of values times powers, modulo 2**64 and (of the mixed values) modulo the prime."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        up, _, rise, _ = powers(n + 1)
+        self.wide, self.prime = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=self.wide[1:])
+        np.cumsum(reduced((values >> np.uint64(64 - PRIME_BITS)) * rise[:n]), out=self.prime[1:])
+
+    def __len__(self) -> int:
+        return len(self.wide)
+
+    def hashes(self, starts, ends) -> np.ndarray:
+        """One value for both sums of each range, moved to where it would stand at the start."""
+        _, down, _, fall = powers(len(self))
+        wide = (self.wide[ends] - self.wide[starts]) * down[: len(self)][starts]
+        return mixed(wide ^ mixed(reduced(reduced(self.prime[ends] - self.prime[starts]) * fall[: len(self)][starts])))
+
+
+def prefix_hashes(values: np.ndarray) -> Prefix:
+    """``range_hash`` takes the hash of any range of the values from it."""
+    return Prefix(values)
 
 
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hash(prefix: Prefix, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each range, the same wherever the range stands."""
-    _, down = powers(len(prefix))
-    return mixed((prefix[ends] - prefix[starts]) * down[starts])
+    return prefix.hashes(starts, ends)
 
 
-def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+def window_hash(prefix: Prefix, width: int) -> np.ndarray:
     """Hash of every range of ``width`` values."""
     n = len(prefix) - width
     if n <= 0:
         return np.zeros(0, np.uint64)
-    _, down = powers(len(prefix))
-    return mixed((prefix[width:] - prefix[:-width]) * down[:n])
+    return prefix.hashes(slice(0, n), slice(width, None))
 
 
 class Words:
