@@ -143,12 +143,13 @@ def read_bits(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-SEGMENTS = "doc_id long, tk int, at long, n int, anchor long, cls long, body binary, ats array<long>"
+SEGMENTS = "doc_id long, tk int, at long, n int, anchor long, cls long, body binary, ats array<long>, tks array<int>"
 
 
-def candidates(items: Items, bits: int, shared):
+def candidates(items: Items, bits: int, shared, same_document: bool):
     """For ``mapInArrow``: segments on repeated bits. Where texts differ, the first place of each class in a piece has
-    the text, and all places of the class in that document."""
+    the text, and all places of the class in that document (unless ``same_document``, in all rows of its id, with the
+    rows' keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, differ = shared.value
@@ -160,33 +161,37 @@ def candidates(items: Items, bits: int, shared):
             first, count, anchor, kind, bit = first[keep], count[keep], anchor[keep], kind[keep], bit[keep]
             doc = np.searchsorted(bounds, first, "right") - 1
             at = first - bounds[doc]
-            rank = np.lexsort((rows.column("tk").to_numpy(), rows.column("doc_id").to_numpy())).argsort()[doc]
+            ids, keys = rows.column("doc_id").to_numpy(), rows.column("tk").to_numpy()
+            rank = np.lexsort((keys, ids)).argsort()[doc]
             told = np.flatnonzero(read_bits(differ, bit))
             told = told[np.lexsort((at[told], rank[told], kind[told], anchor[told]))]
             same = (anchor[told[1:]] == anchor[told[:-1]]) & (kind[told[1:]] == kind[told[:-1]])
             new_class = np.concatenate([[True], ~same]) if len(told) else np.zeros(0, bool)
             new_doc = new_class.copy()
-            new_doc[1:] |= rank[told[1:]] != rank[told[:-1]]
+            told_by = rank if same_document else ids[doc]
+            new_doc[1:] |= told_by[told[1:]] != told_by[told[:-1]]
             heads = np.flatnonzero(new_class)
             edges = np.append(np.flatnonzero(new_doc), len(told))
             ends = edges[np.searchsorted(edges, heads) + 1] if len(heads) else heads
-            bodies, ats = [None] * len(first), [None] * len(first)
+            bodies, ats, tks = [None] * len(first), [None] * len(first), [None] * len(first)
             for a, b in zip(heads.tolist(), ends.tolist()):
                 k = told[a]
                 low, high = first[k], first[k] + count[k] - 1 + items.width
                 if words is not None:
                     low, high = words.starts[low], words.ends[high - 1]
                 bodies[k], ats[k] = data[low:high].tobytes(), at[told[a:b]]
+                if not same_document:
+                    tks[k] = keys[doc[told[a:b]]]
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id").take(pick), rows.column("tk").take(pick), pa.array(at), pa.array(count.astype(np.int32)),
-                pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(bodies, pa.binary()), pa.array(ats, pa.list_(pa.int64()))],
-                ["doc_id", "tk", "at", "n", "anchor", "cls", "body", "ats"])
+                pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(bodies, pa.binary()), pa.array(ats, pa.list_(pa.int64())),
+                pa.array(tks, pa.list_(pa.int32()))], ["doc_id", "tk", "at", "n", "anchor", "cls", "body", "ats", "tks"])
 
     return run
 
 
-TEXTS = "doc_id long, tk int, anchor long, cls long, body binary, ats array<long>, share int, shares int"
+TEXTS = "doc_id long, tk int, anchor long, cls long, body binary, ats array<long>, tks array<int>, share int, shares int"
 RUNS = "doc_id long, tk int, start long, count long"
 
 
@@ -254,16 +259,16 @@ def compare(items: Items, resolve: Callable, same_document: bool):
             return None
         group = np.append(np.flatnonzero(fresh), len(order))
         out: list[list] = [[], [], [], []]
-        every = rows.column("ats")
+        every, rows_of = rows.column("ats"), rows.column("tks")
         for t in np.unique(text).tolist():
             a, b = np.searchsorted(text, [t, t + 1])
             members = pick[t : t + 1] if same_document else order[group[t] : group[t + 1]]
             for k in members.tolist():
                 if doc[k] != doc[pick[t]]:
                     continue
-                for place in [at[k]] if same_document else every[k].as_py():
+                for place, row in [(at[k], tk[k])] if same_document else zip(every[k].as_py(), rows_of[k].as_py()):
                     out[0].extend([doc[k]] * (b - a))
-                    out[1].extend([tk[k]] * (b - a))
+                    out[1].extend([row] * (b - a))
                     out[2].extend((place + local[a:b]).tolist())
                     out[3].extend(count[a:b].tolist())
         return pa.RecordBatch.from_arrays(
@@ -316,9 +321,9 @@ def repeats(docs: DataFrame, items: Items, resolve: Callable, same_document: boo
     bits = power_of_two(size / each * BITS_PER_SEGMENT, MIN_BITS, MAX_BITS)
     maps = spark.sparkContext.broadcast(bit_maps(source, items, bits))
     release(spark)
-    found = stored(source.mapInArrow(candidates(items, bits, maps), SEGMENTS))
+    found = stored(source.mapInArrow(candidates(items, bits, maps, same_document), SEGMENTS))
 
-    texts = found.filter("body IS NOT NULL").select("doc_id", "tk", "anchor", "cls", "body", "ats")
+    texts = found.filter("body IS NOT NULL").select("doc_id", "tk", "anchor", "cls", "body", "ats", "tks")
     crowded = texts.groupBy("anchor").count().filter(F.col("count") > crowd).orderBy(F.desc("count")).limit(CROWDS).collect()
     crowds = spark.sparkContext.broadcast({r["anchor"]: -(-r["count"] // crowd) for r in crowded})
     inner = stored(texts.mapInArrow(dealt(items, crowds), TEXTS).repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(
