@@ -13,7 +13,8 @@ writer commits the tables, so a lost executor leaves no half block. Texts are de
 writes its own; the only sums that pass the driver are one number for each task. The dictionary is trained on
 ``SAMPLE_ROWS`` documents at most, ``SAMPLE_BYTES`` of ids each; it bears on size, not on results.
 
-Defined cases: a null or empty text has only the end id; a missing id comes first; rows that share an id are stored one
+Defined cases: a null or empty text has only the end id; the string of a special token becomes its id, as in the
+library's plain call; a missing id comes first; rows that share an id are stored one
 by one, ordered by text; an empty table gives empty tables; other columns are ignored.
 """
 

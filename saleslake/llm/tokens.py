@@ -5,7 +5,8 @@ to cut a token into two other tokens is a merge with that token's rank, so that
 its halves. Texts are cut where no token can reach across (before a single space, after white space, between letters
 and common punctuation); each distinct chunk is encoded once per worker and its ids are kept, up to ``CACHE`` chunks.
 
-Defined cases: a null or empty text has no ids; ids outside the table are an error; rows that share an id are encoded
+Defined cases: a null or empty text has no ids; the strings of a tokenizer file's added tokens become their ids, as in
+the library's plain call (a rank file has none); ids outside the table are an error; rows that share an id are encoded
 one by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -74,6 +75,8 @@ class Coder:
     def __init__(self, tokenizer, cache: int = CACHE):
         self.tokenizer, self.limit = tokenizer, cache
         self.ids: dict[str, bytes] = {}
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, added))})") if added else None
         self.table = token_bytes(tokenizer)
         line = self.encode_plain("\n")
         self.line = line[0] if len(line) == 1 and self.table[line[0]] == b"\n" else None
@@ -97,9 +100,17 @@ class Coder:
             if chunk not in self.ids:
                 self.ids[chunk] = np.array(self.encode_plain(chunk), "<u4").tobytes()
 
+    def chunks(self, text: str | None) -> list[str]:
+        """The text in pieces that no token reaches across; the tokenizer's added tokens are pieces of their own."""
+        if not text:
+            return []
+        if self.added is None or not self.added.search(text):
+            return CHUNK.findall(text)
+        return [c for k, part in enumerate(self.added.split(text)) for c in ([part] if k % 2 else CHUNK.findall(part))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [CHUNK.findall(text) if text else [] for text in texts]
+        cut = [self.chunks(text) for text in texts]
         if len(self.ids) > self.limit:
             self.ids.clear()
         new = set().union(*cut).difference(self.ids) if cut else set()
@@ -148,9 +159,7 @@ def json_coder(text: str) -> Coder:
     state = worker_state("coders")
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in state:
-        tokenizer = Tokenizer.from_str(text)
-        tokenizer.encode_special_tokens = True
-        state[key] = Coder(tokenizer)
+        state[key] = Coder(Tokenizer.from_str(text))
     return state[key]
 
 
