@@ -6,6 +6,7 @@ merged per document. A usual benchmark is one block and one scan, without a shuf
 word by word before they count.
 
 Defined cases: null and empty texts have no words, so nothing is hit; an item without words matches nothing; an item
+without an id is hit and cut like any other, but is not counted or listed among the items; an item
 repeated or sharing words with others counts under each of its ids; rows that share an id are separate documents;
 an empty benchmark or table gives no hits; other columns are ignored by the report and kept by ``decontaminate``.
 """
@@ -52,7 +53,7 @@ def index_items(items: pa.Table, width: int) -> dict:
     for i, item in enumerate(items.column("item_id").to_pylist()):
         first, last = int(words.bounds[i]), int(words.bounds[i + 1])
         size = min(width, last - first)
-        for k in range(first, last - size + 1) if size and item is not None else ():
+        for k in range(first, last - size + 1) if size else ():
             spot = by_length.setdefault(size, {"at": [], "items": {}})
             spot["at"].append(k)
             spot["items"].setdefault(word_list(data, words, k, k + size), set()).add(item)
@@ -83,7 +84,7 @@ def scan(shared):
                 hit = hit[within(words.bounds, n, size)[hit]]
                 for k, doc in zip(hit.tolist(), (np.searchsorted(words.bounds, hit, "right") - 1).tolist()):
                     items = spot["items"].get(word_list(data, words, k, k + size))
-                    if items:
+                    if items is not None:
                         found.setdefault(doc, set()).update(items)
                         steps[k] += 1
                         steps[k + size] -= 1
@@ -98,7 +99,7 @@ def scan(shared):
             out = {name: [] for name in ("items", "word_starts", "word_ends", "byte_starts", "byte_ends")}
             for doc in range(len(rows)):
                 a, b = first[low[doc] : high[doc]], last[low[doc] : high[doc]]
-                out["items"].append(sorted(map(str, found.get(doc, ()))))
+                out["items"].append(sorted(str(i) for i in found.get(doc, ()) if i is not None))
                 out["word_starts"].append(a - words.bounds[doc])
                 out["word_ends"].append(b - words.bounds[doc])
                 out["byte_starts"].append(words.starts[a] - offsets[doc] if len(a) else a)
@@ -114,7 +115,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_b
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its words, the items that occur, and the hit ranges in words and bytes (those may overlap)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     source = keyed(docs, id_col, text_col).withColumn("tk", row_key())
@@ -172,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove not in ("spans", "documents"):
         raise ValueError(remove)
     own, key, doc, tk, ranges = unused(docs, "_own", "_key", "_doc", "_tk", "_ranges")
-    found = findings(docs, benchmark, width, block_bytes, id_col, text_col).filter(F.size("items") > 0).dropDuplicates(["doc_id", "tk"]).select(
+    found = findings(docs, benchmark, width, block_bytes, id_col, text_col).filter(F.size("byte_starts") > 0).dropDuplicates(["doc_id", "tk"]).select(
         F.col("doc_id").alias(doc), F.col("tk").alias(tk), F.struct("byte_starts", "byte_ends").alias(ranges))
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.withColumns({own: F.col(f"`{id_col}`").cast("long"), key: F.xxhash64(text)})
