@@ -1,11 +1,10 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
-``FILTERS`` filters of ``TAPS`` bytes slide over the text in steps of ``STRIDE``; a filter is a table of a weight for
+``FILTERS`` filters of ``TAPS`` bytes slide over the text, starting at every byte; a filter is a table of a weight for
 every byte at every tap. Their outputs are max-pooled over overlapping chunks of ``CHUNK_BLOCKS`` blocks of
 ``BLOCK`` bytes that cover the whole document, passed through a ramp, averaged over the chunks and combined by a hidden
 layer to one probability. Training is by stochastic gradient descent on ``SAMPLE_ROWS`` labelled documents at most,
-evenly of both classes by a hash of the id, with up to ``SAMPLE_CHUNKS`` chunks spread over each; scoring reads every
-byte of every document.
+evenly of both classes by a hash of the id; training reads all chunks of these, scoring every byte of every document.
 
 Defined cases: null and empty texts have one empty chunk and get its score; byte 0 starts no window; several labels of
 a document count as their majority (a tie as 1); without labels of both classes every score is the share of label 1,
@@ -26,10 +25,10 @@ from pyspark.sql import functions as F
 from saleslake.llm.common import keyed, text_pieces
 from saleslake.llm.language import held_out
 
-FILTERS, TAPS, STRIDE, HIDDEN = 16, 6, 2, 16
+FILTERS, TAPS, HIDDEN = 16, 6, 16
 BLOCK, CHUNK_BLOCKS, CHUNK_STEP = 64, 8, 7
-#: Labelled documents to learn from and chunks of each, at most.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 2400, 8
+#: Labelled documents to learn from, at most, and chunks that a step of training filters at once.
+SAMPLE_ROWS, CHUNKS_AT_ONCE = 1600, 512
 EPOCHS, BATCH, RATE, SEED = 12, 24, 0.01, 5
 #: Output of a window that starts in padding: below every other.
 NOTHING = -1e6
@@ -65,12 +64,12 @@ def pair_tables(taps: np.ndarray) -> list[np.ndarray]:
 
 def block_peaks(padded: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """Largest output of each filter in each block."""
-    n = (len(padded) - TAPS) // STRIDE
+    n = len(padded) - TAPS
     pairs = padded[:-1].astype(np.uint16) << 8 | padded[1:]
-    out = tables[0][pairs[0 : n * STRIDE : STRIDE]]
+    out = tables[0][pairs[:n]]
     for k in range(1, len(tables)):
-        out += tables[k][pairs[2 * k : 2 * k + n * STRIDE : STRIDE]]
-    return out.reshape(-1, BLOCK // STRIDE, out.shape[1]).max(axis=1)
+        out += tables[k][pairs[2 * k : 2 * k + n]]
+    return out.reshape(-1, BLOCK, out.shape[1]).max(axis=1)
 
 
 def chunk_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +96,31 @@ def scores(network: Network, tables: list[np.ndarray], data: np.ndarray, offsets
     return sigmoid(np.tanh(mean @ network.inner + network.inner_bias) @ network.outer + network.outer_bias)
 
 
-def some_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of up to SAMPLE_CHUNKS chunks, spread evenly over each text."""
+def all_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the chunks of each text."""
     for rows, data, offsets in text_pieces(batches):
         padded, first = laid_out(data, offsets)
         low, high, count = chunk_bounds(first)
-        start, out = np.cumsum(count) - count, []
-        for i in range(len(rows)):
-            pick = start[i] + np.unique(np.linspace(0, count[i] - 1, SAMPLE_CHUNKS).astype(np.int64))
-            out.append(b"".join(padded[low[k] * BLOCK : high[k] * BLOCK].tobytes().ljust(CHUNK_BLOCKS * BLOCK, b"\0") for k in pick))
+        start = np.cumsum(count) - count
+        out = [b"".join(padded[a * BLOCK : b * BLOCK].tobytes().ljust(CHUNK_BLOCKS * BLOCK, b"\0") for a, b in zip(low[s : s + n], high[s : s + n])) for s, n in zip(start, count)]
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 
 
+def highest(taps: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in each chunk each filter's output is largest, and that output."""
+    places = CHUNK_BLOCKS * BLOCK - TAPS + 1
+    peaks, pooled = [], []
+    for first in range(0, len(x), CHUNKS_AT_ONCE):
+        part = x[first : first + CHUNKS_AT_ONCE]
+        out = taps[0][part[:, :places]]
+        for k in range(1, TAPS):
+            out += taps[k][part[:, k : k + places]]
+        out[part[:, :places] == 0] = NOTHING
+        peaks.append(out.argmax(axis=1))
+        pooled.append(np.take_along_axis(out, peaks[-1][:, None, :], axis=1)[:, 0, :])
+    return np.concatenate(peaks), np.concatenate(pooled)
+
+
 def train(chunks: list[np.ndarray], labels: np.ndarray, prior: float) -> Network:
     """``chunks``: for each document an array (chunks, bytes)."""
     random = np.random.default_rng(SEED)
@@ -119,7 +131,6 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, prior: float) -> Network
     weights = [net.taps, net.floor, net.inner, net.inner_bias, net.outer, np.zeros(1, np.float32)]
     speed = [np.zeros_like(w) for w in weights]
     square = [np.zeros_like(w) for w in weights]
-    places = (CHUNK_BLOCKS * BLOCK - TAPS) // STRIDE + 1
     step = 0
     for epoch in range(EPOCHS):
         order = random.permutation(len(labels))
@@ -127,12 +138,7 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, prior: float) -> Network
             held = [chunks[i] for i in part]
             count = np.array([len(x) for x in held])
             x = np.concatenate(held)
-            out = np.zeros((len(x), places, FILTERS), np.float32)
-            for k in range(TAPS):
-                out += weights[0][k][x[:, k : k + STRIDE * places : STRIDE]]
-            out[x[:, : STRIDE * places : STRIDE] == 0] = NOTHING
-            peak = out.argmax(axis=1)
-            pooled = np.take_along_axis(out, peak[:, None, :], axis=1)[:, 0, :]
+            peak, pooled = highest(weights[0], x)
             ramp = np.maximum(0, pooled + weights[1])
             starts = np.cumsum(count) - count
             mean = np.add.reduceat(ramp, starts, axis=0) / count[:, None]
@@ -141,9 +147,9 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, prior: float) -> Network
             back = (slope[:, None] * weights[4]) * (1 - middle**2)
             to_ramp = np.repeat(back @ weights[2].T / count[:, None], count, axis=0) * (pooled + weights[1] > 0)
             taps = np.zeros_like(weights[0])
-            chunk, place = np.arange(len(x))[:, None], STRIDE * peak
+            chunk = np.arange(len(x))[:, None]
             for k in range(TAPS):
-                np.add.at(taps[k], (x[chunk, place + k], np.arange(FILTERS)[None, :]), to_ramp)
+                np.add.at(taps[k], (x[chunk, peak + k], np.arange(FILTERS)[None, :]), to_ramp)
             slopes = [taps, to_ramp.sum(axis=0), mean.T @ back, back.sum(axis=0), middle.T @ slope, slope.sum(keepdims=True)]
             # Stochastic gradient steps of adapted size (running mean and square of the slopes).
             step += 1
@@ -172,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample_
     share = F.when(F.col("label") == 1, -(-each * 1_000_000 // counts[1])).otherwise(-(-each * 1_000_000 // counts[0]))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(2 * sample_rows)
     texts = keyed(docs, id_col, text_col).filter("doc_id IS NOT NULL").join(F.broadcast(drawn), "doc_id").limit(2 * sample_rows)
-    got = texts.mapInArrow(some_chunks, "doc_id long, label int, chunks binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = texts.mapInArrow(all_chunks, "doc_id long, label int, chunks binary").toArrow().sort_by([("doc_id", "ascending")])
     marks = got.column("label").to_numpy().astype(np.float32)
     if not len(marks) or marks.min() == marks.max():
         return counts[1] / total
