@@ -153,7 +153,7 @@ def benchmark_hits(rows, items, width=10):
                 ranges[-1] = (ranges[-1][0], spots[k].end())
             elif h:
                 ranges.append(spots[k].span())
-        out.append((i, len(words), hit, sorted(map(str, found)), ranges))
+        out.append((i, len(words), hit, sorted(str(x) for x in found if x is not None), ranges))
     return out
 
 

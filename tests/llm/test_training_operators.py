@@ -212,7 +212,7 @@ def test_one_of_each(odd_docs, odd_rows):
 
 # decontamination
 
-ITEMS = [(1, "the line of the ALPHA, beta"), (2, None), (3, "..."), (4, "One two three"), (5, "one two three"), (6, "seven " * 14)]
+ITEMS = [(1, "the line of the ALPHA, beta"), (2, None), (3, "..."), (4, "One two three"), (5, "one two three"), (6, "seven " * 14), (None, "x seven"), (None, "naïve")]
 
 
 @pytest.fixture(scope="session")
@@ -296,7 +296,8 @@ def test_packed_ids(spark, odd_docs, odd_rows, tied_docs, no_docs):
     with open(JSON) as file:
         text = file.read()
     tokenizer = Tokenizer.from_str(text)
-    tokenizer.encode_special_tokens = True
+    special = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|>\n\n b <|endoftext|"), (4, "  <|endoftext|>  <|ENDOFTEXT|>")]
+    special_docs = spark.createDataFrame(special, "doc_id long, text string")
 
     def expected(rows):
         out, start = [], 0
@@ -306,7 +307,8 @@ def test_packed_ids(spark, odd_docs, odd_rows, tied_docs, no_docs):
             start += len(ids)
         return out
 
-    for docs, rows in ((odd_docs, odd_rows), (tied_docs, text_rows(tied_docs)), (no_docs, [])):
+    assert 50256 in expected(special)[0][2]
+    for docs, rows in ((odd_docs, odd_rows), (special_docs, special), (tied_docs, text_rows(tied_docs)), (no_docs, [])):
         path = common.scratch(spark)
         packed.write_ids(docs, text, path, 2)
         want = expected(rows)
