@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslake import vocab
-from saleslake.operators.joins import union_all
 
-QUERY_BLOCK = 512  # query vectors shipped to the tasks at a time
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 10  # vectors and queries that one product compares
 # Scores are compared at this many decimals, so that equal vectors tie whatever the order
 # in which their products were summed; ties go to the smaller id.
 COMPARE_DECIMALS = 10
@@ -27,60 +24,59 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _block_top_k(vectors: DataFrame, queries_frame: DataFrame, block: list, k: int, scoped: bool) -> DataFrame:
-    """Best k per query of the block; every task keeps only its own best k."""
-    ids = [r.query_id for r in block]
-    queries = _unit(np.array([r.embedding for r in block], dtype=np.float64))
-    scopes = np.array([r.scope for r in block], dtype=object) if scoped else None
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return ordered.groupby("query_id", sort=False).head(k)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in batches:
-            if frame.empty:
-                continue
-            scores = np.round(_unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64)) @ queries.T, COMPARE_DECIMALS)
-            names = frame["vec_id"].to_numpy()
-            names = names.astype(str) if names.dtype == object else names
-            parts = [] if kept is None else [kept]
-            for j, query in enumerate(ids):
-                column = scores[:, j]
-                rows = np.flatnonzero(frame["scope"].to_numpy() == scopes[j]) if scoped else np.arange(len(column))
-                top = rows[np.lexsort((names[rows], -column[rows]))[:k]]
-                parts.append(pd.DataFrame({"query_id": query, "vec_id": names[top], "score": column[top]}))
-            kept = best(pd.concat(parts))
-        if kept is not None:
-            yield kept
-
-    columns = ["vec_id", "embedding", *(["scope"] if scoped else [])]
-    return vectors.select(*columns).mapInPandas(score, f"query_id {_kind(queries_frame, 'query_id')}, vec_id {_kind(vectors, 'vec_id')}, score double")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a list column as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
+
+
+def _names(column: pa.ChunkedArray) -> np.ndarray:
+    names = column.combine_chunks().to_numpy(zero_copy_only=False)
+    return names.astype(str) if names.dtype == object else names
+
+
+def _best_of_pair(k: int):
+    """Best ``k`` vectors of a block for every query of a block: one matrix product."""
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        names, rows, asked, scores = _names(vectors["vec_id"]), [], [], []
+        if len(vectors) and len(queries):
+            product = np.round(_matrix(queries["embedding"]) @ _matrix(vectors["embedding"]).T, COMPARE_DECIMALS)
+            for i, line in enumerate(product):
+                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+                top = near[np.lexsort((names[near], -line[near]))[:k]]
+                rows.extend(top.tolist())
+                asked.extend([i] * len(top))
+                scores.extend(line[top].tolist())
+        return pa.table({"query_id": queries["query_id"].take(pa.array(asked, pa.int64())), "vec_id": vectors["vec_id"].take(pa.array(rows, pa.int64())),
+                         "score": pa.array(scores, pa.float64())})
+
+    return best
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k most similar vectors per query.
 
     ``vectors`` has ``vec_id`` (a number or a text, as chunks have) and ``embedding``, ``queries`` has ``query_id`` and
-    ``embedding``; a ``scope`` column in both restricts a query to equal scopes. Queries
-    reach the tasks in blocks of bounded size, the vectors are only ever scanned in place.
+    ``embedding``; a ``scope`` column in both restricts a query to equal scopes. Both are cut into blocks by a hash of
+    their ids, every pair of a vector block and a query block is one task's matrix product, and the k best of each pair
+    are merged by query. Nothing passes the driver; a task holds two blocks whatever the sizes of the tables. Rows
+    without an embedding are left out, on both sides.
     """
-    scoped = "scope" in queries.columns
-    total = queries.count()
-    blocks = max(1, -(-total // (QUERY_BLOCK // 2)))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = []
-    for i in range(blocks):
-        rows = numbered.where(F.col("_block") == i).drop("_block").collect()
-        if rows:
-            found.append(_block_top_k(vectors, queries, rows, k, scoped))
-    if not found:
-        return vectors.sparkSession.createDataFrame(
-            [], f"query_id {_kind(queries, 'query_id')}, rank bigint, vec_id {_kind(vectors, 'vec_id')}, score double")
+    scope = ["scope"] if "scope" in queries.columns else []
+    vectors, queries = (df.where(F.col("embedding").isNotNull()) for df in (vectors, queries))
+    cuts = [max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK))]
+    sides = []
+    for df, key, own, other in ((vectors, "vec_id", 0, 1), (queries, "query_id", 1, 0)):
+        blocks = {f"_block{own}": F.pmod(F.xxhash64(key), F.lit(cuts[own])).cast("int"), f"_block{other}": F.explode(F.sequence(F.lit(0), F.lit(cuts[other] - 1)))}
+        placed = df.select(key, "embedding", *scope)
+        for name, value in blocks.items():
+            placed = placed.withColumn(name, value)
+        sides.append((placed.where(F.col("scope").isNotNull()) if scope else placed).groupBy(*scope, "_block0", "_block1"))
+    kinds = f"query_id {_kind(queries, 'query_id')}, vec_id {_kind(vectors, 'vec_id')}, score double"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        union_all(found)
+        sides[0].cogroup(sides[1]).applyInArrow(_best_of_pair(k), kinds)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 4).alias("score"))

@@ -187,12 +187,14 @@ def test_split_partitions_the_input(spark):
 
 
 # ------------------------------------------------------------------ vectors and raw search
-@pytest.mark.parametrize("block", [512, 4])
-def test_top_k_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("vector_block,query_block", [(1 << 13, 1 << 10), (37, 2)])
+def test_top_k_matches_brute_force(spark, monkeypatch, vector_block, query_block):
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", vector_block)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", query_block)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(200, 8))
     base[50] = base[3]  # equal vectors tie by id
+    base[60:75] = base[3]
     queries = np.vstack([base[3], rng.normal(size=(5, 8))])
     v = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(base)], "vec_id bigint, embedding array<double>, scope int").repartition(5)
     q = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(queries)], "query_id bigint, embedding array<double>, scope int")
@@ -228,3 +230,10 @@ def test_vector_ids_may_be_texts(spark):
     rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "vec_id string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.1])], "query_id string, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in vectors.top_k(rows, asked, 2).orderBy("rank").collect()] == [("q", 1, "a"), ("q", 2, "b")]
+
+
+def test_search_without_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id bigint, embedding array<double>")
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    assert [tuple(r) for r in vectors.top_k(rows, asked).collect()] == [(1, 1, 1, 1.0)]
+    assert vectors.top_k(rows.limit(0), asked).count() == vectors.top_k(rows, asked.limit(0)).count() == 0
