@@ -1,9 +1,10 @@
-"""One batch from raw records to rebuilt marts.
+"""One batch from raw records to marts that hold it.
 
-bronze -> mapping -> audit trail -> validation -> identity -> merges -> marts. Dimensions
-are merged before facts. Silver tables and marts are staged beside the current ones and
-published together at the end, so a batch is taken in as a whole or not at all. Everything
-a batch writes is keyed by its id: running it again replaces its own rows.
+bronze -> mapping -> audit trail -> validation -> identity -> merges -> states -> marts. Dimensions
+are merged before facts. Merged tables are rewritten in the buckets that the batch's keys fall in,
+the others grow by the batch's own partition, and the marts follow from states that are summed anew
+for just these partitions. Every step replaces what the same batch wrote before, so one that broke
+off is completed by running it again; the last one notes the batch as taken in.
 """
 
 from __future__ import annotations
@@ -11,19 +12,20 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslake import vocab
-from saleslake.functions.parsing import coerce_audit_value
+from saleslake.functions.parsing import coerce_audit_value, filled
 from saleslake.operators import chunking, identity, mapping, merge, quality, transcripts
 from saleslake.operators.joins import fan_out_join, spread, union_all
-from saleslake.plans.refresh import stage_marts
+from saleslake.plans.marts import deal_state
+from saleslake.plans.refresh import follow, with_states, write_marts
 from saleslake.session import durable
 from saleslake.sources import bronze
-from saleslake.sources.tables import Entry, Manifest, current, publish, put, rows
+from saleslake.sources.lake import BUCKETS, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, replace_part, widen
 
-# Facts that are only ever added to, one folder for each batch.
+# Facts that are only ever added to, one partition for each batch.
 EVENT_FACTS = ["fact_interactions", "fact_insights", "fact_transactions", "fact_hr_records"]
 _KEYS = {"dim_account": ["account_name"], "dim_contact": ["contact_name", "account_name"], "dim_department": ["name"]}
 
@@ -50,19 +52,15 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], f"id bigint, {columns}{stamps}")
 
 
-def _silver(spark: SparkSession, lake: str, manifest: Manifest) -> dict[str, DataFrame]:
+def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
+    """Current silver tables; empty ones before the first batch."""
     tables = {}
     for table in vocab.SILVER_TABLES:
-        found = rows(spark, lake, manifest.get(f"silver/{table}", []))
+        found = read_table(spark, lake, f"silver/{table}")
         tables[table] = empty(spark, table) if found is None else merge.append(empty(spark, table), found)
     return tables
 
 
-def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
-    """Current silver tables; empty ones before the first batch."""
-    return _silver(spark, lake, current(spark, lake)[1])
-
-
 def _write_batch(df: DataFrame, path: str, batch_id: str) -> None:
     """The batch's own partition of the raw or audit layer, replaced as a whole."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
@@ -133,8 +131,7 @@ def _load(
     )
     _write_batch(audit.drop("batch_id"), f"{lake}/audit", batch_id)
 
-    base, manifest = current(spark, lake)
-    silver = _silver(spark, lake, manifest)
+    silver = read_silver(spark, lake)
     valid, rejects = {}, []
     for table, df in mapped.items():
         coerced = df.withColumns(
@@ -147,18 +144,16 @@ def _load(
         good, bad = quality.split(loaded, table)
         valid[table] = durable(good)
         rejects.append(bad)
+    own = batch_part(batch_id)
     rejected = durable(union_all(rejects))
-    changes: Manifest = {"silver/data_quality_issues": _own_batch(manifest, "silver/data_quality_issues", batch_id, put(rejected, lake, "silver/data_quality_issues", batch_id))}
+    replace_part(rejected, lake, "silver/data_quality_issues", own)
 
     # Dimensions first: facts resolve against the accounts this batch brings.
-    merged: dict[str, DataFrame] = {}
     for table, keys in _KEYS.items():
         if table in valid:
             # A source without one of the keys (HR knows no accounts) has it empty.
-            own = valid[table].withColumns({k: F.lit(None).cast("string") for k in keys if k not in valid[table].columns})
-            merged[table] = durable(merge.assign_ids(merge.upsert(silver[table], own, keys, "seq")))
-        elif table == "dim_account":
-            merged[table] = silver[table]
+            brought = valid[table].withColumns({k: F.lit(None).cast("string") for k in keys if k not in valid[table].columns})
+            merge_table(spark, lake, table, brought, keys, "seq")
     facts = {t: df for t, df in valid.items() if t.startswith("fact_")}
     names = union_all(
         [
@@ -168,17 +163,15 @@ def _load(
         ]
         or [spark.createDataFrame([], "name string, source string, seq bigint")]
     )
-    resolved, created = identity.resolve(names, merged["dim_account"])
+    resolved, created = identity.resolve(names, read_silver(spark, lake)["dim_account"])
     resolved = durable(resolved)
-    merged["dim_account"] = merge.append(merged["dim_account"], created)
-    for table, df in merged.items():
-        changes[f"silver/{table}"] = [put(df, lake, f"silver/{table}")]
+    merge_table(spark, lake, "dim_account", created.withColumn("seq", F.lit(0).cast("bigint")), _KEYS["dim_account"], "seq")
 
-    source_map = rows(spark, lake, manifest.get("silver/account_source_map", []))
-    seen = identity.source_map_rows(names, resolved)
-    if source_map is None:
-        source_map = seen.drop("seq").limit(0)
-    changes["silver/account_source_map"] = [put(identity.upsert_source_map(source_map, seen), lake, "silver/account_source_map")]
+    seen = durable(identity.source_map_rows(names, resolved).withColumn(PART, _map_bucket()))
+    source_map = read_table(spark, lake, "silver/account_source_map", parts=True)
+    mapped_before = seen.drop("seq", PART).limit(0) if source_map is None else source_map.where(F.col(PART).isin(parts_of(seen))).drop(PART)
+    after = identity.upsert_source_map(mapped_before, seen.drop(PART))
+    overwrite_parts(after.withColumn(PART, _map_bucket()), lake, "silver/account_source_map")
 
     ids = resolved.select(F.col("name").alias("account_name"), F.col("account_id").alias("_found"))
     for table, df in facts.items():
@@ -188,39 +181,72 @@ def _load(
             linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
         if table in EVENT_FACTS:
             # Ids go on from the other batches', in the order of the batch: the newest rows have the largest.
-            top = max([e.top for e in manifest.get(name, []) if e.batch != batch_id], default=0)
             events = durable(linked.withColumn("id", F.lit(None).cast("bigint")))
-            numbered = merge.assign_ids(events, base=top, order=[F.col("seq"), F.xxhash64(*df.columns)]).drop("seq")
-            changes[name] = _own_batch(manifest, name, batch_id, put(numbered, lake, name, batch_id, top + events.count()))
+            numbered = merge.assign_ids(events, base=_top(spark, lake, name, own), order=[F.col("seq"), F.xxhash64(*df.columns)]).drop("seq")
+            replace_part(numbered, lake, name, own)
+            if table == "fact_interactions":
+                follow(merge.append(empty(spark, table), numbered).withColumn(PART, F.lit(own)), lake, "state/interactions")
         else:
-            changes[name] = [put(_merged_deals(silver[table], linked, batch_id), lake, name)]
+            _merge_deals(spark, lake, linked, batch_id)
     for table, df in (beside or {}).items():
-        changes[f"silver/{table}"] = _own_batch(manifest, f"silver/{table}", batch_id, put(df, lake, f"silver/{table}", batch_id))
-    # Marts are built from the staged tables, and everything is published at once.
-    after = {**manifest, **changes}
-    marts, counts = stage_marts(_silver(spark, lake, after), as_of, lake)
-    publish(spark, lake, base, {**after, **marts})
+        replace_part(df, lake, f"silver/{table}", own)
+    counts = write_marts(with_states(spark, read_silver(spark, lake), lake), as_of, lake)
+    commit(spark, lake, batch_id, source)
     return Report("success", rejected=rejected.count(), mart_rows=counts)
 
 
-def _own_batch(manifest: Manifest, name: str, batch_id: str, entry: Entry) -> list[Entry]:
-    """Folders of an append-only table with the batch's own one replaced or added."""
-    return [*[e for e in manifest.get(name, []) if e.batch != batch_id], entry]
+def _map_bucket() -> Column:
+    return bucket(["account_id", "source", "source_name"], BUCKETS)
+
 
+def _top(spark: SparkSession, lake: str, name: str, own: str) -> int:
+    """Largest id outside the batch's own partition."""
+    rows = read_table(spark, lake, name, parts=True)
+    return 0 if rows is None else rows.where(F.col(PART) != own).agg(F.max("id")).first()[0] or 0
 
-def _merged_deals(deals: DataFrame, batch: DataFrame, batch_id: str) -> DataFrame:
-    """Deals after the batch; rows it appended in an earlier run of the same batch are replaced."""
-    kept = deals
-    if "batch_id" in deals.columns:
-        loose = ~(F.coalesce("deal_name", F.lit("")) != "") | ~(F.coalesce("account_name", F.lit("")) != "")
-        kept = deals.where(~(F.col("batch_id").eqNullSafe(batch_id) & loose))
-    stamped = batch.withColumn("batch_id", F.lit(batch_id))
-    merged = merge.merge_deals(kept, stamped, "seq")
+
+def _touched(spark: SparkSession, lake: str, table: str, parts: list[str]) -> DataFrame:
+    """The rows of some partitions of a silver table."""
+    rows = read_table(spark, lake, f"silver/{table}", parts=True)
+    return empty(spark, table) if rows is None else merge.append(empty(spark, table), rows.where(F.col(PART).isin(parts)).drop(PART))
+
+
+def merge_table(spark: SparkSession, lake: str, table: str, batch: DataFrame, keys: list[str], seq: str) -> list[str]:
+    """Upsert a batch into a silver table by rewriting the buckets of its keys; returns these."""
+    name = f"silver/{table}"
+    known = registered(spark, lake, name)
+    placed = batch.withColumn(PART, bucket(keys, known[1] if known else BUCKETS))
+    touched = parts_of(placed)
+    if not touched:
+        widen(spark, lake, name, empty(spark, table).schema)
+        return touched
+    merged = merge.upsert(_touched(spark, lake, table, touched), placed.drop(PART), keys, seq)
+    rows = durable(merge.assign_ids(merged, base=_top(spark, lake, name, "")))
+    overwrite_parts(rows.withColumn(PART, bucket(keys, known[1] if known else BUCKETS)), lake, name)
+    return touched
+
+
+def _merge_deals(spark: SparkSession, lake: str, batch: DataFrame, batch_id: str) -> None:
+    """Deals with a full key are merged in their buckets; the others are the batch's own partition."""
+    name, own, keys = "silver/fact_deals", batch_part(batch_id), ["deal_name", "account_name"]
+    known = registered(spark, lake, name)
+    buckets = known[1] if known else BUCKETS
+    full = filled(F.col("deal_name")) & filled(F.col("account_name"))
+    part = F.when(F.coalesce(full, F.lit(False)), bucket(keys, buckets)).otherwise(own)
+    placed = durable(batch.withColumn("batch_id", F.lit(batch_id)).withColumn(PART, part))
+    touched = [p for p in parts_of(placed) if p != own]
+    merged = merge.merge_deals(_touched(spark, lake, "fact_deals", touched), placed.drop(PART), "seq")
     now = F.current_timestamp()
-    touched = F.col("batch_id").eqNullSafe(batch_id)
-    return merge.assign_ids(merged).withColumns(
+    fresh = F.col("batch_id").eqNullSafe(batch_id)
+    rows = durable(merge.assign_ids(merged, base=_top(spark, lake, name, own)).withColumns(
         {
             "created_at": F.coalesce("created_at", now),
-            "updated_at": F.when(touched, now).otherwise(F.coalesce("updated_at", now)),
+            "updated_at": F.when(fresh, now).otherwise(F.coalesce("updated_at", now)),
+            PART: part,
         }
-    )
+    ))
+    overwrite_parts(rows.where(F.col(PART) != own), lake, name, buckets)
+    follow(rows.where(F.col(PART) != own), lake, "state/deals")
+    loose = rows.where(F.col(PART) == own).drop(PART)
+    replace_part(loose, lake, name, own)
+    replace_part(deal_state(merge.append(empty(spark, "fact_deals"), loose)), lake, "state/deals", own)

@@ -24,6 +24,43 @@ Silver = Mapping[str, DataFrame]
 
 
 # ------------------------------------------------------------------ shared measures
+#: Columns of deals that marts group or filter by.
+DEAL_KEYS = [
+    "account_id", "account_name", "geography", "vertical", "horizontal", "engagement_model", "deal_stage",
+    "opportunity_stage", "salesperson", "ai_influenced", "business_type", "lead_source",
+]
+#: Sums over deals from which the marts are finished: rows, rows with an id, with an amount, their amount; days to the
+#: close date and the deals that have one; for the others the day of creation.
+DEAL_SUMS = ["_rows", "_ids", "_parsed", "_amount", "_close_deals", "_close_days", "_undated_deals", "_undated_days"]
+_EPOCH = "1970-01-01"
+
+
+def deal_measures(deals: DataFrame, *extra: str) -> DataFrame:
+    """Every deal as its keys and its share of the sums."""
+    value, created = amount(F.col("deal_value")), F.col("created_at").cast("date")
+    closing = days_between(iso_date(F.col("close_date")), created)
+    undated = F.when(iso_date(F.col("close_date")).isNull(), days_between(created, as_of_date(_EPOCH)))
+    sums = [
+        F.lit(1).cast("bigint"), F.col("id").isNotNull().cast("bigint"), value.isNotNull().cast("bigint"), value,
+        closing.isNotNull().cast("bigint"), closing, undated.isNotNull().cast("bigint"), undated,
+    ]
+    return deals.select(*DEAL_KEYS, *extra, *[s.alias(n) for s, n in zip(sums, DEAL_SUMS)])
+
+
+def deal_state(deals: DataFrame, *extra: str) -> DataFrame:
+    """The sums for every combination of keys. Marts take it in place of the deals (as ``deal_state``)."""
+    return deal_measures(deals, *extra).groupBy(*DEAL_KEYS, *extra).agg(*[F.sum(c).alias(c) for c in DEAL_SUMS])
+
+
+def interaction_state(interactions: DataFrame, *extra: str) -> DataFrame:
+    """Interactions counted by what the marts look at."""
+    return interactions.groupBy("account_id", "sentiment", "interaction_date", *extra).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _count_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("_rows"))), F.lit(0))
+
+
 def _value_where(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("_amount")))
 
@@ -32,11 +69,11 @@ def _deal_state() -> list[Column]:
     """Additive state from which every deal measure can be finished."""
     stage, ai = F.col("deal_stage"), same_text(F.col("ai_influenced"), "yes")
     return [
-        F.count("id").alias("deals"),
-        F.count_if(is_won(stage)).alias("won"),
-        F.count_if(is_closed(stage)).alias("closed"),
-        F.count_if(ai).alias("ai_deals"),
-        F.count("_amount").alias("parsed"),
+        F.sum("_ids").alias("deals"),
+        _count_where(is_won(stage)).alias("won"),
+        _count_where(is_closed(stage)).alias("closed"),
+        _count_where(ai).alias("ai_deals"),
+        F.sum("_parsed").alias("parsed"),
         F.sum("_amount").alias("value"),
         _value_where(is_won(stage)).alias("value_won"),
         _value_where(is_open(stage)).alias("value_open"),
@@ -77,7 +114,13 @@ def _pick(*names: str) -> list[Column]:
 
 
 def _deals(silver: Silver) -> DataFrame:
-    return silver["fact_deals"].withColumn("_amount", amount(F.col("deal_value")))
+    return silver["deal_state"] if "deal_state" in silver else deal_measures(silver["fact_deals"])
+
+
+def _interactions(silver: Silver) -> DataFrame:
+    if "interaction_state" in silver:
+        return silver["interaction_state"]
+    return silver["fact_interactions"].select("account_id", "sentiment", "interaction_date", F.lit(1).cast("bigint").alias("_rows"))
 
 
 def _named_deals(silver: Silver) -> DataFrame:
@@ -152,7 +195,7 @@ def top_customers(silver: Silver, as_of: str) -> DataFrame:
         silver["dim_account"].groupBy(name_key(F.col("account_name")).alias("key")).agg(F.min("id").alias("dim_id"))
     )
     last_contact = (
-        _with_id(silver["fact_interactions"])
+        _with_id(_interactions(silver))
         .groupBy(F.col("account_id").alias("dim_id"))
         .agg(F.max("interaction_date").alias("last_interaction"))
     )
@@ -183,9 +226,9 @@ def pipeline_health(silver: Silver, as_of: str) -> DataFrame:
         .where(filled(F.col("deal_stage")) & is_open(F.col("deal_stage")))
         .groupBy(F.col("deal_stage").alias("stage"), "opportunity_stage", "vertical", "horizontal")
         .agg(
-            F.count(F.lit(1)).alias("deal_count"),
+            F.sum("_rows").alias("deal_count"),
             _money(F.sum("_amount")).alias("total_value"),
-            _mean(F.sum("_amount"), F.count("_amount")).alias("avg_deal_size"),
+            _mean(F.sum("_amount"), F.sum("_parsed")).alias("avg_deal_size"),
             F.count_distinct(F.coalesce(F.col("account_id").cast("string"), "account_name")).alias("accounts_in_stage"),
         )
     )
@@ -199,16 +242,16 @@ def account_360(silver: Silver, as_of: str) -> DataFrame:
         .groupBy(F.col("account_id").alias("id"))
         .agg(
             F.sum("_amount").alias("value"),
-            F.count_if(is_open(stage)).alias("open_deal_count"),
-            F.count_if(is_won(stage)).alias("won_deal_count"),
-            F.count_if(same_text(F.col("ai_influenced"), "yes")).alias("ai_influenced_count"),
+            _count_where(is_open(stage)).alias("open_deal_count"),
+            _count_where(is_won(stage)).alias("won_deal_count"),
+            _count_where(same_text(F.col("ai_influenced"), "yes")).alias("ai_influenced_count"),
             F.max(stage).alias("latest_deal_stage"),
         )
     )
     interactions = (
-        _with_id(silver["fact_interactions"])
+        _with_id(_interactions(silver))
         .groupBy(F.col("account_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("interaction_count"), F.max("sentiment").alias("latest_sentiment"))
+        .agg(F.sum("_rows").alias("interaction_count"), F.max("sentiment").alias("latest_sentiment"))
     )
     insights = (
         _with_id(silver["fact_insights"])
@@ -249,14 +292,14 @@ def activity_summary(silver: Silver, as_of: str) -> DataFrame:
     mood = F.col("sentiment")
     positive, negative = has_text(mood, "positive"), has_text(mood, "negative")
     interactions = (
-        _with_id(silver["fact_interactions"])
+        _with_id(_interactions(silver))
         .groupBy(F.col("account_id").alias("id"))
         .agg(
-            F.count(F.lit(1)).alias("total_interactions"),
-            F.count_if(positive).alias("positive_interactions"),
-            F.count_if(negative).alias("negative_interactions"),
-            F.count_if(has_text(mood, "neutral") | mood.isNull()).alias("neutral_interactions"),
-            F.avg(F.when(positive, 1).when(negative, -1).otherwise(0)).alias("avg_sentiment_score"),
+            F.sum("_rows").alias("total_interactions"),
+            _count_where(positive).alias("positive_interactions"),
+            _count_where(negative).alias("negative_interactions"),
+            _count_where(has_text(mood, "neutral") | mood.isNull()).alias("neutral_interactions"),
+            (F.sum(F.when(positive, F.col("_rows")).when(negative, -F.col("_rows")).otherwise(0)) / F.sum("_rows")).alias("avg_sentiment_score"),
         )
     )
     insights = (
@@ -324,10 +367,10 @@ def at_risk_accounts(silver: Silver, as_of: str) -> DataFrame:
         _with_id(_deals(silver))
         .where(is_open(F.col("deal_stage")))
         .groupBy(F.col("account_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("open_deal_count"), F.sum("_amount").alias("value"))
+        .agg(F.sum("_rows").alias("open_deal_count"), F.sum("_amount").alias("value"))
     )
     contact = (
-        _with_id(silver["fact_interactions"])
+        _with_id(_interactions(silver))
         .groupBy(F.col("account_id").alias("id"))
         .agg(F.max("interaction_date").alias("last_interaction_date"), F.max("sentiment").alias("last_sentiment"))
     )
@@ -354,12 +397,13 @@ def at_risk_accounts(silver: Silver, as_of: str) -> DataFrame:
 
 def salesperson_performance(silver: Silver, as_of: str) -> DataFrame:
     """Results per sales representative."""
-    closing_days = days_between(iso_date(F.col("close_date")), F.col("created_at").cast("date"))
+    won = is_won(F.col("deal_stage"))
+    days, dated = F.sum(F.when(won, F.col("_close_days"))), F.sum(F.when(won, F.col("_close_deals")))
     return (
         _deals(silver)
         .where(filled(F.col("salesperson")))
         .groupBy("salesperson", "vertical", "horizontal")
-        .agg(*_deal_state(), F.avg(F.when(is_won(F.col("deal_stage")), closing_days)).alias("avg_close_days"))
+        .agg(*_deal_state(), (days / F.nullif(dated, F.lit(0))).alias("avg_close_days"))
         .select(
             "salesperson", "vertical", "horizontal",
             *_pick(
@@ -411,20 +455,21 @@ def ai_influence_summary(silver: Silver, as_of: str) -> DataFrame:
 
 def win_loss_analysis(silver: Silver, as_of: str) -> DataFrame:
     """Win rate and sizes of closed deals."""
-    stage, value = F.col("deal_stage"), F.col("_amount")
-    won, lost = F.when(is_won(stage), value), F.when(is_lost(stage), value)
+    stage = F.col("deal_stage")
+    sums = {c: [F.sum(F.when(kind(stage), F.col(c))) for kind in (is_won, is_lost)] for c in ("_amount", "_parsed")}
+    (won, lost), (won_parsed, lost_parsed) = sums["_amount"], [F.coalesce(n, F.lit(0)) for n in sums["_parsed"]]
     return (
         _deals(silver)
         .where(is_closed(stage))
         .groupBy("vertical", "horizontal", "salesperson")
         .agg(
-            F.count(F.lit(1)).alias("total_closed"),
-            F.count_if(is_won(stage)).alias("won_count"),
-            F.count_if(is_lost(stage)).alias("lost_count"),
-            _money(F.sum(won)).alias("won_value"),
-            _money(F.sum(lost)).alias("lost_value"),
-            _mean(F.sum(won), F.count(won)).alias("avg_won_deal_size"),
-            _mean(F.sum(lost), F.count(lost)).alias("avg_lost_deal_size"),
+            F.sum("_rows").alias("total_closed"),
+            _count_where(is_won(stage)).alias("won_count"),
+            _count_where(is_lost(stage)).alias("lost_count"),
+            _money(won).alias("won_value"),
+            _money(lost).alias("lost_value"),
+            _mean(won, won_parsed).alias("avg_won_deal_size"),
+            _mean(lost, lost_parsed).alias("avg_lost_deal_size"),
         )
         .withColumn("win_rate", percent(F.col("won_count"), F.col("total_closed")))
     )
@@ -432,15 +477,16 @@ def win_loss_analysis(silver: Silver, as_of: str) -> DataFrame:
 
 def deal_velocity(silver: Silver, as_of: str) -> DataFrame:
     """Mean age of deals per stage: creation to close date, else to the reporting day."""
-    until = F.coalesce(iso_date(F.col("close_date")), as_of_date(as_of))
+    today = days_between(as_of_date(as_of), as_of_date(_EPOCH))
+    days = F.coalesce(F.sum("_close_days"), F.lit(0)) + today * F.sum("_undated_deals") - F.coalesce(F.sum("_undated_days"), F.lit(0))
     return (
         _deals(silver)
         .where(filled(F.col("deal_stage")))
         .groupBy("deal_stage", "vertical", "engagement_model")
         .agg(
-            F.count(F.lit(1)).alias("deal_count"),
-            F.avg(days_between(until, F.col("created_at").cast("date"))).alias("avg_days_in_stage"),
-            _mean(F.sum("_amount"), F.count("_amount")).alias("avg_deal_value"),
+            F.sum("_rows").alias("deal_count"),
+            (days / F.nullif(F.sum("_close_deals") + F.sum("_undated_deals"), F.lit(0))).alias("avg_days_in_stage"),
+            _mean(F.sum("_amount"), F.sum("_parsed")).alias("avg_deal_value"),
             _money(F.sum("_amount")).alias("total_value"),
         )
     )

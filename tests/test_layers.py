@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import random
 import tempfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +13,9 @@ from pyspark.sql import functions as F
 from saleslake.operators import mapping
 from saleslake.plans import dashboard
 from saleslake.plans.ingest import empty
-from saleslake.plans.marts import MARTS
+from saleslake.plans.marts import MARTS, deal_state, interaction_state
 from saleslake.plans.refresh import refresh_all
-from saleslake.sources import bronze, readers, tables
-from saleslake.sources.tables import read_table, write_table
+from saleslake.sources import bronze, lake, readers
 
 AS_OF = "2024-03-01"
 
@@ -68,41 +69,34 @@ def test_audit_round_trip(spark):
     assert [tuple(r) for r in back] == [("Big", "7", "2500000")]
 
 
-def test_tables_switch_versions(spark):
-    path = f"{home()}/t"
-    assert read_table(spark, path) is None
-    write_table(spark.range(3), path)
-    old = read_table(spark, path)
-    write_table(old.where("id > 0"), path)  # reads the version it replaces
-    assert read_table(spark, path).count() == 2 and old.count() == 3
-
-
-def test_an_unfinished_manifest_does_not_count(spark):
-    path = f"{home()}/t"
-    write_table(spark.range(3), path)
-    with open(f"{path}/_manifests/2.json", "w") as out:
-        out.write('{"tables": {"": [{"pa')  # a writer that was lost
-    assert read_table(spark, path).count() == 3
-    assert write_table(spark.range(4), path) == 3
-    assert read_table(spark, path).count() == 4
-
-
-def test_the_slower_of_two_writers_is_told(spark):
-    path = f"{home()}/t"
-    write_table(spark.range(3), path)
-    base, manifest = tables.current(spark, path)
-    write_table(spark.range(5), path)
-    with pytest.raises(tables.WriteConflict):
-        tables.publish(spark, path, base, manifest)
-    assert read_table(spark, path).count() == 5
+def test_only_named_partitions_are_replaced(spark):
+    path = home()
+    assert lake.read_table(spark, path, "t") is None
+    rows = spark.range(100).withColumn(lake.PART, lake.bucket(["id"], 8))
+    lake.overwrite_parts(rows, path, "t", buckets=8)
+    before = {r.id: r.file for r in lake.read_table(spark, path, "t").withColumn("file", F.input_file_name()).collect()}
+    touched = lake.parts_of(rows.where("id = 7"))
+    more = rows.where(F.col(lake.PART).isin(touched)).withColumn("note", F.lit("x"))
+    lake.overwrite_parts(more, path, "t")
+    after = lake.read_table(spark, path, "t", parts=True).withColumn("file", F.input_file_name()).collect()
+    assert {r.id for r in after} == set(range(100)) and lake.registered(spark, path, "t")[1] == 8
+    assert all((r.note == "x") == (r[lake.PART] in touched) == (before[r.id] != r.file) for r in after)
+
+
+def test_a_partition_is_replaced_by_no_rows(spark):
+    path = home()
+    for n in (3, 0):
+        lake.replace_part(spark.range(n), path, "t", lake.batch_part("a b/c=1"))
+        lake.replace_part(spark.range(5), path, "t", lake.batch_part("other"))
+        assert lake.read_table(spark, path, "t").count() == n + 5
+    assert {r[0] for r in lake.read_table(spark, path, "t", parts=True).select(lake.PART).distinct().collect()} == {"b-other"}
 
 
-def test_clean_up_keeps_the_last_states(spark):
-    path = f"{home()}/t"
-    for n in range(5):
-        write_table(spark.range(n), path)
-    assert tables.clean_up(spark, path, keep=2) == 3
-    assert read_table(spark, path).count() == 4 and len(os.listdir(f"{path}/data")) == 2
+def test_commits(spark):
+    path = home()
+    assert not lake.committed(spark, path, "b 1")
+    lake.commit(spark, path, "b 1", "crm")
+    assert lake.committed(spark, path, "b 1") and not lake.committed(spark, path, "b 2")
 
 
 def test_stamp(spark):
@@ -202,7 +196,23 @@ def test_refresh_publishes_every_mart(spark):
     path = home()
     counts = refresh_all(silver(spark, fact_deals=[deal(1, "Acme")]), AS_OF, path)
     assert set(counts) == set(MARTS) and counts["revenue_summary"] == 1
-    assert "refreshed_at" in read_table(spark, path, "gold/revenue_summary").columns
+    assert "refreshed_at" in lake.read_table(spark, path, "gold/revenue_summary").columns
+
+
+def test_marts_from_states_equal_those_from_rows(spark):
+    rng = random.Random(4)
+    some = lambda *options: rng.choice(options)
+    deals = [
+        (i, some(None, 1, 2), some("Acme", "Beta", "", None), f"D{i}", some("5", "7.25", "x", None), some("Proposal", "Closed Won", "closed lost", "", None),
+         some("x", None), some("2024-05-01", "soon", None), some(None, datetime(2024, 1, rng.randint(1, 28))), None)
+        for i in range(300)
+    ]
+    talks = [(i, some(None, 1, 2), "Acme", some("2024-02-01", "2024-01-09", None), some("Positive", "negative", "neutral", None)) for i in range(80)]
+    tables = silver(spark, fact_deals=deals, fact_interactions=talks, dim_account=[(1, "Acme", "a", None, "v"), (2, "Beta", None, "g", None)])
+    summed = {**tables, "deal_state": deal_state(tables["fact_deals"]), "interaction_state": interaction_state(tables["fact_interactions"])}
+    for name, build in MARTS.items():
+        a, b = ([tuple(r) for r in build(t, AS_OF).collect()] for t in (tables, summed))
+        assert sorted(a, key=repr) == sorted(b, key=repr), name
 
 
 def test_requests(spark):
