@@ -49,9 +49,17 @@ s AS (
 )"""
 
 
-def _topk(where: str) -> str:
+_ASKED = """
+s AS (
+  SELECT a.vec_id AS q, a.label AS asked_label, e.vec_id AS vec_id, e.label AS label,
+    round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 10) AS score
+  FROM embeddings e, embeddings a WHERE a.vec_id % 20 = 0
+)"""
+
+
+def _topk(where: str = "", scores: str = _ASKED) -> str:
     return f"""
-WITH {_CENTROID}, r AS (
+WITH {scores}, r AS (
   SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s {where}
 )
 SELECT CAST(q AS BIGINT) AS query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 5"""
@@ -116,6 +124,13 @@ SELECT CASE WHEN days_until_close <= 7 THEN 'urgent' WHEN days_until_close <= 30
     "mart_row_counts": " UNION ALL ".join(
         f"SELECT {q(name)} AS mart, count(*) AS row_count FROM {_nested(name)}" for name in MART_SQL
     ),
+    "revenue_cube": f"""
+SELECT vertical, horizontal, geography, engagement_model, business_type, lead_source, ai_influenced,
+  CAST(grouping(vertical, horizontal, geography, engagement_model, business_type, lead_source, ai_influenced) AS BIGINT) AS grouping_id,
+  count(*) AS deal_count, count(CASE WHEN deal_stage ILIKE 'closed won' THEN 1 END) AS won_count,
+  count(CASE WHEN ai_influenced ILIKE 'yes' THEN 1 END) AS ai_influenced_count, {_NUM_SUM.format('TRUE')} AS total_deal_value,
+  {_NUM_SUM.format("deal_stage ILIKE 'closed won'")} AS won_value, {_NUM_SUM.format("deal_stage NOT ILIKE 'closed%'")} AS pipeline_value
+FROM fact_deals GROUP BY CUBE (vertical, horizontal, geography, engagement_model, business_type, lead_source, ai_influenced)""",
     "semantic_query": f"""
 SELECT vertical, lead_source, {_NUM_SUM.format('TRUE')} AS total_deal_value,
   {_NUM_SUM.format("deal_stage ILIKE 'closed won'")} AS won_value,
@@ -134,9 +149,10 @@ JOIN asked USING (account_name) WHERE fi.account_name NOT IN (SELECT account_nam
     "bronze_keyword_search": f"WITH {_HIT} SELECT id, 'notes' AS source, 'raw_transcript' AS data_type FROM found",
     "bronze_enrich": "WITH " + _HIT + ", listing AS (" + TEXT_SQL["transcript_entities"].strip()
     + ") SELECT * FROM listing WHERE doc_id IN (SELECT id FROM found)",
-    "vector_topk": _topk(""),
-    "vector_topk_scoped": _topk("WHERE q = label"),
-    "vector_threshold": f"SELECT * FROM ({_topk('').strip()}) WHERE score > 0.20",
+    "vector_topk": _topk(),
+    "vector_topk_scoped": _topk("WHERE asked_label = label"),
+    "vector_centroids": _topk(scores=_CENTROID),
+    "vector_threshold": f"SELECT * FROM ({_topk().strip()}) WHERE score > 0.20",
     "vector_stats": "SELECT label AS namespace, count(*) AS vectors, max(len(embedding)) AS dimension FROM embeddings GROUP BY 1",
     "question_intent": f"SELECT conv_id, turn, {_NARR} AS narrative, {_METR} AS metric, {_INTENT} AS intent FROM questions",
     "greeting_filter": f"SELECT conv_id, turn, ({_GREETING}) AS is_greeting FROM questions",

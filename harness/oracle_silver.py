@@ -72,7 +72,7 @@ def _last(column: str, keys: str = "") -> str:
 
 _LATEST = f"""
 SELECT account_name, {', '.join(_last(c) for c in _ACCOUNT_COLUMNS)}
-FROM crm_batch WHERE account_name <> '' GROUP BY 1"""
+FROM crm_batch GROUP BY 1"""
 
 _DQ = {
     "dim_account": f"account_name IS NOT NULL AND {strip('account_name')} <> ''",
@@ -186,11 +186,11 @@ SELECT seq, """ + ", ".join(
     "table_shape": "SELECT count(*) AS row_count, CAST(27 AS BIGINT) AS column_count FROM crm_batch",
     "last_non_null": _LATEST,
     "merge_dim_account": f"""
-WITH b AS ({_LATEST}), cur AS (SELECT * FROM dim_account WHERE account_name IS NOT NULL AND account_name <> '')
-SELECT cur.id AS id, coalesce(cur.account_name, b.account_name) AS account_name,
+WITH b AS ({_LATEST}), cur AS (SELECT * FROM dim_account)
+SELECT cur.id AS id, CASE WHEN cur.id IS NOT NULL THEN cur.account_name ELSE b.account_name END AS account_name,
   {', '.join(f'coalesce(b.{c}, cur.{c}) AS {c}' for c in ['industry', 'geography', 'annual_revenue', 'employee_count', 'website'])},
   cur.vertical AS vertical, b.account_type AS account_type, b.segment AS segment
-FROM cur FULL JOIN b ON b.account_name = cur.account_name""",
+FROM cur FULL JOIN b ON b.account_name IS NOT DISTINCT FROM cur.account_name""",
     "merge_dim_contact": f"""
 WITH b AS (
   SELECT contact_name || '-B' AS contact_name, account_name, {_last('role')}, {_last('title')}

@@ -102,7 +102,7 @@ _PEOPLE = f"""
 people AS (
   SELECT doc_id, company, unnest(list_zip({_contact(1)}, {_contact(2)}, {_contact(3)})) AS p, text,
     unnest(range(len({_contact(1)}))) AS pos
-  FROM (SELECT doc_id, text, {COMPANY} AS company FROM transcripts)
+  FROM (SELECT doc_id, text, {COMPANY} AS company FROM texts)
 ), named AS (
   SELECT doc_id, company, pos, {strip('p[1]')} AS contact_name, coalesce({strip('p[2]')}, '') AS role, coalesce({strip('p[3]')}, '') AS department
   FROM people
@@ -112,15 +112,15 @@ people AS (
 ), contacts AS (SELECT * FROM first_named WHERE nth = 1)"""
 
 TEXT_SQL = {
-    "speakers": f"SELECT doc_id, array_to_string(list_sort({SPEAKERS}), '|') AS speakers FROM transcripts",
-    "company_name": f"SELECT doc_id, {COMPANY} AS company FROM transcripts",
+    "speakers": f"SELECT doc_id, array_to_string(list_sort({SPEAKERS}), '|') AS speakers FROM texts",
+    "company_name": f"SELECT doc_id, {COMPANY} AS company FROM texts",
     "industry_tag": f"""
 SELECT doc_id, 'note' AS kind, {INDUSTRY} AS industry FROM transcripts
 UNION ALL SELECT doc_id, 'document', {INDUSTRY} FROM documents""",
     "firmographics": f"""
 SELECT doc_id, regexp_replace({strip(first(vocab.GEOGRAPHY_PATTERN))}, ',+$', '') AS geography,
   replace({first(vocab.EMPLOYEES_PATTERN)}, ',', '') AS employee_count, {REVENUE} AS annual_revenue
-FROM transcripts""",
+FROM texts""",
     "money_mentions": f"""
 SELECT doc_id, array_to_string({MONEY}, '|') AS mentions, {FIRST_AMOUNT} AS deal_value FROM transcripts
 UNION ALL SELECT -doc_id - 1, array_to_string({MONEY}, '|'), {FIRST_AMOUNT} FROM documents""",
@@ -131,11 +131,11 @@ UNION ALL SELECT -doc_id - 1, array_to_string({TOPICS}, '|'), array_to_string({P
 SELECT doc_id, {hits(vocab.POSITIVE_WORDS)} AS positive, {hits(vocab.NEGATIVE_WORDS)} AS negative,
   {SENTIMENT} AS sentiment FROM transcripts
 UNION ALL SELECT -doc_id - 1, {hits(vocab.POSITIVE_WORDS)}, {hits(vocab.NEGATIVE_WORDS)}, {SENTIMENT} FROM documents""",
-    "duration_minutes": f"SELECT doc_id, {DURATION} AS duration_minutes FROM transcripts",
-    "competitors": f"SELECT doc_id, array_to_string({COMPETITORS}, '|') AS competitors FROM transcripts",
+    "duration_minutes": f"SELECT doc_id, {DURATION} AS duration_minutes FROM texts",
+    "competitors": f"SELECT doc_id, array_to_string({COMPETITORS}, '|') AS competitors FROM texts",
     "deal_signals": f"""
 SELECT doc_id, len({MONEY}) > 0 AS budget_confirmed, {INTENT} AS buying_intent, {STAGE} AS stated_stage,
-  {DEAL_NAME} AS deal_name, {CLOSE_DATE} AS close_date FROM transcripts""",
+  {DEAL_NAME} AS deal_name, {CLOSE_DATE} AS close_date FROM texts""",
     "named_contacts": f"WITH {_PEOPLE} SELECT doc_id, contact_name, role, department FROM contacts",
     "transcript_entities": f"""
 WITH {_PEOPLE},
@@ -143,7 +143,7 @@ x AS (
   SELECT doc_id, {COMPANY} AS company, {INDUSTRY} AS industry, {SPEAKERS} AS speakers, {SENTIMENT} AS sentiment,
     {DURATION} AS minutes, {COMPETITORS} AS comp, {INTENT} AS intent, {STAGE} AS st, {DEAL_NAME} AS dn,
     {CLOSE_DATE} AS cd, {FIRST_AMOUNT} AS dv, {every(vocab.SPEAKER_PATTERN, 1)} AS stamped
-  FROM transcripts
+  FROM texts
 ), lead AS (SELECT doc_id, arg_min(contact_name, pos) AS lead FROM contacts GROUP BY 1)
 SELECT 'dim_account' AS entity, doc_id, company AS account_name, coalesce(industry, '') AS record FROM x
 UNION ALL SELECT 'dim_contact', doc_id, company, unnest(speakers) || '/Participant' FROM x
@@ -158,7 +158,7 @@ UNION ALL SELECT 'fact_insights', doc_id, company, 'competitive/0.8' FROM x WHER
     "insight_text": f"""
 WITH x AS (
   SELECT doc_id, {COMPANY} AS account_name, {COMPETITORS} AS comp, {INTENT} AS intent, len({MONEY}) > 0 AS budget,
-    {POINTS} AS points FROM transcripts
+    {POINTS} AS points FROM texts
 )
 SELECT doc_id, account_name, 'deal_signal' AS insight_type, {_SIGNAL} AS content,
   CASE intent WHEN 'High' THEN '0.9' WHEN 'Medium' THEN '0.7' ELSE '0.5' END AS confidence, '' AS insight_date FROM x
@@ -183,7 +183,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chu
   count(*) OVER (PARTITION BY doc_id) AS total_chunks, chunk_text FROM k""",
     "chunk_ids": f"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, account_name, filename, {strip('text')} AS t FROM transcripts
+  SELECT doc_id, account_name, filename, {strip('text')} AS t FROM texts
 ), w AS (
   SELECT doc_id, account_name, filename, t, 0 AS start, -1 AS stop FROM docs WHERE length(t) >= 50
   UNION ALL

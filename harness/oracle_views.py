@@ -98,6 +98,9 @@ SELECT o_orderkey AS doc_id, 'note_' || CAST(o_orderkey AS VARCHAR) || '.txt' AS
   || CASE WHEN o_orderkey % 35 = 0 THEN chr(10) || 'Deal: Migration ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS text,
   o_orderdate AS created_at
 FROM orders""",
+    "texts": """
+SELECT doc_id, filename, account_name, text FROM transcripts
+UNION ALL SELECT -doc_id - 1, CAST(doc_id AS VARCHAR), '', text FROM documents""",
     "crm_batch": """
 SELECT id AS seq,
   CASE id % 4 WHEN 0 THEN 'Salesforce' WHEN 1 THEN 'hubspot' WHEN 2 THEN ' Zoho_CRM ' ELSE 'unknown_sys' END AS source_name,

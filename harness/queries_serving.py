@@ -8,7 +8,7 @@ from harness import batches, silver_views as views
 from saleslake.functions.parsing import closing_band
 from saleslake.operators import chunking, search, transcripts, vectors
 from saleslake.operators.joins import spread
-from saleslake.plans import dashboard, questions
+from saleslake.plans import cube, dashboard, questions
 from saleslake.plans.marts import MARTS
 from saleslake.plans.refresh import mart_row_counts as count_marts
 
@@ -88,6 +88,10 @@ def mart_row_counts(spark, sf_dir):
     return count_marts(views.silver(spark, sf_dir), views.AS_OF)
 
 
+def revenue_cube(spark, sf_dir):
+    return cube.revenue_cube(views.silver(spark, sf_dir))
+
+
 def semantic_query(spark, sf_dir):
     request = dashboard.Request(
         metrics=["total_deal_value", "won_value", "pipeline_value", "deal_count", "won_count", "ai_influenced_count"],
@@ -136,20 +140,26 @@ def bronze_enrich(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ vectors
-def _topics(spark, sf_dir):
-    """One query vector per label: the mean of its vectors."""
-    return vectors.centroids(batches.vectors(spark, sf_dir), "label").select(
-        F.col("label").cast("bigint").alias("query_id"), "embedding", F.col("label").alias("scope")
+def _asked(spark, sf_dir):
+    """Every twentieth vector is a query against all of them."""
+    return batches.vectors(spark, sf_dir).where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("scope")
     )
 
 
 def vector_topk(spark, sf_dir):
-    return vectors.top_k(batches.vectors(spark, sf_dir), _topics(spark, sf_dir).drop("scope"))
+    return vectors.top_k(batches.vectors(spark, sf_dir), _asked(spark, sf_dir).drop("scope"))
 
 
 def vector_topk_scoped(spark, sf_dir):
     scoped = batches.vectors(spark, sf_dir).withColumn("scope", F.col("label"))
-    return vectors.top_k(scoped, _topics(spark, sf_dir))
+    return vectors.top_k(scoped, _asked(spark, sf_dir))
+
+
+def vector_centroids(spark, sf_dir):
+    """The mean vector of every label as a query."""
+    means = vectors.centroids(batches.vectors(spark, sf_dir), "label").select(F.col("label").cast("bigint").alias("query_id"), "embedding")
+    return vectors.top_k(batches.vectors(spark, sf_dir), means)
 
 
 def vector_threshold(spark, sf_dir):
@@ -227,8 +237,8 @@ SERVING_QUERIES = {
             accounts_overview, account_detail, account_detail_contacts, account_detail_deals,
             account_detail_interactions, account_detail_insights, pipeline_by_stage, pipeline_total, insights_feed,
             insights_feed_by_type, insight_types, dashboard_stats, pipeline_share, closing_bands,
-            schema_profile, mart_row_counts, semantic_query, semantic_query_rows, mart_then_detail,
-            bronze_keyword_search, bronze_enrich, vector_topk, vector_topk_scoped, vector_threshold,
+            schema_profile, mart_row_counts, revenue_cube, semantic_query, semantic_query_rows, mart_then_detail,
+            bronze_keyword_search, bronze_enrich, vector_topk, vector_topk_scoped, vector_centroids, vector_threshold,
             vector_stats, vector_upsert, question_intent, greeting_filter, recent_context,
             recent_context_whole, answer_route, silver_tables_used, proposal_dedupe, fallback_candidates,
         ]

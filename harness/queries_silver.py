@@ -169,17 +169,12 @@ def table_shape(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ merging
-def _crm_accounts(spark, sf_dir) -> DataFrame:
-    return map_crm_accounts(spark, sf_dir).where(p.filled(F.col("account_name")))
-
-
 def last_non_null(spark, sf_dir):
-    return merge.last_non_null(_crm_accounts(spark, sf_dir), ["account_name"], "seq").drop("seq")
+    return merge.last_non_null(map_crm_accounts(spark, sf_dir), ["account_name"], "seq").drop("seq")
 
 
 def merge_dim_account(spark, sf_dir):
-    current = views.dim_account(spark, sf_dir).where(p.filled(F.col("account_name")))
-    return merge.upsert(current, _crm_accounts(spark, sf_dir), ["account_name"], "seq")
+    return merge.upsert(views.dim_account(spark, sf_dir), map_crm_accounts(spark, sf_dir), ["account_name"], "seq")
 
 
 def merge_dim_contact(spark, sf_dir):

@@ -20,23 +20,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meeting notes, and the document corpus under negative ids."""
+    corpus = documents(spark, sf_dir).select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").cast("string").alias("filename"), F.lit("").alias("account_name"), "text")
+    return notes(spark, sf_dir).select("doc_id", "filename", "account_name", "text").unionByName(corpus)
+
+
 def _joined(values: Column) -> Column:
     return F.array_join(values, "|")
 
 
 def _over_both(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
-    """Meeting notes, and the document corpus under negative ids."""
-    corpus = documents(spark, sf_dir).withColumn("doc_id", -F.col("doc_id") - 1)
-    texts = notes(spark, sf_dir).select("doc_id", "text").unionByName(corpus)
-    return texts.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    return texts(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def speakers(spark, sf_dir):
-    return notes(spark, sf_dir).select("doc_id", _joined(F.array_sort(tx.speakers(F.col("text")))).alias("speakers"))
+    return texts(spark, sf_dir).select("doc_id", _joined(F.array_sort(tx.speakers(F.col("text")))).alias("speakers"))
 
 
 def company_name(spark, sf_dir):
-    return notes(spark, sf_dir).select("doc_id", tx.company(F.col("text")).alias("company"))
+    return texts(spark, sf_dir).select("doc_id", tx.company(F.col("text")).alias("company"))
 
 
 def industry_tag(spark, sf_dir):
@@ -49,7 +53,7 @@ def industry_tag(spark, sf_dir):
 
 def firmographics(spark, sf_dir):
     body = F.col("text")
-    return notes(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         tx.geography(body).alias("geography"),
         tx.employee_count(body).alias("employee_count"),
@@ -79,16 +83,16 @@ def lexicon_sentiment(spark, sf_dir):
 
 
 def duration_minutes(spark, sf_dir):
-    return notes(spark, sf_dir).select("doc_id", tx.duration_minutes(F.col("text")).alias("duration_minutes"))
+    return texts(spark, sf_dir).select("doc_id", tx.duration_minutes(F.col("text")).alias("duration_minutes"))
 
 
 def competitors(spark, sf_dir):
-    return notes(spark, sf_dir).select("doc_id", _joined(tx.competitors(F.col("text"))).alias("competitors"))
+    return texts(spark, sf_dir).select("doc_id", _joined(tx.competitors(F.col("text"))).alias("competitors"))
 
 
 def deal_signals(spark, sf_dir):
     body = F.col("text")
-    return notes(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         (F.size(tx.money_mentions(body)) > 0).alias("budget_confirmed"),
         tx.buying_intent(body).alias("buying_intent"),
@@ -100,7 +104,7 @@ def deal_signals(spark, sf_dir):
 
 def named_contacts(spark, sf_dir):
     return (
-        notes(spark, sf_dir)
+        texts(spark, sf_dir)
         .select("doc_id", F.explode_outer(tx.named_contacts(F.col("text"))).alias("c"))
         .where(F.col("c").isNotNull())
         .select("doc_id", F.col("c.name").alias("contact_name"), "c.role", "c.department")
@@ -108,11 +112,11 @@ def named_contacts(spark, sf_dir):
 
 
 def transcript_entities(spark, sf_dir):
-    return transcripts.entity_listing(transcripts.extract(notes(spark, sf_dir)))
+    return transcripts.entity_listing(transcripts.extract(texts(spark, sf_dir)))
 
 
 def insight_text(spark, sf_dir):
-    return transcripts.insights(transcripts.extract(notes(spark, sf_dir)))
+    return transcripts.insights(transcripts.extract(texts(spark, sf_dir)))
 
 
 def chunk_documents(spark, sf_dir):
@@ -121,7 +125,7 @@ def chunk_documents(spark, sf_dir):
 
 
 def chunk_ids(spark, sf_dir):
-    return chunking.chunk(notes(spark, sf_dir)).select("doc_id", "chunk_id")
+    return chunking.chunk(texts(spark, sf_dir)).select("doc_id", "chunk_id")
 
 
 TEXT_QUERIES = {
