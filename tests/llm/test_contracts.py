@@ -168,3 +168,23 @@ def test_stages_with_odd_tables(spark, tied_docs, no_docs):
     empty = real.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert rows_of(stage(spark, empty, sf)) == []
+
+
+def test_verified_in_lanes_as_one_by_one():
+    """Edits at, below and above the allowance, lines of one and of several words, characters of all sizes."""
+    rng = random.Random(1)
+    bodies = []
+    for _ in range(300):
+        one = "".join(rng.choice("abcdé\U0001f600") for _ in range(rng.choice([1, 2, 3, 20, 39, 40, 171, 640, 700, 1400])))
+        other = list(one)
+        most = int(lines.allowed(2, len(one)))
+        for _ in range(rng.choice([0, 1, most - 1, most, most + 1, 2 * most])):
+            spot = rng.randrange(len(other) + 1)
+            other[spot : spot + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
+        bodies += [one, "".join(other)]
+    p, q = np.arange(0, len(bodies), 2), np.arange(1, len(bodies), 2)
+    want = [lines.near(bodies[i], bodies[j], 2) for i, j in zip(p, q)]
+    assert lines.Verifier(bodies, 2).near(p, q).tolist() == want and 50 < sum(want) < 290
+    counts = lines.profiles(bodies)
+    most = lines.allowed(2, np.minimum(*(np.array([len(bodies[i]) for i in side]) for side in (p, q))))
+    assert not (np.array(want) & ~lines.may_be_near(counts[p], counts[q], most)).any()
