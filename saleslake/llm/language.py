@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import keyed, text_pieces
+from saleslake.llm.common import buffers, keyed, text_pieces
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 4096, 16
 #: Labelled documents to learn from and to calibrate with, at most; and languages, the most frequent ones.
@@ -120,9 +120,12 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_
     if not len(got):
         return None
     labels = np.array(got.column("lang").to_pylist())
-    shares = np.stack([np.frombuffer(x, np.float16) for x in got.column("shares").to_pylist()]).astype(np.float32) / 256
-    order = np.lexsort((shares[:, :64].sum(axis=1), labels))  # not the order in which tasks ended
-    return train(shares[order], labels[order], sample_rows)
+    packed = buffers(got.column("shares"))[0].view(np.float16).reshape(len(got), -1)
+    order = np.lexsort(((packed[:, :64].astype(np.float32) / 256).sum(axis=1), labels))  # not the order in which tasks ended
+    shares = packed[order].astype(np.float32)
+    del got, packed  # the driver holds the sample once
+    shares /= 256
+    return train(shares, labels[order], sample_rows)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ def train(shares: np.ndarray, labels: np.ndarray, sample_rows: int = SAMPLE_ROWS
     order = random.permutation(len(labels))
     checked = max(len(order) // 5, len(order) - sample_rows)
     check, own = (order[:checked], order[checked:]) if len(order) >= 50 else (order, order)
-    spread = 1 / np.sqrt(np.maximum((shares[own] ** 2).sum(axis=1).mean(), 1e-9))
+    spread = 1 / np.sqrt(np.maximum(np.mean([np.dot(shares[i], shares[i]) for i in own]), 1e-9))
     embedding = random.normal(0, 0.1, (shares.shape[1], DIMENSIONS)).astype(np.float32)
     weights, bias = random.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     for epoch in range(EPOCHS):
@@ -166,7 +169,7 @@ def train(shares: np.ndarray, labels: np.ndarray, sample_rows: int = SAMPLE_ROWS
     logits = shares[check] @ table[:-1] + bias
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), target[check]] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
     temperature = float(min(losses, key=losses.get))
-    usual = np.stack([shares[own][target[own] == k].mean(axis=0) if (target[own] == k).any() else np.zeros(shares.shape[1]) for k in range(len(languages))], axis=1) + UNSEEN / shares.shape[1]
+    usual = np.stack([shares[own[target[own] == k]].mean(axis=0) if (target[own] == k).any() else np.zeros(shares.shape[1]) for k in range(len(languages))], axis=1) + UNSEEN / shares.shape[1]
     usual = np.log(usual / usual.sum(axis=0)).astype(np.float32)
     means = shares @ usual
     seen = [own_rows if len(own_rows := check[target[check] == k]) else np.flatnonzero(target == k) for k in range(len(languages))]
