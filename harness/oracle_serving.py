@@ -139,6 +139,22 @@ SELECT vertical, lead_source, {_NUM_SUM.format('TRUE')} AS total_deal_value,
   count(CASE WHEN ai_influenced ILIKE 'yes' THEN 1 END) AS ai_influenced_count
 FROM fact_deals WHERE geography IN ('Onshore', 'Offshore') GROUP BY 1, 2
 ORDER BY total_deal_value DESC, vertical, lead_source LIMIT 100""",
+    "request_accounts": """
+SELECT industry, geography, count(*) AS row_count, CAST(coalesce(sum(CASE WHEN regexp_full_match(annual_revenue, '[0-9.]+')
+  THEN TRY_CAST(annual_revenue AS DECIMAL(38,6)) END), 0) AS DOUBLE) AS total_annual_revenue FROM dim_account GROUP BY 1, 2""",
+    "request_contacts": """
+SELECT role, count(*) AS row_count, count(DISTINCT account_name) AS distinct_account_name,
+  count(CASE WHEN role <> '' THEN 1 END) AS filled_role FROM dim_contact GROUP BY 1""",
+    "request_deals": f"""
+SELECT a.industry AS industry, a.vertical AS account_vertical, horizontal, {_NUM_SUM.format('TRUE')} AS total_deal_value,
+  count(CASE WHEN deal_stage ILIKE 'closed won' THEN 1 END) AS won_count, count(DISTINCT account_id) AS distinct_account_id
+FROM fact_deals fd LEFT JOIN dim_account a ON a.id = fd.account_id GROUP BY 1, 2, 3""",
+    "request_interactions": """
+SELECT sentiment, industry, count(*) AS row_count, count(DISTINCT account_id) AS distinct_account_id, max(interaction_date) AS latest_interaction_date
+FROM fact_interactions f LEFT JOIN dim_account a ON a.id = f.account_id WHERE geography IN ('Onshore', 'Both') GROUP BY 1, 2""",
+    "request_insights": """
+SELECT insight_type, vertical, count(*) AS row_count, CAST(sum(CAST(confidence AS DECIMAL(38,6))) AS DOUBLE) AS total_confidence,
+  min(insight_date) AS earliest_insight_date FROM fact_insights f LEFT JOIN dim_account a ON a.id = f.account_id GROUP BY 1, 2""",
     "semantic_query_rows": "SELECT id, deal_name, deal_stage FROM fact_deals ORDER BY id DESC LIMIT 100",
     "mart_then_detail": f"""
 WITH asked AS (SELECT account_name FROM fact_interactions UNION SELECT account_name FROM fact_insights),

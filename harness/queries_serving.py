@@ -101,6 +101,20 @@ def semantic_query(spark, sf_dir):
     return dashboard.semantic_query(views.fact_deals(spark, sf_dir), request)
 
 
+def _request(table: str, metrics: list[str], group_by: list[str], filters: dict | None = None):
+    asked = dashboard.Request(metrics, group_by, filters or {}, None, table)
+    return lambda spark, sf_dir: dashboard.answer_request(views.silver(spark, sf_dir), asked)
+
+
+REQUESTS = {
+    "request_accounts": _request("dim_account", ["row_count", "total:annual_revenue"], ["industry", "geography"]),
+    "request_contacts": _request("dim_contact", ["row_count", "distinct:account_name", "filled:role"], ["role"]),
+    "request_deals": _request("fact_deals", ["total_deal_value", "won_count", "distinct:account_id"], ["industry", "account_vertical", "horizontal"]),
+    "request_interactions": _request("fact_interactions", ["row_count", "distinct:account_id", "latest:interaction_date"], ["sentiment", "industry"], {"geography": ["Onshore", "Both"]}),
+    "request_insights": _request("fact_insights", ["row_count", "total:confidence", "earliest:insight_date"], ["insight_type", "vertical"]),
+}
+
+
 def semantic_query_rows(spark, sf_dir):
     request = dashboard.Request(metrics=[], group_by=["id", "deal_name", "deal_stage"])
     return dashboard.semantic_query(views.fact_deals(spark, sf_dir), request)
@@ -244,4 +258,5 @@ SERVING_QUERIES = {
         ]
     },
     **PAGES,
+    **REQUESTS,
 }

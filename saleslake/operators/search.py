@@ -75,8 +75,3 @@ def extract_records(bronze: DataFrame) -> DataFrame:
     """Extracted attributes of the usable records, under the source name ``<source>_enriched``."""
     texts = payload_text(bronze).withColumnRenamed("id", "doc_id")
     return transcripts.extract(texts).withColumn("source", F.concat("source", F.lit("_enriched")))
-
-
-def enrich(bronze: DataFrame) -> dict[str, DataFrame]:
-    """Silver entities found in bronze records."""
-    return transcripts.entities(extract_records(bronze))

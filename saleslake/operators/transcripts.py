@@ -158,14 +158,16 @@ def insights(extracted: DataFrame) -> DataFrame:
 
 
 def entities(extracted: DataFrame) -> dict[str, DataFrame]:
-    """The five silver record sets found in extracted transcripts."""
+    """The five silver record sets found in extracted transcripts.
+
+    ``place`` orders the people of a document: of an attendee who is a labelled contact too, the label is the later one."""
     account = F.col("company").alias("account_name")
-    people = extracted.select("doc_id", account, F.explode_outer(_people()).alias("p")).where(F.col("p").isNotNull())
+    people = extracted.select("doc_id", account, F.posexplode_outer(_people()).alias("place", "p")).where(F.col("p").isNotNull())
     return {
         "dim_account": extracted.select(
             "doc_id", account, "industry", "geography", "employee_count", "annual_revenue"
         ),
-        "dim_contact": people.select("doc_id", "account_name", "p.*"),
+        "dim_contact": people.select("doc_id", "place", "account_name", "p.*"),
         "fact_interactions": extracted.select("doc_id", account, _interaction().alias("i")).select("doc_id", "account_name", "i.*"),
         "fact_deals": extracted.select("doc_id", account, _deal().alias("d")).select("doc_id", "account_name", "d.*"),
         "fact_insights": insights(extracted),

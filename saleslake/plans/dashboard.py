@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saleslake.functions.parsing import amount, filled, is_open, is_won, leading_number, same_text
 from saleslake.operators.containment import counts_by_contained_name
-from saleslake.operators.joins import fan_out_join, union_all
+from saleslake.operators.joins import fan_out_join, lookup_join, union_all
 from saleslake.plans.marts import MARTS, Silver
 
 RECENT = 20
@@ -185,6 +185,49 @@ class Request:
     group_by: list[str] = field(default_factory=list)
     filters: dict[str, object] = field(default_factory=dict)
     limit: int | None = 100
+    table: str = "fact_deals"
+
+
+#: Metrics that every table has, and those of one table; ``name:column`` takes one column.
+_ANY_METRICS = {
+    "row_count": lambda column: F.count(F.lit(1)),
+    "filled": lambda column: F.count_if(filled(F.col(column).cast("string"))),
+    "distinct": lambda column: F.count_distinct(column),
+    "earliest": lambda column: F.min(column),
+    "latest": lambda column: F.max(column),
+    "total": lambda column: F.coalesce(F.sum(amount(F.col(column).cast("string"))).cast("double"), F.lit(0.0)),
+}
+#: Attributes that a fact takes from its account where it has no column of that name.
+_ACCOUNT_DIMENSIONS = ["industry", "geography", "vertical", "annual_revenue", "employee_count", "website", "segment", "account_type"]
+
+
+def answer_request(silver: dict[str, DataFrame], request: Request) -> DataFrame:
+    """Answer a request over any silver table.
+
+    Dimensions and filters are columns of the table or, for facts, attributes of the account (as ``account_<name>`` too).
+    Facts without an account id are spread over the tasks of that join. Metrics are those of deals or ``name:column`` of ``row_count``, ``filled``, ``distinct``,
+    ``earliest``, ``latest`` and ``total``; the result's columns replace the colon by an underscore."""
+    rows = silver[request.table]
+    asked = [*request.group_by, *request.filters]
+    plain = {n.removeprefix("account_"): n for n in asked if n not in rows.columns and n.removeprefix("account_") in _ACCOUNT_DIMENSIONS}
+    unknown = [n for n in asked if n not in rows.columns and n not in plain.values()]
+    if unknown or (plain and "account_id" not in rows.columns):
+        raise LookupError(f"{request.table} has no dimension {', '.join(unknown or plain.values())}")
+    if plain:
+        accounts = silver["dim_account"].select(F.col("id").alias("_account"), *[F.col(c).alias(n) for c, n in plain.items()])
+        rows = lookup_join(rows, accounts, "account_id", "_account", F.xxhash64("id"))
+    metrics = request.metrics
+    named = {m: m.replace(":", "_") for m in metrics}
+    own = [m for m in metrics if m.split(":")[0] not in _ANY_METRICS]
+    if own and request.table != "fact_deals":
+        raise LookupError(f"{request.table} has no metric {', '.join(own)}")
+    for name, wanted in request.filters.items():
+        rows = rows.where(F.col(name).isin(*(wanted if isinstance(wanted, (list, tuple)) else [wanted])))
+    if not metrics:
+        return semantic_query(rows, Request([], request.group_by, {}, request.limit))
+    measures = [(_metric(m) if m in own else _ANY_METRICS[m.split(":")[0]](m.partition(":")[2])).alias(named[m]) for m in metrics]
+    answer = rows.groupBy(*request.group_by).agg(*measures)
+    return answer if request.limit is None else answer.orderBy(F.desc(named[metrics[0]]), *request.group_by).limit(request.limit)
 
 
 def _metric(name: str) -> Column:

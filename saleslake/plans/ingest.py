@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from saleslake import vocab
 from saleslake.functions.parsing import coerce_audit_value, filled
-from saleslake.operators import chunking, identity, mapping, merge, quality, transcripts
+from saleslake.operators import chunking, identity, mapping, merge, quality, search, transcripts
 from saleslake.operators.joins import fan_out_join, spread, union_all
 from saleslake.plans.marts import deal_state
 from saleslake.plans.refresh import follow, with_states, write_marts
 from saleslake.session import durable
 from saleslake.sources import bronze
-from saleslake.sources.lake import BUCKETS, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, replace_part, widen
+from saleslake.sources.lake import BUCKETS, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, registry, replace_part, widen
 
 # Facts that are only ever added to, one partition for each batch.
 EVENT_FACTS = ["fact_interactions", "fact_insights", "fact_transactions", "fact_hr_records"]
@@ -38,6 +38,7 @@ class Report:
     rejected: int = 0
     columns_added: dict[str, dict[str, str]] = field(default_factory=dict)
     fields_ignored: list[str] = field(default_factory=list)
+    other_accounts: int = 0
     mart_rows: dict[str, int] = field(default_factory=dict)
 
 
@@ -54,9 +55,9 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
     """Current silver tables; empty ones before the first batch."""
-    tables = {}
+    tables, known = {}, registry(spark, lake)
     for table in vocab.SILVER_TABLES:
-        found = read_table(spark, lake, f"silver/{table}")
+        found = read_table(spark, lake, f"silver/{table}", known=known)
         tables[table] = empty(spark, table) if found is None else merge.append(empty(spark, table), found)
     return tables
 
@@ -98,22 +99,63 @@ def ingest_structured(
     return report
 
 
+def ingest_for_account(
+    spark: SparkSession, batch: DataFrame, account: str, source: str, batch_id: str, lake: str, as_of: str, **options
+) -> Report:
+    """Take in a batch under one account, whatever accounts its records name.
+
+    The other names found in it are kept as the batch's part of ``account_mismatches``, for whoever has to judge whether
+    the file belongs to the account; their number is reported."""
+    others = durable(mapping.other_accounts(batch, account).select(F.lit(account).alias("account_name"), F.col("account_name").alias("other_name")))
+    replace_part(others, lake, "account_mismatches", batch_part(batch_id))
+    report = ingest_structured(spark, mapping.stamp_account(batch, account), source, batch_id, lake, as_of, **options)
+    report.other_accounts = others.count()
+    return report
+
+
 def ingest_transcripts(
-    spark: SparkSession, docs: DataFrame, source: str, batch_id: str, lake: str, as_of: str
+    spark: SparkSession, docs: DataFrame, source: str, batch_id: str, lake: str, as_of: str, force: bool = False
 ) -> Report:
     """Take in meeting notes: rows of ``doc_id`` and ``text``, and of ``filename`` and ``account_name`` if they are known.
 
-    Their chunks for the vector index go to the table ``document_chunks``."""
+    Every note is a file of its own: one without relevance to sales stays in bronze (unless ``force``). The chunks of the
+    others go to the table ``document_chunks`` for the vector index."""
     raw = docs.select(F.col("text").alias("raw_transcript"))
     _write_batch(
         bronze.bronze_rows(raw, source).withColumn("created_at", F.current_timestamp()), f"{lake}/bronze", batch_id
     )
+    if not force:
+        docs = durable(quality.text_relevance(docs).where("is_relevant").drop("hits", "is_relevant"))
+        if docs.isEmpty():
+            return Report("skipped")
     extracted = durable(transcripts.extract(spread(docs.select("doc_id", "text"))).drop("text"))
-    found = {t: df.withColumnRenamed("doc_id", "seq") for t, df in transcripts.entities(extracted).items()}
     given = {"filename": F.col("doc_id").cast("string"), "account_name": F.lit(None).cast("string")}
     named = docs.withColumns({c: v for c, v in given.items() if c not in docs.columns})
     pieces = chunking.chunk(named.select("filename", "account_name", "text")).withColumn("source", F.lit(source))
-    return _load(spark, found, source, batch_id, lake, as_of, mapping.Evolution(), {"document_chunks": pieces})
+    return _load(spark, _in_order(transcripts.entities(extracted)), source, batch_id, lake, as_of, mapping.Evolution(), {"document_chunks": pieces})
+
+
+def _in_order(entities: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Extracted records with an order column: by document, people of a document by their place in it."""
+    people = entities["dim_contact"]
+    seq = F.col("doc_id").cast("decimal(38,0)") * 1_000_000 + F.col("place")
+    return {**{t: df.withColumnRenamed("doc_id", "seq") for t, df in entities.items()},
+            "dim_contact": people.withColumn("seq", seq).drop("doc_id", "place")}
+
+
+def enrich_from_bronze(
+    spark: SparkSession, question: str, batch_id: str, lake: str, as_of: str, account: str | None = None
+) -> Report:
+    """Take the raw records that a question is about into silver, and bring the marts up to date.
+
+    Of each source's records the entities are extracted and loaded like a batch of notes, under ``<source>_enriched``."""
+    records = spark.read.parquet(f"{lake}/bronze").withColumn("id", F.xxhash64("source", "raw_payload", "created_at"))
+    extracted = durable(search.extract_records(search.relevant_records(records, question, account)).drop("text"))
+    report = Report("skipped")
+    for row in extracted.select("source").distinct().orderBy("source").collect():  # three records at most
+        found = transcripts.entities(extracted.where(F.col("source") == row.source).drop("source"))
+        report = _load(spark, _in_order(found), row.source, f"{batch_id}-{row.source}", lake, as_of, mapping.Evolution())
+    return report
 
 
 def _load(
@@ -163,7 +205,9 @@ def _load(
         ]
         or [spark.createDataFrame([], "name string, source string, seq bigint")]
     )
-    resolved, created = identity.resolve(names, read_silver(spark, lake)["dim_account"])
+    accounts = read_table(spark, lake, "silver/dim_account")
+    accounts = empty(spark, "dim_account") if accounts is None else merge.append(empty(spark, "dim_account"), accounts)
+    resolved, created = identity.resolve(names, accounts)
     resolved = durable(resolved)
     merge_table(spark, lake, "dim_account", created.withColumn("seq", F.lit(0).cast("bigint")), _KEYS["dim_account"], "seq")
 
@@ -231,6 +275,7 @@ def _merge_deals(spark: SparkSession, lake: str, batch: DataFrame, batch_id: str
     name, own, keys = "silver/fact_deals", batch_part(batch_id), ["deal_name", "account_name"]
     known = registered(spark, lake, name)
     buckets = known[1] if known else BUCKETS
+    batch = batch.withColumns({k: F.lit(None).cast("string") for k in keys if k not in batch.columns})
     full = filled(F.col("deal_name")) & filled(F.col("account_name"))
     part = F.when(F.coalesce(full, F.lit(False)), bucket(keys, buckets)).otherwise(own)
     placed = durable(batch.withColumn("batch_id", F.lit(batch_id)).withColumn(PART, part))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saleslake.operators.joins import union_all
 from saleslake.plans.marts import MARTS, Silver, deal_state, interaction_state
 from saleslake.session import durable
-from saleslake.sources.lake import PART, overwrite_parts, read_table, replace_part
+from saleslake.sources.lake import PART, overwrite_parts, read_table, registry, replace_table
 
 #: Additive states of facts, kept by the partitions of the fact they are summed from: table -> what marts know it as, how it is summed.
 STATES = {"state/deals": ("deal_state", deal_state), "state/interactions": ("interaction_state", interaction_state)}
@@ -26,7 +26,8 @@ def follow(rows: DataFrame, lake: str, state: str) -> None:
 
 def with_states(spark: SparkSession, silver: Silver, lake: str) -> dict[str, DataFrame]:
     """The silver tables and, where the lake has them, the states of its facts."""
-    found = {name: read_table(spark, lake, state) for state, (name, _) in STATES.items()}
+    known = registry(spark, lake)
+    found = {name: read_table(spark, lake, state, known=known) for state, (name, _) in STATES.items()}
     return {**silver, **{name: rows for name, rows in found.items() if rows is not None}}
 
 
@@ -38,12 +39,14 @@ def write_marts(silver: Silver, as_of: str, lake: str) -> dict[str, int]:
     def build(name: str) -> DataFrame:
         return durable(MARTS[name](silver, as_of).withColumn("refreshed_at", F.current_timestamp()))
 
+    def replace(name: str) -> int:
+        replace_table(built[name], lake, f"gold/{name}")
+        return built[name].count()
+
     # The marts are independent; a few at a time keep the cluster busy while small ones finish.
     with ThreadPoolExecutor(max_workers=4) as pool:
         built = dict(zip(MARTS, pool.map(build, MARTS)))
-    for name, rows in built.items():
-        replace_part(rows, lake, f"gold/{name}", "all")
-    return {name: rows.count() for name, rows in built.items()}
+        return dict(zip(MARTS, pool.map(replace, MARTS)))
 
 
 def refresh_all(silver: Silver, as_of: str, lake: str) -> dict[str, int]:

@@ -40,12 +40,17 @@ def _dynamic(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def registry(spark: SparkSession, lake: str) -> dict[str, tuple[StructType, int]]:
+    """Columns and number of buckets of every table; a row for each table, read in one go."""
+    if not _exists(spark, _at(lake, _COLUMNS)):
+        return {}
+    rows = spark.read.schema(_REGISTRY).parquet(_at(lake, _COLUMNS)).collect()
+    return {r["table"]: (StructType.fromJson(json.loads(r["schema"])), r["buckets"]) for r in rows}
+
+
 def registered(spark: SparkSession, lake: str, table: str) -> tuple[StructType, int] | None:
     """Columns and number of buckets of a table, or None before its first write."""
-    if not _exists(spark, _at(lake, _COLUMNS)):
-        return None
-    row = spark.read.schema(_REGISTRY).parquet(_at(lake, _COLUMNS)).where(F.col("table") == table).first()
-    return (StructType.fromJson(json.loads(row["schema"])), row["buckets"]) if row else None
+    return registry(spark, lake).get(table)
 
 
 def widen(spark: SparkSession, lake: str, table: str, schema: StructType, buckets: int = BUCKETS) -> tuple[StructType, int]:
@@ -62,15 +67,23 @@ def widen(spark: SparkSession, lake: str, table: str, schema: StructType, bucket
     return whole, buckets
 
 
-def read_table(spark: SparkSession, lake: str, table: str, parts: bool = False) -> DataFrame | None:
-    """A table's rows, or None before its first write. ``parts`` keeps the partition column."""
-    known = registered(spark, lake, table)
-    if known is None or not _exists(spark, _at(lake, table)):
+def read_table(spark: SparkSession, lake: str, table: str, parts: bool = False, known: dict | None = None) -> DataFrame | None:
+    """A table's rows, or None before its first write. ``parts`` keeps the partition column; ``known`` is the registry
+    where the caller has it."""
+    columns = (registry(spark, lake) if known is None else known).get(table)
+    if not _exists(spark, _at(lake, table)):
         return None
-    rows = spark.read.schema(StructType(known[0].fields).add(PART, "string")).parquet(_at(lake, table))
+    if columns is None:  # a table that is only ever replaced as a whole
+        return spark.read.parquet(_at(lake, table))
+    rows = spark.read.schema(StructType(columns[0].fields).add(PART, "string")).parquet(_at(lake, table))
     return rows if parts else rows.drop(PART)
 
 
+def replace_table(df: DataFrame, lake: str, table: str) -> None:
+    """Replace an unpartitioned table."""
+    df.write.mode("overwrite").parquet(_at(lake, table))
+
+
 def bucket(keys: list[str], buckets: int) -> Column:
     """Name of the partition that a key falls in."""
     return F.concat(F.lit("k"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"))

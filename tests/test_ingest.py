@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from saleslake.plans.ingest import ingest_structured, ingest_transcripts, read_silver
+from saleslake.plans.ingest import enrich_from_bronze, ingest_for_account, ingest_structured, ingest_transcripts, read_silver
 from saleslake.plans.marts import MARTS
 from saleslake.sources.lake import PART, committed, read_table
 
@@ -254,13 +254,57 @@ def test_a_stream_does_not_take_a_batch_in_twice(spark):
     home = tempfile.mkdtemp(prefix="run-")
     os.makedirs(f"{home}/in")
     with open(f"{home}/in/a.csv", "w") as out:
-        out.write("account_name,deal_value,deal_stage\nAcme,100,Proposal\nBeta,50,Closed Won\n")
+        out.write("account_name,deal_name,deal_value,deal_stage\nAcme,Big,100,Proposal\nBeta,Other,50,Closed Won\n")
 
     def run():
-        ingest_folder(spark, f"{home}/in", "account_name string, deal_value string, deal_stage string", "crm", f"{home}/lake", f"{home}/state", "2024-03-01").awaitTermination()
+        ingest_folder(spark, f"{home}/in", "account_name string, deal_name string, deal_value string, deal_stage string", "crm", f"{home}/lake", f"{home}/state", "2024-03-01").awaitTermination()
         return [tuple(r) for r in read_silver(spark, f"{home}/lake")["fact_deals"].orderBy("id").collect()]
 
     first = run()
     assert len(first) == 2 and committed(spark, f"{home}/lake", "crm-0")
     shutil.rmtree(f"{home}/state/commits")
     assert run() == first  # also the same times of loading: nothing was written again
+
+
+# ------------------------------------------------------------------ jobs over a lake
+NOTE = (
+    "Meeting with {0}.\nParticipants: Ann Lee, Bob Stone\n[00:05] Ann Lee: budget of $5,000 is fine.\n[00:45] Bob Stone: we are ready.\n"
+    "Primary Contact: Ann Lee, Role: VP Data\nExpected close: 2024-06-30"
+)
+
+
+def test_a_batch_is_loaded_for_one_account(spark):
+    lake = lake_of()
+    schema = "seq bigint, account_name string, company string, deal_name string, deal_value string"
+    batch = spark.createDataFrame([(1, "Acme", None, "D1", "5"), (2, None, "Beta", "D2", "6"), (3, " acme ", None, "D3", "7")], schema)
+    report = ingest_for_account(spark, batch, "Acme", "crm", "b1", lake, "2024-03-01")
+    assert (report.status, report.other_accounts) == ("success", 1)
+    silver = read_silver(spark, lake)
+    assert {(r.deal_name, r.account_name) for r in silver["fact_deals"].collect()} == {("D1", "Acme"), ("D2", "Acme"), ("D3", "Acme")}
+    assert [r.account_name for r in silver["dim_account"].collect()] == ["Acme"]
+    assert [tuple(r) for r in read_table(spark, lake, "account_mismatches").collect()] == [("Acme", "Beta")]
+
+
+def test_notes_without_relevance_stay_in_bronze_until_a_question_needs_them(spark):
+    """Also: of an attendee who is a labelled contact, the label stays."""
+    lake = lake_of()
+    docs = spark.createDataFrame([(1, "The oak is red and the elm is green, as trees are in autumn."), (2, NOTE.format("Gamma Systems"))], "doc_id bigint, text string")
+    assert ingest_transcripts(spark, docs.where("doc_id = 1"), "notes", "t0", lake, "2024-03-01").status == "skipped"
+    assert ingest_transcripts(spark, docs, "notes", "t1", lake, "2024-03-01").status == "success"
+    silver = read_silver(spark, lake)
+    assert {r.account_name for r in silver["fact_deals"].collect()} == {"Gamma Systems"}
+    people = {r.contact_name: r.role for r in silver["dim_contact"].collect()}
+    assert people == {"Ann Lee": "VP Data", "Bob Stone": "Participant"}
+    assert read_table(spark, lake, "silver/document_chunks").count() == 1
+
+    raw = spark.createDataFrame([(NOTE.format("Delta Corp"),), (NOTE.format("Omega Labs"),)], "raw_transcript string")
+    from saleslake.sources.bronze import append_bronze
+
+    append_bronze(raw, "mail", f"{lake}/bronze/batch_id=raw")
+    assert enrich_from_bronze(spark, "What did Delta Corp say?", "q1", lake, "2024-03-01").status == "success"
+    for again in (False, True):
+        deals = read_silver(spark, lake)["fact_deals"].collect()
+        assert {r.account_name for r in deals} == {"Gamma Systems", "Delta Corp"} and len(deals) == 2
+        assert read_table(spark, lake, "gold/revenue_summary").where("account_name = 'Delta Corp'").count() == 1
+        if not again:
+            enrich_from_bronze(spark, "What did Delta Corp say?", "q1", lake, "2024-03-01")  # asking again changes nothing
