@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,7 @@ def build_session(app: str = "saleslake", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only a local[*] session that names none falls back to a scratch folder.
+    Only a local[*] session that names none falls back to a scratch folder, which goes with the process.
     """
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     scratch = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
 
