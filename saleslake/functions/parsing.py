@@ -102,7 +102,11 @@ def canonical_text(value: Column, kind: str = "string") -> Column:
     if kind.startswith(("array", "struct", "map")):
         return F.to_json(value)
     text = value.cast("string")
-    return F.when(text != "", strip(text)) if kind == "string" else text
+    if kind != "string":
+        return text
+    # Most values begin and end with a visible character and stay as they are.
+    clean = _plain(text) & _plain(F.right(text, F.lit(1)))
+    return F.when(clean, text).when(text != "", strip(text))
 
 
 def coerce_audit_value(value: Column, field: str) -> Column:
@@ -110,6 +114,9 @@ def coerce_audit_value(value: Column, field: str) -> Column:
 
     Whole floats lose their fraction unless the field is a rate or a multiplier; digit
     text loses leading zeros. Other text is stripped, and sentiment lower-cased.
+
+    Most values read back as they are, which their first and last character or one pattern
+    tells; only the others go through all of the rules.
     """
     def coerced(body: Column) -> Column:
         plain_number = F.when(body.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)\z"), body)
@@ -131,7 +138,14 @@ def coerce_audit_value(value: Column, field: str) -> Column:
         return F.when(number.isNotNull(), F.concat(F.when(negative, "-").otherwise(""), body))
 
     is_json = value.rlike(r"^[\[{]") & F.try_parse_json(value).isNotNull()
-    return F.when(is_json, value).otherwise(bind(strip(value), coerced))
+    slow = F.when(is_json, value).otherwise(bind(strip(value), coerced))
+    if field == "sentiment":
+        return slow
+    # Visible characters at both ends: nothing to strip. A letter begins no number, a bracket neither, JSON or not.
+    first, end = F.ascii(value), _plain(F.right(value, F.lit(1)))
+    text = (first.between(65, 91) | first.between(97, 123)) & end  # A to Z and [, a to z and {
+    number = first.between(48, 57) & value.rlike(r"^(?:[1-9][0-9]{0,36}|(?:0|[1-9][0-9]*)\.[0-9]*[1-9])\z")
+    return F.when(text | number, value.cast("string")).otherwise(slow)
 
 
 def init_cap(value: Column) -> Column:

@@ -19,9 +19,10 @@ from saleslake import vocab
 from saleslake.functions.parsing import coerce_audit_value, filled
 from saleslake.operators import chunking, identity, mapping, merge, quality, search, transcripts
 from saleslake.operators.joins import fan_out_join, spread, union_all
+from saleslake.operators.ranking import number_rows
 from saleslake.plans.marts import deal_state
 from saleslake.plans.refresh import follow, with_states, write_marts
-from saleslake.session import durable
+from saleslake.session import durable, kept
 from saleslake.sources import bronze
 from saleslake.sources.lake import BUCKETS, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, registry, replace_part, widen
 
@@ -168,23 +169,21 @@ def _load(
     evolution: mapping.Evolution,
     beside: dict[str, DataFrame] | None = None,
 ) -> Report:
-    audit = union_all(
-        [bronze.audit_rows({t: df.drop("seq")}, batch_id, source, "deterministic") for t, df in mapped.items()]
-    )
+    # Every value is read back once; the audit trail and the load read the results.
+    coerced = {t: kept(_read_back(df)) for t, df in mapped.items()}
+    audit = bronze.coerced_audit_rows({t: _audit_form(df) for t, df in coerced.items()}, batch_id, source, "deterministic")
     _write_batch(audit.drop("batch_id"), f"{lake}/audit", batch_id)
 
     silver = read_silver(spark, lake)
     valid, rejects = {}, []
-    for table, df in mapped.items():
-        coerced = df.withColumns(
-            {c: coerce_audit_value(F.col(c), c) for c in df.columns if c not in ("seq", "source_data")}
-        )
+    for table, df in coerced.items():
         extra = [*evolution.added.get(table, {}), *silver[table].columns]
-        loaded = mapping.to_silver(coerced, table, ["seq"], extra)
+        loaded = mapping.to_silver(df, table, ["seq"], extra)
         if table == "dim_contact":
             loaded = loaded.withColumn("contact_name", mapping.contact_identity(loaded.columns))
-        good, bad = quality.split(loaded, table)
-        valid[table] = durable(good)
+        # Written before it is split: each side would repeat the conversions, and again in every filter pushed below them.
+        good, bad = quality.split(kept(loaded), table)
+        valid[table] = good
         rejects.append(bad)
     own = batch_part(batch_id)
     rejected = durable(union_all(rejects))
@@ -207,6 +206,7 @@ def _load(
     )
     accounts = read_table(spark, lake, "silver/dim_account")
     accounts = empty(spark, "dim_account") if accounts is None else merge.append(empty(spark, "dim_account"), accounts)
+    names = durable(_first_and_last(names))
     resolved, created = identity.resolve(names, accounts)
     resolved = durable(resolved)
     merge_table(spark, lake, "dim_account", created.withColumn("seq", F.lit(0).cast("bigint")), _KEYS["dim_account"], "seq")
@@ -225,8 +225,8 @@ def _load(
             linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
         if table in EVENT_FACTS:
             # Ids go on from the other batches', in the order of the batch: the newest rows have the largest.
-            events = durable(linked.withColumn("id", F.lit(None).cast("bigint")))
-            numbered = merge.assign_ids(events, base=_top(spark, lake, name, own), order=[F.col("seq"), F.xxhash64(*df.columns)]).drop("seq")
+            events = number_rows(kept(linked), [F.col("seq"), F.xxhash64(*df.columns)], "id")
+            numbered = events.withColumn("id", F.col("id") + _top(spark, lake, name, own)).drop("seq")
             replace_part(numbered, lake, name, own)
             if table == "fact_interactions":
                 follow(merge.append(empty(spark, table), numbered).withColumn(PART, F.lit(own)), lake, "state/interactions")
@@ -239,6 +239,23 @@ def _load(
     return Report("success", rejected=rejected.count(), mart_rows=counts)
 
 
+def _read_back(df: DataFrame) -> DataFrame:
+    """Mapped records in the audit trail's form, the source record as it came."""
+    return df.withColumns({c: coerce_audit_value(F.col(c).cast("string"), c) for c in df.columns if c not in ("seq", "source_data")})
+
+
+def _audit_form(df: DataFrame) -> DataFrame:
+    fields = df.drop("seq")
+    whole = "source_data" in fields.columns
+    return fields.withColumn("source_data", coerce_audit_value(F.col("source_data").cast("string"), "source_data")) if whole else fields
+
+
+def _first_and_last(names: DataFrame) -> DataFrame:
+    """Of every name its first and last place in the batch: all that resolving and the source map ask for."""
+    ends = names.groupBy("name", "source").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    return ends.select("name", "source", F.explode(F.array("first", "last")).alias("seq"))
+
+
 def _map_bucket() -> Column:
     return bucket(["account_id", "source", "source_name"], BUCKETS)
 
@@ -259,7 +276,8 @@ def merge_table(spark: SparkSession, lake: str, table: str, batch: DataFrame, ke
     """Upsert a batch into a silver table by rewriting the buckets of its keys; returns these."""
     name = f"silver/{table}"
     known = registered(spark, lake, name)
-    placed = batch.withColumn(PART, bucket(keys, known[1] if known else BUCKETS))
+    latest = durable(merge.last_non_null(batch, keys, seq))
+    placed = latest.withColumn(PART, bucket(keys, known[1] if known else BUCKETS))
     touched = parts_of(placed)
     if not touched:
         widen(spark, lake, name, empty(spark, table).schema)

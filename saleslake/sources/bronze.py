@@ -42,18 +42,22 @@ def audit_rows(mapped: dict[str, DataFrame], batch_id: str, source: str, method:
 
     One row per record keeps a large batch out of a single value; the batch id groups them.
     """
-    rows = []
-    for table, df in mapped.items():
-        fields = {c: coerce_audit_value(F.col(c).cast("string"), c) for c in df.columns}
-        rows.append(
-            df.select(
-                F.lit(batch_id).alias("batch_id"),
-                F.lit(source).alias("source"),
-                F.lit(method).alias("classification_method"),
-                F.lit(vocab.ENTITY_NAMES.get(table, table)).alias("entity"),
-                F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])).alias("record"),
-            )
+    read_back = {t: df.select(*[coerce_audit_value(F.col(c).cast("string"), c).alias(c) for c in df.columns]) for t, df in mapped.items()}
+    return coerced_audit_rows(read_back, batch_id, source, method)
+
+
+def coerced_audit_rows(mapped: dict[str, DataFrame], batch_id: str, source: str, method: str) -> DataFrame:
+    """``audit_rows`` of records that are in read-back form already."""
+    rows = [
+        df.select(
+            F.lit(batch_id).alias("batch_id"),
+            F.lit(source).alias("source"),
+            F.lit(method).alias("classification_method"),
+            F.lit(vocab.ENTITY_NAMES.get(table, table)).alias("entity"),
+            F.to_json(F.struct(*df.columns)).alias("record"),
         )
+        for table, df in mapped.items()
+    ]
     return union_all(rows)
 
 
