@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ MARKS = ".,;:!?"
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 CHUNK = re.compile(
     f" ?[{LETTERS}]+(?![^{WHITE}{MARKS}])|[{MARKS}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Chunks that a line end before them may not be told apart from: white space but for one space in front.
+UNSURE = re.compile(f"[\t-\r\x85\xa0]|[{WHITE}]$|.[^{WHITE}]*[{WHITE}]", re.DOTALL)
 
 
 def byte_table() -> list[str]:
@@ -73,6 +77,7 @@ class Coder:
     """Encodes texts by chunks and decodes ids."""
 
     def __init__(self, tokenizer, cache: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel work; no threads besides
         self.tokenizer, self.limit = tokenizer, cache
         self.ids: dict[str, bytes] = {}
         added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
@@ -82,20 +87,19 @@ class Coder:
         self.line = line[0] if len(line) == 1 and self.table[line[0]] == b"\n" else None
 
     def encode_plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without the library's offsets
 
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks. Many go in one call with line ends between them: a line end before a chunk without one
         is a token of its own, so the ids fall apart there again."""
-        plain = [c for c in chunks if self.line is not None and not re.search(f"[{WHITE}]", c[1:]) and not re.match(f"[{WHITE}]$|[\t-\r\x85\xa0]", c)]
+        plain = [c for c in chunks if not UNSURE.match(c)] if self.line is not None else []
         for i in range(0, len(plain), TOGETHER):
             some = plain[i : i + TOGETHER]
             got = np.array(self.encode_plain("\n".join(some)), "<u4")
             ends = np.flatnonzero(got == self.line)
             if len(ends) == len(some) - 1:
-                parts = np.split(got, ends)
-                for k, (chunk, part) in enumerate(zip(some, parts)):
-                    self.ids[chunk] = part[1:].tobytes() if k else part.tobytes()
+                raw, ends = got.tobytes(), (4 * ends).tolist()
+                self.ids.update(zip(some, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]))
         for chunk in chunks:
             if chunk not in self.ids:
                 self.ids[chunk] = np.array(self.encode_plain(chunk), "<u4").tobytes()
@@ -113,7 +117,7 @@ class Coder:
         cut = [self.chunks(text) for text in texts]
         if len(self.ids) > self.limit:
             self.ids.clear()
-        new = set().union(*cut).difference(self.ids) if cut else set()
+        new = set(filterfalse(self.ids.__contains__, chain.from_iterable(cut)))
         if new:
             self.learn(list(new))
         get = self.ids.__getitem__

@@ -379,3 +379,24 @@ def test_quality_scores_do_not_depend_on_neighbours():
     together = quality.scores(network, tables, np.concatenate(texts), offsets)
     single = [quality.scores(network, tables, t, np.array([0, len(t)]))[0] for t in texts]
     assert np.allclose(together, single)
+
+
+def test_new_chunks_are_encoded_together_and_without_offsets(odd_rows):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+
+    class Fast:
+        """The library's tokenizer without its slower call, which keeps offsets."""
+
+        calls = 0
+
+        def __getattr__(self, name):
+            assert name not in ("encode", "encode_batch")
+            Fast.calls += name == "encode_batch_fast"
+            return getattr(plain, name)
+
+    texts = [t for _, t in odd_rows] + ["\n", " ", "\t", "a\n", " \n", "\n\n b", "\x85", "\xa0 x", " <|endoftext|>x", "x y", "　"] + [" ".join(f"w{i}ert{i * 7}" for i in range(3000))]
+    got = tokens.Coder(Fast()).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert Fast.calls < 200
