@@ -2,7 +2,7 @@
 
 Counting. Each task counts the word pairs of some millions of tokens and sends them on in packed arrays, one for each
 shard of pairs (``SHARD_BYTES`` of text each; pairs are dealt out by their hash, so a frequent word is in all shards alike).
-A shard's arrays are merged into distinct pairs with their counts. From these follow, by word and combined before
+A shard is one task's, which merges its arrays into distinct pairs with their counts, a range of hashes at a time. From these follow, by word and combined before
 the shuffle: its count, the number of words seen before it, and the numbers of words seen after it once, twice and more
 often. Discounts come from the counts of counts of pairs and of words. Nothing is pruned, at any size.
 
@@ -36,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslake.llm.common import BLANKS, Words, keyed, lower_ascii, mixed, release, scratch, separators, stored, text_pieces, worker_state
+from saleslake.llm.common import BLANKS, Words, give_back, keyed, lower_ascii, mixed, release, scratch, separators, stored, text_pieces, worker_state
 
 #: Text, in bytes, whose pairs make a shard; tokens that a task holds before it counts and sends them on; files mapped at once.
 SHARD_BYTES, COUNTED_AT_ONCE, MAPS = 16 << 20, 2 << 20, 512
+#: Packed pairs of a shard that are merged at once.
+RANGE_PAIRS = 1 << 19
 #: Tokens that are no words.
 BEGIN, END = np.uint64(0x5D1C0B1E6A9F3E21), np.uint64(0xA37B92D4F0186C55)
 #: Discounts where the counts of counts leave them open.
@@ -102,7 +104,7 @@ def counted(shards: int):
     """For ``mapInArrow`` over training texts: packed counts of pairs for every shard."""
 
     def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        before, word = map(np.concatenate, zip(*held))
+        before, word = (np.concatenate([x[side] for x in held]) for side in (0, 1))
         held.clear()
         hashes = pair_hash(before, word)
         order = np.argsort(hashes)
@@ -118,6 +120,8 @@ def counted(shards: int):
             own, runs = np.unique(before[part], return_counts=True)
             row = [k, own.tobytes(), small(runs), word[part].tobytes(), small(n[part])]
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["shard", "before", "runs", "words", "counts"])
+        del before, word, n, shard, first, part, own, runs, row
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -181,43 +185,61 @@ def mapped(folder: str, name: str) -> np.ndarray | None:
     return kept[key]
 
 
-def merged(folder: str):
+def merged(folder: str, shards: int):
     """For ``mapInArrow`` over packed counts sorted by shard: writes each shard's pairs and gives the sums by word
-    (kind 0) and the counts of counts of pairs (kind 1, the count as word)."""
-
-    def finish(shard: int, parts: list[tuple]) -> pa.RecordBatch:
-        before = np.concatenate([np.repeat(np.frombuffer(b, np.uint64), counts_of(r, len(b) // 8)) for b, r, _, _ in parts])
-        word = np.concatenate([np.frombuffer(w, np.uint64) for _, _, w, _ in parts])
-        n = np.concatenate([counts_of(c, len(w) // 8) for _, _, w, c in parts])
-        hashes = pair_hash(before, word)
+    (kind 0) and the counts of counts of pairs (kind 1, the count as word). A shard is merged in ranges of its hashes, of
+    ``RANGE_PAIRS`` packed pairs or so, and only what a range needs is unpacked at once."""
+
+    def merge(parts: list[tuple], of: int, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, words before, words and counts of the distinct pairs in one of all ranges, by their hashes."""
+        held = []
+        for b, r, w, c in parts:
+            before, word = np.repeat(np.frombuffer(b, np.uint64), counts_of(r, len(b) // 8)), np.frombuffer(w, np.uint64)
+            hashes = pair_hash(before, word)
+            pick = np.flatnonzero(shard_of(hashes, of) == place)
+            held.append((hashes[pick], before[pick], word[pick], counts_of(c, len(w) // 8)[pick]))
+        hashes, before, word, n = (np.concatenate([x[i] for x in held]) for i in range(4))
+        held.clear()
         order = np.argsort(hashes)
         hashes, n = hashes[order], n[order]
-        fresh = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        n, hashes, pick = np.add.reduceat(n, fresh), hashes[fresh], order[fresh]
-        before, word = before[pick], word[pick]
-        once = n == 1
-        write_shard(folder, f"pairs-{shard}", int(once.sum()), int((~once).sum()), [hashes[once], hashes[~once], n[~once]])
+        fresh = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        pick = order[fresh]
+        return hashes[fresh], before[pick], word[pick], np.add.reduceat(n, fresh) if len(n) else n
+
+    def sums_of(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         words, place = np.unique(np.concatenate([word, before]), return_inverse=True)
         after, ahead = place[: len(word)], place[len(word) :]
         sums = [np.bincount(after, n, len(words)), np.bincount(after, minlength=len(words))]
-        sums += [np.bincount(ahead[pick], minlength=len(words)) for pick in (once, n == 2, n > 2)]
+        sums += [np.bincount(ahead[pick], minlength=len(words)) for pick in (n == 1, n == 2, n > 2)]
         of = np.array([(n == k).sum() for k in (1, 2, 3, 4)])
         columns = [np.concatenate([words.view(np.int64), [1, 2, 3, 4]]), np.concatenate([sums[0], of])] + [np.concatenate([s, np.zeros(4)]) for s in sums[1:]]
         kind = np.concatenate([np.zeros(len(words)), np.ones(4)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(c.astype(np.int64)) for c in columns]], ["kind", "word", "n", "pairs", "once", "twice", "more"])
 
+    def finish(shard: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ranges = -(-sum(len(w) // 8 for _, _, w, _ in parts) // RANGE_PAIRS)
+        once, more, counts = [], [], []
+        for place in range(shard * ranges, (shard + 1) * ranges):
+            hashes, before, word, n = merge(parts, shards * ranges, place)
+            once.append(hashes[n == 1])
+            more.append(hashes[n > 1])
+            counts.append(n[n > 1])
+            yield sums_of(before, word, n)
+        parts.clear()
+        write_shard(folder, f"pairs-{shard}", sum(map(len, once)), sum(map(len, more)), [*once, *more, *counts])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts = None, []
         for batch in batches:
             for k in range(len(batch)):
                 shard = batch.column("shard")[k].as_py()
                 if shard != here and parts:
-                    yield finish(here, parts)
-                    parts = []
+                    yield from finish(here, parts)
                 here = shard
-                parts.append(tuple(batch.column(c)[k].as_py() for c in ("before", "runs", "words", "counts")))
+                parts.append(tuple(memoryview(batch.column(c)[k].as_buffer()) for c in ("before", "runs", "words", "counts")))
         if parts:
-            yield finish(here, parts)
+            yield from finish(here, parts)
+        give_back()
 
     return run
 
@@ -283,7 +305,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mod
     shards = max(1, -(-size // SHARD_BYTES))
     folder = scratch(spark)
     packed = texts.mapInArrow(counted(shards), PACKED)
-    sums = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merged(folder), SUMS)
+    sums = packed.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(merged(folder, shards), SUMS)
     words = stored(sums.groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in ("n", "pairs", "once", "twice", "more")]))
     of_pairs = discounts({r["word"]: r["n"] for r in words.filter("kind = 1").collect()})
     known = words.filter("kind = 0")
@@ -299,7 +321,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mod
         spot = F.shiftrightunsigned("word", 32)
         placed = known.withColumn("shard", F.shiftrightunsigned(spot * shards, 32).cast("int"))
         write = word_shards(folder, shards, of_pairs, of_words, pairs, unknown, end["n"])
-        placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int").agg(F.count(F.lit(1))).first()
+        placed.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, "shard int").agg(F.count(F.lit(1))).first()
     release(spark)
     return Model(folder, shards if pairs else 0, tokens, types, of_pairs, unknown)
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_training_operators import rows_of, same, text_rows
 
@@ -234,3 +235,30 @@ def test_scores_survive_a_second_use(spark, odd_docs):
     model = kneser.fit(odd_docs)
     assert rows_of(kneser.score(odd_docs, model, 7, 2)) == rows_of(kneser.score(odd_docs, model, 7, 2))
     assert common.scratch(spark).rsplit("/", 1)[0] in model.folder
+
+
+@pytest.mark.parametrize("pairs", [1, 40])
+def test_shards_are_merged_in_ranges_of_hashes(odd_docs, odd_rows, monkeypatch, pairs):
+    whole = rows_of(kneser.report(odd_docs))
+    monkeypatch.setattr(kneser, "RANGE_PAIRS", pairs)
+    assert rows_of(kneser.report(odd_docs)) == whole
+
+
+def test_merging_a_shard_unpacks_a_part_of_it_at_once(tmp_path):
+    import tracemalloc
+
+    rng, n = np.random.default_rng(1), 250_000
+    columns = [], [], [], []
+    for _ in range(8):
+        before, runs = np.unique(rng.integers(0, 2**63, n // 4, dtype=np.uint64), return_counts=True)
+        word = rng.integers(0, 2**63, runs.sum() * 4, dtype=np.uint64)
+        for column, value in zip(columns, (before.tobytes(), kneser.small(runs * 4), word.tobytes(), kneser.small(np.ones(len(word), np.int64)))):
+            column.append(value)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["shard", "before", "runs", "words", "counts"])
+    del columns
+    tracemalloc.start()
+    rows = sum(len(x) for x in kneser.merged(str(tmp_path), 1)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 2_000_000 and peak < 250e6, peak  # 410 MB and more when all is unpacked
+    assert np.fromfile(tmp_path / "pairs-0", np.int64, 2).tolist() == [2_000_000, 0]
