@@ -400,3 +400,25 @@ def test_new_chunks_are_encoded_together_and_without_offsets(odd_rows):
     got = tokens.Coder(Fast()).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert Fast.calls < 200
+
+
+def test_line_dedup_with_rows_in_many_small_parts(odd_docs, tied_docs, monkeypatch):
+    whole = [rows_of(lines.report(docs)) for docs in (odd_docs, tied_docs)]
+    for name, value in (("PART_BYTES", 20_000), ("ROWS_AT_ONCE", 2000), ("COMPARED_AT_ONCE", 1)):
+        monkeypatch.setattr(lines, name, value)
+    assert [rows_of(lines.report(docs)) for docs in (odd_docs, tied_docs)] == whole
+
+
+def test_rows_of_lines_are_sent_packed():
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), 100_000
+    rows = lines.rows_of(rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(-2**63, 2**63, n), rng.integers(0, 2, n), rng.integers(-1, 900, n), rng.integers(20, 1000, n))
+    rows["size"][:3], rows["at"][:3] = 70_000, 69_000
+    sent = list(lines.packed(lambda _: iter([rows[:60_000], rows[60_000:]]), 5)(iter([])))
+    assert sorted(b.column("part")[0].as_py() for b in sent) == [0, 1, 2, 3, 4]
+    got = np.concatenate([lines.unpacked(b, 0) for b in sent])
+    rows["key"] &= ~np.int64(0xFFFF)
+    assert sorted(got.tolist()) == sorted(rows.tolist())
+    size = [sum(len(pa.compress(c[0].as_buffer(), "lz4", asbytes=True)) for c in b.columns[1:]) / (len(b.column("lines")[0].as_py()) / 8) for b in sent]
+    assert sorted(size)[2] < 19
