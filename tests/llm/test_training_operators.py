@@ -402,11 +402,20 @@ def test_new_chunks_are_encoded_together_and_without_offsets(odd_rows):
     assert Fast.calls < 200
 
 
-def test_line_dedup_with_rows_in_many_small_parts(odd_docs, tied_docs, monkeypatch):
-    whole = [rows_of(lines.report(docs)) for docs in (odd_docs, tied_docs)]
-    for name, value in (("PART_BYTES", 20_000), ("ROWS_AT_ONCE", 2000), ("COMPARED_AT_ONCE", 1)):
-        monkeypatch.setattr(lines, name, value)
-    assert [rows_of(lines.report(docs)) for docs in (odd_docs, tied_docs)] == whole
+def test_lines_meet_alike_however_many_rows_are_compared_at_once(monkeypatch):
+    rng, n = np.random.default_rng(6), 6000
+    key = rng.integers(0, 900, n).astype(np.uint64) << np.uint64(50)
+    rows = lines.rows_of(key, rng.integers(0, 400, n), rng.integers(0, 2, n), rng.integers(-1, 30, n), rng.integers(40, 60, n))
+    rows = rows[np.unique(rows[["key", "line"]], return_index=True)[1]]  # copies of a row are alike in a table
+
+    def met(at_once):
+        monkeypatch.setattr(lines, "ROWS_AT_ONCE", at_once)
+        monkeypatch.setattr(lines, "COMPARED_AT_ONCE", at_once)
+        sent = lines.packed(lambda _: iter(np.array_split(rows, 9)), 1)(iter([]))
+        return {tuple(r.values()) for batch in lines.meeting(2, 2)(sent) for r in batch.to_pylist()}
+
+    assert met(1) == met(1 << 20)
+    assert len(met(1)) > 100
 
 
 def test_rows_of_lines_are_sent_packed():
