@@ -431,3 +431,35 @@ def test_rows_of_lines_are_sent_packed():
     assert sorted(got.tolist()) == sorted(rows.tolist())
     size = [sum(len(pa.compress(c[0].as_buffer(), "lz4", asbytes=True)) for c in b.columns[1:]) / (len(b.column("lines")[0].as_py()) / 8) for b in sent]
     assert sorted(size)[2] < 19
+
+
+def test_keys_of_one_line_are_not_sent():
+    import pyarrow as pa
+    from types import SimpleNamespace as Held
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in [30] * 40 + [200] * 40]
+    texts = ["\n".join(base), base[3][:9] + "x" + base[3][9:], base[50][:70] + "x" + base[50][71:], base[60]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([0] * 4, pa.int32()), pa.array(texts)], ["doc_id", "tk", "text"])
+    bits, rare = 1 << 18, Held(value=np.zeros(1 << lines.RARITY_BITS, np.uint8))
+
+    def mapped(found, several=False):
+        sent = [b for b in lines.bits_sent(found, bits, 4)(iter([batch]))]
+        out = np.concatenate([np.frombuffer(b.column("bits")[0].as_py(), np.uint8) for b in sorted(lines.bits_met(bits // 4, several)(iter(sent)), key=lambda b: b.column("part")[0].as_py())])
+        return Held(value=out)
+
+    firsts = Held(value=np.full(bits // 8, 255, np.uint8))
+    indexed = mapped(lines.indexed_bits(2, 20, bits, firsts, rare))
+    shared = mapped(lines.probed_bits(2, 20, bits, firsts, rare, indexed), several=True)
+    every, some = (sum((lines.unpacked(b, 0).tolist() for b in lines.rows_of_lines(2, 20, firsts, rare, held, 1)(iter([batch]))), []) for held in (firsts, shared))
+    assert 0 < len(some) < len(every) / 10
+    met = [r for b in lines.meeting(2, 8)(lines.packed(lambda _: iter([np.array(some, lines.ROW)]), 1)(iter([batch]))) for r in b.to_pylist()]
+    name = {x: int(h) for data, ends, h in lines.distinct(iter([batch]), firsts.value) for x, h in zip([data[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])], h.view(np.int64))}
+    assert {tuple(sorted((name[base[3]], name[texts[1]]))), tuple(sorted((name[base[50]], name[texts[2]])))} <= {(r["a"], r["b"]) for r in met}
+
+
+def test_two_lines_are_compared_in_one_of_their_sets():
+    sets = [[5, 9], [5, 9, 2], [9, 2], [9]]
+    want = [[any(s < 9 and s in b for s in a) for b in sets] for a in sets]
+    assert (lines.met_before(sets, 9) & ~np.eye(4, dtype=bool)).tolist() == [[x and i != j for j, x in enumerate(row)] for i, row in enumerate(want)]
+    assert not lines.met_before(sets, 2).any()
