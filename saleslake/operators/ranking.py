@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,13 @@ from saleslake.session import durable
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], name: str = "rank", store: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """Add ``name`` = 1..n in the given total order.
 
     Rows are range-partitioned and sorted, each partition numbers its own rows, and the
-    partition sizes (one row per partition) give the offsets.
+    partition sizes (one row per partition) give the offsets. ``store`` keeps the sorted rows.
     """
-    placed = durable(
+    placed = store(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())

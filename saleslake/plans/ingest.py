@@ -22,12 +22,14 @@ from saleslake.operators.joins import fan_out_join, spread, union_all
 from saleslake.operators.ranking import number_rows
 from saleslake.plans.marts import deal_state
 from saleslake.plans.refresh import follow, with_states, write_marts
-from saleslake.session import durable, kept
+from saleslake.session import discard, durable, kept, release
 from saleslake.sources import bronze
-from saleslake.sources.lake import BUCKETS, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, registry, replace_part, widen
+from saleslake.sources.lake import BUCKETS, CODEC, PART, batch_part, bucket, commit, overwrite_parts, parts_of, read_table, registered, registry, replace_part, widen
 
 # Facts that are only ever added to, one partition for each batch.
 EVENT_FACTS = ["fact_interactions", "fact_insights", "fact_transactions", "fact_hr_records"]
+#: Bytes of account names that are sent to every task; with more, facts and names are shuffled to meet.
+NAMES_SENT = 32 << 20
 _KEYS = {"dim_account": ["account_name"], "dim_contact": ["contact_name", "account_name"], "dim_department": ["name"]}
 
 
@@ -65,7 +67,7 @@ def read_silver(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
 
 def _write_batch(df: DataFrame, path: str, batch_id: str) -> None:
     """The batch's own partition of the raw or audit layer, replaced as a whole."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
+    df.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
 
 
 def ingest_structured(
@@ -175,14 +177,16 @@ def _load(
     _write_batch(audit.drop("batch_id"), f"{lake}/audit", batch_id)
 
     silver = read_silver(spark, lake)
-    valid, rejects = {}, []
+    valid, rejects, held = {}, [], {}
     for table, df in coerced.items():
         extra = [*evolution.added.get(table, {}), *silver[table].columns]
         loaded = mapping.to_silver(df, table, ["seq"], extra)
         if table == "dim_contact":
             loaded = loaded.withColumn("contact_name", mapping.contact_identity(loaded.columns))
         # Written before it is split: each side would repeat the conversions, and again in every filter pushed below them.
-        good, bad = quality.split(kept(loaded), table)
+        held[table] = kept(loaded)
+        discard(df)
+        good, bad = quality.split(held[table], table)
         valid[table] = good
         rejects.append(bad)
     own = batch_part(batch_id)
@@ -207,6 +211,8 @@ def _load(
     accounts = read_table(spark, lake, "silver/dim_account")
     accounts = empty(spark, "dim_account") if accounts is None else merge.append(empty(spark, "dim_account"), accounts)
     names = durable(_first_and_last(names))
+    for table in valid.keys() - facts.keys():
+        discard(held[table])
     resolved, created = identity.resolve(names, accounts)
     resolved = durable(resolved)
     merge_table(spark, lake, "dim_account", created.withColumn("seq", F.lit(0).cast("bigint")), _KEYS["dim_account"], "seq")
@@ -218,20 +224,27 @@ def _load(
     overwrite_parts(after.withColumn(PART, _map_bucket()), lake, "silver/account_source_map")
 
     ids = resolved.select(F.col("name").alias("account_name"), F.col("account_id").alias("_found"))
+    few = (resolved.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0) <= NAMES_SENT
     for table, df in facts.items():
         name = f"silver/{table}"
-        linked = df
-        if "account_name" in df.columns:
-            linked = fan_out_join(df, ids, ["account_name"], "seq").withColumnRenamed("_found", "account_id")
+        linked = _linked(df, ids, few)
         if table in EVENT_FACTS:
             # Ids go on from the other batches', in the order of the batch: the newest rows have the largest.
-            events = number_rows(kept(linked), [F.col("seq"), F.xxhash64(*df.columns)], "id")
+            # Each copy of the rows goes as soon as the next one is written.
+            linked = linked if few else kept(linked)
+            events = number_rows(linked, [F.col("seq"), F.xxhash64(*df.columns)], "id", store=kept)
+            # With ``few`` names these are the loaded rows' files.
+            for done in (linked, held[table]):
+                discard(done)
+            release(spark)
             numbered = events.withColumn("id", F.col("id") + _top(spark, lake, name, own)).drop("seq")
             replace_part(numbered, lake, name, own)
             if table == "fact_interactions":
                 follow(merge.append(empty(spark, table), numbered).withColumn(PART, F.lit(own)), lake, "state/interactions")
+            discard(events)
         else:
             _merge_deals(spark, lake, linked, batch_id)
+            discard(held[table])
     for table, df in (beside or {}).items():
         replace_part(df, lake, f"silver/{table}", own)
     counts = write_marts(with_states(spark, read_silver(spark, lake), lake), as_of, lake)
@@ -250,6 +263,18 @@ def _audit_form(df: DataFrame) -> DataFrame:
     return fields.withColumn("source_data", coerce_audit_value(F.col("source_data").cast("string"), "source_data")) if whole else fields
 
 
+def _linked(facts: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """Facts with the account that their name was resolved to; a ``few`` names go to the facts instead of both to a shuffle."""
+    if "account_name" not in facts.columns:
+        return facts
+    if few:
+        names = F.broadcast(ids.withColumnRenamed("account_name", "_name"))
+        joined = facts.join(names, F.col("account_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    else:
+        joined = fan_out_join(facts, ids, ["account_name"], "seq")
+    return joined.withColumnRenamed("_found", "account_id")
+
+
 def _first_and_last(names: DataFrame) -> DataFrame:
     """Of every name its first and last place in the batch: all that resolving and the source map ask for."""
     ends = names.groupBy("name", "source").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))

@@ -23,6 +23,8 @@ PART = "_part"
 #: Buckets of a merged table, fixed by its first write. A bucket is what one task rewrites, so a table that will hold
 #: terabytes is begun with as many as it has gigabytes.
 BUCKETS = 64
+#: Of the tables and of the raw and audit layers: their JSON texts say every field's name in every row.
+CODEC = "zstd"
 _COLUMNS = "columns"
 _REGISTRY = "schema string, buckets int, table string"
 
@@ -37,7 +39,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _dynamic(df: DataFrame, path: str, by: str) -> None:
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    df.repartition(by).write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def registry(spark: SparkSession, lake: str) -> dict[str, tuple[StructType, int]]:
@@ -107,7 +109,7 @@ def batch_part(batch_id: str) -> str:
 def replace_part(df: DataFrame, lake: str, table: str, part: str) -> None:
     """Replace one partition as a whole, also by no rows."""
     widen(df.sparkSession, lake, table, df.schema)
-    df.write.mode("overwrite").parquet(f"{_at(lake, table)}/{PART}={quote(part, safe='-')}")
+    df.write.mode("overwrite").option("compression", CODEC).parquet(f"{_at(lake, table)}/{PART}={quote(part, safe='-')}")
 
 
 def commit(spark: SparkSession, lake: str, batch_id: str, source: str) -> None:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import glob
 import tempfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from saleslake.plans import ingest
 from saleslake.plans.ingest import enrich_from_bronze, ingest_for_account, ingest_structured, ingest_transcripts, read_silver
 from saleslake.plans.marts import MARTS
+from saleslake.session import shared_dir
 from saleslake.sources.lake import PART, committed, read_table
 
 COLUMNS = "seq bigint, account_name string, industry string, contact_name string, contact_role string, deal_name string, deal_value string, deal_stage string, close_date string, sentiment string, last_interaction_date string, lead_priority string"
@@ -326,3 +330,21 @@ def test_values_are_read_back_once_for_the_audit_trail_and_the_load(spark):
     loaded = read_silver(spark, lake)["fact_transactions"].orderBy("id").collect()
     assert report.rejected == 0 and [r.product_name for r in loaded] == [f"Part {i}" for i in range(20)]
     assert evaluated.value <= 2 * 20  # for bronze and for the load
+
+
+@pytest.mark.parametrize("sent", [32 << 20, -1])
+def test_a_load_leaves_no_copies_of_its_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(ingest, "NAMES_SENT", sent, raising=False)
+    copies = lambda: set(glob.glob(f"{shared_dir(spark)}/kept-*/*.parquet"))
+    before, lake = copies(), tempfile.mkdtemp(prefix="run-")
+    rows = [(i, "sale", str(i), f"S{i % 7}" if i % 5 else None) for i in range(60)]
+    batch = spark.createDataFrame(rows, "seq bigint, transaction_type string, amount string, account_name string")
+    ingest_structured(spark, batch, "sap", "e1", lake, "2024-03-01", force=True)
+    silver = read_silver(spark, lake)
+    names = {r.id: r.account_name for r in silver["dim_account"].collect()}
+    found = [(r.amount, r.account_name, names.get(r.account_id)) for r in silver["fact_transactions"].orderBy("id").collect()]
+    assert found == [(str(i), a, a) for i, _, _, a in rows]
+    assert copies() == before
+    # The tables and the raw and audit layers are packed by the tighter codec.
+    files = [f for part in ("bronze", "audit", "silver/fact_transactions") for f in glob.glob(f"{lake}/{part}/*/*.parquet")]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
