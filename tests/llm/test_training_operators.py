@@ -463,3 +463,30 @@ def test_two_lines_are_compared_in_one_of_their_sets():
     want = [[any(s < 9 and s in b for s in a) for b in sets] for a in sets]
     assert (lines.met_before(sets, 9) & ~np.eye(4, dtype=bool)).tolist() == [[x and i != j for j, x in enumerate(row)] for i, row in enumerate(want)]
     assert not lines.met_before(sets, 2).any()
+
+
+def test_rows_of_lines_go_in_turns(spark, monkeypatch):
+    sent, rng = [], random.Random(11)
+    plain = lines.rows_of_lines
+
+    def counted(*args):
+        sent.append(args[-1])
+        return plain(*args)
+
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in [30] * 40 + [200] * 40 + [75, 76, 130] * 20]
+    rows = [(i, "\n".join(base[i::20])) for i in range(20)]
+    rows += [(100 + k, x[:-9] + rng.choice(["", "x", "xyz"]) + x[-7:]) for k, x in enumerate(base[::3])]
+    want = [(i, n, gone, brute.sha((text or "").encode())) for i, n, gone, text in brute.kept_texts(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in {"TURN_TEXTS": 0, "TURN_BYTES": 1, "PART_BYTES": 1 << 11, "rows_of_lines": counted}.items():
+        monkeypatch.setattr(lines, name, value, raising=False)
+    same(lines.report(df), want)
+    assert len(sent) > 4 and sent[0][0] == 0
+    assert all(a[1] == b[0] for a, b in zip(sent, sent[1:]))
+
+
+def test_turns_hold_so_many_rows(monkeypatch):
+    monkeypatch.setattr(lines, "TURN_BYTES", 1000)
+    gb = 1 << 30
+    assert lines.turns_of(0, 0, 1) == [(0, 1)] and lines.turns_of(2 * gb // 18, gb, 128) == [(0, 128)]
+    assert lines.turns_of(9 * gb // 18, gb, 128) == [(0, 25), (25, 51), (51, 76), (76, 102), (102, 128)]
