@@ -50,12 +50,18 @@ def fan_out_join(
     row_id: str,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    sent: bool = False,
 ) -> DataFrame:
     """Null-safe equi-join in which hot fact keys are salted and their dim rows replicated.
 
     Both sides have the ``keys``; the result keeps the facts' copy. ``row_id`` decides the
-    salt, so a retried task salts its rows the same way.
+    salt, so a retried task salts its rows the same way. With ``sent``, a small dim goes to
+    every task and the facts stay where they are.
     """
+    if sent:
+        dim_names = [f"_dim_{k}" for k in keys]
+        small = F.broadcast(dim.withColumnsRenamed(dict(zip(keys, dim_names))))
+        return facts.join(small, _same(keys, dim_names), how).drop(*dim_names)
     hot = F.broadcast(hot_keys(facts, keys, hot_rows))
     hot_names = [f"_hot_{k}" for k in keys]
     dim_names = [f"_dim_{k}" for k in keys]

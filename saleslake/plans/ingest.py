@@ -227,7 +227,9 @@ def _load(
     few = (resolved.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0) <= NAMES_SENT
     for table, df in facts.items():
         name = f"silver/{table}"
-        linked = _linked(df, ids, few)
+        linked = df
+        if "account_name" in df.columns:
+            linked = fan_out_join(df, ids, ["account_name"], "seq", sent=few).withColumnRenamed("_found", "account_id")
         if table in EVENT_FACTS:
             # Ids go on from the other batches', in the order of the batch: the newest rows have the largest.
             # Each copy of the rows goes as soon as the next one is written.
@@ -263,18 +265,6 @@ def _audit_form(df: DataFrame) -> DataFrame:
     return fields.withColumn("source_data", coerce_audit_value(F.col("source_data").cast("string"), "source_data")) if whole else fields
 
 
-def _linked(facts: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
-    """Facts with the account that their name was resolved to; a ``few`` names go to the facts instead of both to a shuffle."""
-    if "account_name" not in facts.columns:
-        return facts
-    if few:
-        names = F.broadcast(ids.withColumnRenamed("account_name", "_name"))
-        joined = facts.join(names, F.col("account_name").eqNullSafe(F.col("_name")), "left").drop("_name")
-    else:
-        joined = fan_out_join(facts, ids, ["account_name"], "seq")
-    return joined.withColumnRenamed("_found", "account_id")
-
-
 def _first_and_last(names: DataFrame) -> DataFrame:
     """Of every name its first and last place in the batch: all that resolving and the source map ask for."""
     ends = names.groupBy("name", "source").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
